@@ -34,45 +34,54 @@ from pyspark.sql import functions as F
 from cubara.llm.tokens import Encoder
 
 LENGTH, CUT_SENTENCE, CUT_HARD = 2048, 4.0, 64.0
+#: Shorter sequences count as padded even at a power of two: filling up with crumbs is no packing.
+SHORTEST = 256
 SPAN, MARGIN = 1 << 18, 1 << 14
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def padding(n: int, length: int = LENGTH) -> int:
-    return 0 if n & (n - 1) == 0 else length - n
+def padding(n: int, length: int = LENGTH, shortest: int = 1) -> int:
+    return 0 if n >= shortest and n & (n - 1) == 0 else length - n
 
 
-def cuts(ends: list[int], penalties: list[float], length: int = LENGTH) -> list[int]:
+def cuts(ends: list[int], penalties: list[float], length: int = LENGTH, shortest: int = SHORTEST) -> list[int]:
     """The chosen cuts among the increasing positions `ends` (the last is always one), from position 0.
 
     Gaps over `length` between neighbours get hard cuts. Ties take the earliest window start.
     """
     places, extra = [0], [0.0]
+    before = 0
     for e, p in zip(ends, penalties):
-        while e - places[-1] > length:
-            places.append(places[-1] + length)
+        while e - before > length:
+            before += length
+            places.append(before)
             extra.append(CUT_HARD)
-        if e > places[-1]:
+        if e > before:
             places.append(e)
             extra.append(p)
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k <= length]
-    at = {p: k for k, p in enumerate(places)}
+            before = e
+    powers = [1 << k for k in range(length.bit_length()) if shortest <= 1 << k <= length]
     cost, back = [0.0] * len(places), [0] * len(places)
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # (cost(b) + b, its index), increasing in both
+    cost_at = {0: (0.0, 0)}  # position: its cost and index
+    # The queue, in two lists from `head` on: cost(b) + b, increasing, and the index of b.
+    keys, indices, head, get = [0.0], [0], 0, cost_at.get
     for k in range(1, len(places)):
         c = places[k]
-        while places[queue[0][1]] < c - length:
-            queue.popleft()
-        best, best_b = queue[0][0] + length - c, queue[0][1]
+        while places[indices[head]] < c - length:
+            head += 1
+        best, best_b = keys[head] + length - c, indices[head]
         for w in powers:
-            b = at.get(c - w)
-            if b is not None and cost[b] < best:
-                best, best_b = cost[b], b
-        cost[k], back[k] = best + extra[k], best_b
-        key = cost[k] + c
-        while queue and queue[-1][0] > key:
-            queue.pop()
-        queue.append((key, k))
+            b = get(c - w)
+            if b is not None and b[0] < best:
+                best, best_b = b
+        cost[k], back[k] = best, best_b = best + extra[k], best_b
+        cost_at[c] = (best, k)
+        key = best + c
+        while len(keys) > head and keys[-1] > key:
+            keys.pop()
+            indices.pop()
+        keys.append(key)
+        indices.append(k)
     out, k = [], len(places) - 1
     while k:
         out.append(places[k])

@@ -11,11 +11,12 @@ the whole tokenizer.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
 
-CACHED = 400_000
+PIECES_KEPT, PARTS_KEPT = 900_000, 400_000
 #: Longer pieces and parts aren't kept.
 _LONG = 48
 _LETTER, _SPACE = "a-zA-ZÀ-ÖØ-öø-įı-ɏ", " \t-\r"
@@ -41,13 +42,13 @@ def _byte_letters() -> list[str]:
 class _Kept(dict):
     """make(key), kept for short keys."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
         ids = self.make(key)
         if len(key) <= _LONG:
-            if len(self) >= CACHED:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = ids
         return ids
@@ -67,7 +68,9 @@ class Encoder:
         kinds = [x["type"] for x in (steps or {}).get("pretokenizers", [steps] if steps else [])]
         norms = [x["type"] for x in (norm or {}).get("normalizers", [norm] if norm else [])]
         self.kind = {(("ByteLevel",), ()): "keep", (("Split", "ByteLevel"), ("NFC", "Replace", "Lowercase")): "drop"}.get((tuple(kinds), tuple(norms)))
-        self.parts, self.pieces = _Kept(self._part), _Kept(self._dropped if self.kind == "drop" else self._after_space)
+        self.parts = _Kept(self._part, PARTS_KEPT)
+        self.pieces = _Kept(self._dropped if self.kind == "drop" else self._after_space, PIECES_KEPT)
+        gc.set_threshold(500_000, 50, 50)  # texts and tokens make no cycles; the caches needn't be walked again and again
 
     def _part(self, part: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()

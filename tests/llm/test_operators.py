@@ -307,11 +307,11 @@ def test_packing_is_optimal():
         penalties = [rng.choice([0.0, 4.0]) for _ in ends]
         cost = {0: 0.0}
         for e, p in zip(ends, penalties):
-            cost[e] = p + min(cost[b] + packing.padding(e - b, 32) for b in cost if 0 < e - b <= 32)
-        chosen = packing.cuts(ends, penalties, 32)
+            cost[e] = p + min(cost[b] + packing.padding(e - b, 32, 4) for b in cost if 0 < e - b <= 32)
+        chosen = packing.cuts(ends, penalties, 32, 4)
         pens = dict(zip(ends, penalties))
         assert chosen[-1] == at
-        assert sum(packing.padding(b - a, 32) + pens[b] for a, b in zip([0, *chosen], chosen)) == pytest.approx(cost[at])
+        assert sum(packing.padding(b - a, 32, 4) + pens[b] for a, b in zip([0, *chosen], chosen)) == pytest.approx(cost[at])
 
 
 def test_packing(spark, docs):
