@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubara.llm import decontaminate, html_text, langid, lines, packing, simhash, simple8b, syncmers, warc
+from cubara.llm import decontaminate, html_text, langid, lines, packing, passages, simhash, simple8b, syncmers, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -50,6 +54,6 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_decontaminate, op4_html_text, op5_langid, op6_warc, op7_line_dedup, op8_token_ids, op9_packing, op10_syncmers)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_passages, op3_decontaminate, op4_html_text, op5_langid, op6_warc, op7_line_dedup, op8_token_ids, op9_packing, op10_syncmers)}
 
 ORACLES: dict[str, str] = {}
