@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cubara.functions.nodata import let
+
 EARTH_RADIUS = 6_371_008.8
 # WGS84.
 _A, _F = 6_378_137.0, 1 / 298.257223563
@@ -169,39 +171,56 @@ def _conformal(lat: Column) -> Column:
 def _geodetic(tau_c: Column) -> Column:
     """Latitude (radians) from the tangent of the conformal one: five Newton steps, each a fixed expression."""
     e = math.sqrt(_E2)
-    tau = tau_c
-    for _ in range(5):
+
+    def step(tau: Column) -> Column:
+        def corrected(s: Column) -> Column:
+            back = tau * F.sqrt(1 + s["sigma"] * s["sigma"]) - s["sigma"] * s["root"]
+            return tau + (tau_c - back) / F.sqrt(1 + back * back) * (1 + (1 - _E2) * tau * tau) / ((1 - _E2) * s["root"])
+
         root = F.sqrt(1 + tau * tau)
-        sigma = F.sinh(F.lit(e) * F.atanh(F.lit(e) * tau / root))
-        back = tau * F.sqrt(1 + sigma * sigma) - sigma * root
-        tau = tau + (tau_c - back) / F.sqrt(1 + back * back) * (1 + (1 - _E2) * tau * tau) / ((1 - _E2) * root)
-    return F.atan(tau)
+        return let(F.struct(root.alias("root"), F.sinh(F.lit(e) * F.atanh(F.lit(e) * tau / root)).alias("sigma")), corrected)
+
+    def steps(tau: Column, n: int) -> Column:
+        return tau if n == 0 else let(step(tau), lambda t: steps(t, n - 1))
+
+    return F.atan(let(tau_c, lambda t: steps(t, 5)))
 
 
 def utm(lon: Column, lat: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
     """Easting and northing."""
     forward, _ = _series()
-    lam, t = F.radians(lon - (6 * zone - 183)), _conformal(F.radians(lat))
-    xi, eta = F.atan2(t, F.cos(lam)), F.asinh(F.sin(lam) / F.sqrt(t * t + F.pow(F.cos(lam), 2)))
-    x, y = eta, xi
-    for j, a in enumerate(forward, 1):
-        x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     k = 0.9996 * _RADIUS
-    return x * k + 500_000.0, y * k + (10_000_000.0 if south else 0.0)
+
+    def mapped(p: Column) -> Column:
+        x, y = p["eta"], p["xi"]
+        for j, a in enumerate(forward, 1):
+            x = x + a * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"])
+            y = y + a * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"])
+        return F.struct((x * k + 500_000.0).alias("x"), (y * k + (10_000_000.0 if south else 0.0)).alias("y"))
+
+    lam = F.radians(lon - (6 * zone - 183))
+    angles = lambda t: F.struct(F.atan2(t, F.cos(lam)).alias("xi"), F.asinh(F.sin(lam) / F.sqrt(t * t + F.pow(F.cos(lam), 2))).alias("eta"))
+    out = let(let(_conformal(F.radians(lat)), angles), mapped)
+    return out["x"], out["y"]
 
 
 def utm_inverse(easting: Column, northing: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
     """lon and lat in degrees."""
     _, inverse = _series()
     k = 0.9996 * _RADIUS
-    xi, eta = (northing - (10_000_000.0 if south else 0.0)) / k, (easting - 500_000.0) / k
-    x, e = xi, eta
-    for j, b in enumerate(inverse, 1):
-        x = x - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        e = e - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    t = F.sin(x) / F.sqrt(F.pow(F.sinh(e), 2) + F.pow(F.cos(x), 2))
-    return F.degrees(F.atan2(F.sinh(e), F.cos(x))) + (6 * zone - 183), F.degrees(_geodetic(t))
+    start = F.struct(((northing - (10_000_000.0 if south else 0.0)) / k).alias("xi"), ((easting - 500_000.0) / k).alias("eta"))
+
+    def sphere(p: Column) -> Column:
+        x, e = p["xi"], p["eta"]
+        for j, b in enumerate(inverse, 1):
+            x = x - b * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"])
+            e = e - b * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"])
+        return F.struct(x.alias("x"), e.alias("e"))
+
+    s = let(start, sphere)
+    lon = let(s, lambda q: F.degrees(F.atan2(F.sinh(q["e"]), F.cos(q["x"]))) + (6 * zone - 183))
+    lat = let(s, lambda q: F.degrees(_geodetic(F.sin(q["x"]) / F.sqrt(F.pow(F.sinh(q["e"]), 2) + F.pow(F.cos(q["x"]), 2)))))
+    return lon, lat
 
 
 def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:

@@ -12,6 +12,11 @@ def as_column(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value made once, as a lambda's variable, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def nd(c: Column) -> Column:
     """NULL where c is NaN or infinite."""
     return F.when(~F.isnan(c) & (F.abs(c) < INF), c)

@@ -309,16 +309,15 @@ def scatter_statistics(pairs: DataFrame, x: str = "a", y: str = "b") -> DataFram
 # -- lines
 
 
-def transect(plane: Plane, a: tuple[float, float], b: tuple[float, float]) -> DataFrame:
-    """(k, x, y, v): values along a line of pixel positions, one a pixel of its length (2 to 2000), from the pixel that holds each point; NULL outside."""
-    n = max(2, min(2000, math.ceil(math.hypot(b[0] - a[0], b[1] - a[1])) + 1))
-    k = F.col("k")
-    line = plane.df.sparkSession.range(n).select(F.col("id").alias("k"))
-    at = lambda p, q: F.floor(F.lit(float(p)) + k / F.lit(float(n - 1)) * F.lit(float(q - p))).cast("long")
-    points = line.select("k", at(a[0], b[0]).alias("x"), at(a[1], b[1]).alias("y"))
+def transect(plane: Plane, a: tuple[float, float], b: tuple[float, float], n: int | None = None) -> DataFrame:
+    """(k, x, y, v): n values along a line of pixel positions (else one a pixel of its length, 2 to 2000), from the pixel that holds each point; NULL outside."""
+    n = n or max(2, min(2000, math.ceil(math.hypot(b[0] - a[0], b[1] - a[1])) + 1))
+    part = F.col("id") / F.lit(float(n - 1))
+    at = lambda p, q: F.floor(F.lit(float(p)) + part * F.lit(float(q - p))).cast("long")
+    points = plane.df.sparkSession.range(n).select(F.col("id").alias("k"), at(a[0], b[0]).alias("x"), at(a[1], b[1]).alias("y"))
     x0, x1, y0, y1 = min(a[0], b[0]), max(a[0], b[0]), min(a[1], b[1]), max(a[1], b[1])
     near = plane.df.where(F.col("x").between(math.floor(x0), math.floor(x1)) & F.col("y").between(math.floor(y0), math.floor(y1)))
-    return F.broadcast(points).join(near, ["x", "y"], "left").select("k", "x", "y", "v") if False else points.join(near, ["x", "y"], "left").select("k", "x", "y", "v")
+    return points.join(near, ["x", "y"], "left").select("k", "x", "y", "v")
 
 
 def line_distance(points: DataFrame, order: str = "k", lon: str = "lon", lat: str = "lat", by: Sequence[str] = ()) -> DataFrame:

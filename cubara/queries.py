@@ -1,4 +1,440 @@
-"""The registered queries of the engine's own operators and their SQL."""
+"""The registered queries of the engine's own operators, and their SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables aren't rasters, so cubes of cells are made from them: `events` as a
+cube (day, hour, user) where a cell is the mean value of its events and errors
+are no data; `embeddings` as a plane of vectors by components; `lineitem` as
+bands. Every query runs over its whole table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cubara.functions import expression, geo, times
+from cubara.functions import nodata as N
+from cubara.operators import catalog, plane, steps
+from cubara.operators.plane import Grid, Plane
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cube(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
+    """(day, x = hour, y = user, v): the mean of a cell's events; errors are no data."""
+    e = table(spark, sf_dir, "events")
+    if kind:
+        e = e.where(F.col("event_type") == kind)
+    value = F.when(F.col("event_type") != "error", F.col("value"))
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long")
+    return e.groupBy(day.alias("day"), F.hour("ts").cast("long").alias("x"), F.col("user_id").alias("y")).agg(F.avg(N.nd(value)).alias("v"))
+
+
+CUBE = """(select datediff('day', date '2024-01-01', cast(ts as date)) as day, cast(hour(ts) as bigint) as x, user_id as y,
+  avg(case when event_type <> 'error' then value end) as v from events {where} group by 1, 2, 3)"""
+SQL_CUBE = CUBE.format(where="")
+
+
+def kind_plane(spark: SparkSession, sf_dir: str, kind: str) -> Plane:
+    """The mean over days of one kind of events."""
+    return Plane(plane.aggregate(cube(spark, sf_dir, kind), "day", "mean"), Grid(24, None), "", kind)
+
+
+def sql_plane(kind: str) -> str:
+    return f"(select y, x, avg(v) as v from {CUBE.format(where=f"where event_type = '{kind}'")} group by y, x)"
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+
+
+# -- aggregates
+
+
+def _aggregate(how: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(plane.aggregate(cube(spark, sf_dir), "day", how), "v")
+
+    query(f"select y, x, round({sql}, 9) as v from {SQL_CUBE} group by y, x", f"agg_time_{how}")(run)
+
+
+for _how, _sql in (("mean", "avg(v)"), ("median", "median(v)"), ("min", "min(v)"), ("max", "max(v)"), ("std", "stddev_pop(v)"), ("count", "cast(count(v) as double)")):
+    _aggregate(_how, _sql)
+
+
+@query(f"select y, x, round(max(v), 9) as v from {SQL_CUBE} where day between 5 and 20 group by y, x")
+def agg_step_range(spark, sf_dir):
+    return rounded(plane.aggregate(cube(spark, sf_dir), "day", "max", 20, 5), "v")
+
+
+@query("select label, dim, round(avg(e), 9) as v from (select label, unnest(embedding)::double as e, generate_subscripts(embedding, 1) - 1 as dim from embeddings) group by label, dim")
+def agg_along_dim(spark, sf_dir):
+    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), F.posexplode("embedding").alias("dim", "v"))
+    cells = cells.select("vec_id", "label", F.col("dim").cast("long").alias("dim"), N.decode(F.col("v")).alias("v"))
+    return rounded(plane.aggregate(cells, "vec_id", "mean"), "v")
+
+
+@query(f"select day, y, round(stddev_pop(v), 9) as v from {SQL_CUBE} group by day, y")
+def agg_over_hours(spark, sf_dir):
+    return rounded(plane.aggregate(cube(spark, sf_dir), "x", "std"), "v")
+
+
+# -- selection
+
+
+@query(f"select day as y, x, round(v, 9) as v from {SQL_CUBE} where y = 7")
+def plane_pick(spark, sf_dir):
+    return rounded(plane.pick(cube(spark, sf_dir), "day", "x", {"y": 7}).df, "v")
+
+
+@query(f"select y, x, round(avg(v), 9) as v from {SQL_CUBE} where y between 10 and 29 and x between 6 and 17 group by y, x")
+def window(spark, sf_dir):
+    whole = Plane(plane.aggregate(cube(spark, sf_dir), "day", "mean"), Grid(24, 150))
+    return rounded(whole.window(6, 10, 12, 20).df, "v")
+
+
+@query(f"select round(avg(v), 9) as v from {SQL_CUBE} where y = 11 and x = 7")
+def probe(spark, sf_dir):
+    return rounded(Plane(cube(spark, sf_dir), Grid(24, None)).probe(7, 11).agg(F.avg("v").alias("v")), "v")
+
+
+@query(f"select day, round(v, 9) as v from {SQL_CUBE} where y = 3 and x = 12")
+def profile(spark, sf_dir):
+    return rounded(plane.profile(cube(spark, sf_dir), "day", {"y": 3, "x": 12}), "v")
+
+
+@query("select l_linenumber as step, count(*) as n from lineitem where l_linenumber between 1 and 6 and (l_linenumber - 1) % 2 = 0 group by 1")
+def strided_steps(spark, sf_dir):
+    return steps.strided(table(spark, sf_dir, "lineitem"), "l_linenumber", 1, 6, 2).groupBy(F.col("l_linenumber").alias("step")).agg(F.count("*").alias("n"))
+
+
+@query("select l_linenumber as k, round(sum(case when l_quantity = 1 then null else l_quantity * 0.5 + 10 end), 4) as v from lineitem group by 1")
+def decode_fill_scale(spark, sf_dir):
+    v = N.decode(F.col("l_quantity"), fill=1, scale=0.5, offset=10)
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.round(F.sum(v), 4).alias("v"))
+
+
+@query("select vec_id, round(sqrt(embedding[1]::double^2 + embedding[2]::double^2), 6) as amp, round(atan2(embedding[2]::double, embedding[1]::double), 6) as phase from embeddings")
+def complex_parts(spark, sf_dir):
+    i, q = F.col("embedding")[0], F.col("embedding")[1]
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(N.complex_part(i, q, "Amp"), 6).alias("amp"), F.round(N.complex_part(i, q, "Phase"), 6).alias("phase"))
+
+
+# -- expressions
+
+
+def _bands(name: str, text: str, sql: str) -> None:
+    """An expression over lineitem's bands, summed up by line number: q quantity, p price, d discount, t tax."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bands = {"q": F.col("l_quantity"), "p": F.col("l_extendedprice"), "d": F.col("l_discount"), "t": F.col("l_tax")}
+        v = expression.compile_expression(text, bands)
+        out = table(spark, sf_dir, "lineitem").select("l_linenumber", v.alias("v")).groupBy(F.col("l_linenumber").alias("k"))
+        return out.agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.max("v"), 6).alias("high"))
+
+    query(f"select l_linenumber as k, count(v) as n, round(avg(v), 6) as mean, round(max(v), 6) as high from (select l_linenumber, {sql} as v from (select *, l_quantity as q, l_extendedprice as p, l_discount as d, l_tax as t from lineitem)) group by 1", f"band_math_{name}")(run)
+
+
+_bands("arith", "p * (1 - d) * (1 + t) - q", "p * (1 - d) * (1 + t) - q")
+_bands("ndvi", "(p - q) / (p + q)", "(p - q) / (p + q)")
+_bands("div_zero", "q / d", "case when d <> 0 then q / d end")
+_bands("compare", "(q >= 25) + (d > t) + (t == 0)", "(q >= 25)::int::double + (d > t)::int::double + (t = 0)::int::double")
+_bands("clamp", "clamp(p / 1000, 40, 10)", "greatest(10, least(40, p / 1000))")
+_bands("mask", "mask(p, q < 10)", "case when not q < 10 then p end")
+_bands("power", "-q^2 + 2^-d + pow(t, 0.5)", "-(q ** 2) + 2 ** (-d) + t ** 0.5")
+_bands("atan2", "atan2(q, p) + sin(d) * cos(t)", "atan2(q, p) + sin(d) * cos(t)")
+_bands("min_max", "max(min(q, 20), d * 100)", "greatest(least(q, 20), d * 100)")
+_bands("log", "ln(d) + log10(t + 1) + exp(-d) + sqrt(abs(q - 25))", "case when d > 0 then ln(d) + log10(t + 1) + exp(-d) + sqrt(abs(q - 25)) end")
+_bands("wind", expression.wind_speed("q", "d * 100"), "sqrt(q ** 2 + (d * 100) ** 2)")
+
+
+def _join(kind_sql: str, columns: str = "y, x", value: str = "v") -> str:
+    a, b = sql_plane("purchase"), sql_plane("view")
+    return f"select {columns}, round({kind_sql}, 9) as {value} from (select a.y, a.x, a.v as a, b.v as b from {a} a join {b} b using (y, x))"
+
+
+@query(_join("case when a > b then a - b end"))
+def layer_math_mask(spark, sf_dir):
+    a, b = kind_plane(spark, sf_dir, "purchase"), kind_plane(spark, sf_dir, "view")
+    return rounded(plane.layer_math("mask(a - b, a <= b)", {"a": a, "b": b}).df, "v")
+
+
+for _kind, _sql in (("difference", "a - b"), ("ratio", "a / b"), ("db", "10 * log10(a / b)"), ("percent", "100 * (a - b) / b")):
+
+    def _compare(spark, sf_dir, kind=_kind):
+        return rounded(plane.compare(kind_plane(spark, sf_dir, "purchase"), kind_plane(spark, sf_dir, "view"), kind).df, "v")
+
+    query(_join(_sql), f"compare_{_kind}")(_compare)
+
+
+@query(_join("case when x < 12 then a else b end"))
+def swipe(spark, sf_dir):
+    return rounded(plane.swipe(kind_plane(spark, sf_dir, "purchase"), kind_plane(spark, sf_dir, "view"), 12), "v")
+
+
+@query(_join("case when b is null then a when a is null then b else b * 0.25 + a * 0.75 end"))
+def stack_over(spark, sf_dir):
+    return rounded(plane.stack_over([(kind_plane(spark, sf_dir, "purchase"), 1.0), (kind_plane(spark, sf_dir, "view"), 0.25)]), "v")
+
+
+@query(
+    f"select y, x, cast(floor(least(greatest(coalesce(a, 0) / 500.0, 0), 1) * 255 + 0.5) as int) as r, cast(floor(least(greatest(coalesce(b, 0) / 500.0, 0), 1) * 255 + 0.5) as int) as g, cast(floor(least(greatest(coalesce(a, 0) / 250.0, 0), 1) * 255 + 0.5) as int) as b from (select a.y, a.x, a.v as a, b.v as b from {sql_plane('purchase')} a join {sql_plane('view')} b using (y, x))"
+)
+def rgb(spark, sf_dir):
+    a, b = kind_plane(spark, sf_dir, "purchase"), kind_plane(spark, sf_dir, "view")
+    return plane.rgb(a, b, a, [(0, 500), (0, 500), (0, 250)])
+
+
+# -- levels
+
+
+for _f in (2, 4):
+
+    def _coarse(spark, sf_dir, f=_f):
+        return rounded(Plane(plane.aggregate(cube(spark, sf_dir), "day", "mean"), Grid(24, None)).coarsen(f).df, "v")
+
+    query(f"select cast(floor(y / {_f}.0) as bigint) as y, cast(floor(x / {_f}.0) as bigint) as x, round(avg(v), 9) as v from (select y, x, avg(v) as v from {SQL_CUBE} group by y, x) group by 1, 2", f"coarsen_{_f}")(_coarse)
+
+
+@query(f"select y, x, round(avg(v), 9) as v from (select day, cast(floor(y / 8.0) as bigint) as y, cast(floor(x / 8.0) as bigint) as x, avg(v) as v from {SQL_CUBE} group by 1, 2, 3) group by y, x")
+def coarsen_then_mean(spark, sf_dir):
+    block = lambda c: F.floor(F.col(c) / 8).cast("long").alias(c)
+    coarse = cube(spark, sf_dir).groupBy("day", block("y"), block("x")).agg(F.avg("v").alias("v"))
+    return rounded(plane.aggregate(coarse, "day", "mean"), "v")
+
+
+# -- statistics
+
+
+@query(f"select y, round(avg(v), 9) as v from (select y, x, avg(v) as v from {SQL_CUBE} group by y, x) group by y")
+def zonal_mean(spark, sf_dir):
+    return rounded(Plane(plane.aggregate(cube(spark, sf_dir), "day", "mean")).zonal(), "v")
+
+
+@query(f"select x, round(avg(v), 9) as v from (select y, x, avg(v) as v from {SQL_CUBE} group by y, x) group by x")
+def meridional_mean(spark, sf_dir):
+    return rounded(Plane(plane.aggregate(cube(spark, sf_dir), "day", "mean")).meridional(), "v")
+
+
+TRIANGLE = [(2.0, 5.0), (22.0, 20.0), (6.0, 110.0)]
+_EDGES = " + ".join(f"(case when ({y1} > py) <> ({y2} > py) and px < {x1} + (py - {y1}) * {(x2 - x1) / (y2 - y1)!r} then 1 else 0 end)" for (x1, y1), (x2, y2) in zip(TRIANGLE, [*TRIANGLE[1:], TRIANGLE[0]]))
+_MEANS = f"(select y, x, y + 0.5 as py, x + 0.5 as px, avg(v) as v from {SQL_CUBE} group by y, x)"
+
+
+@query(f"select count(v) as n, round(avg(v), 9) as mean, round(stddev_pop(v), 9) as std, round(min(v), 9) as min, round(max(v), 9) as max from {_MEANS} where ({_EDGES}) % 2 = 1")
+def region_stats(spark, sf_dir):
+    return rounded(Plane(plane.aggregate(cube(spark, sf_dir), "day", "mean")).statistics(TRIANGLE), "mean", "std", "min", "max")
+
+
+@query(f"select y, x, case when ({_EDGES}) % 2 = 1 then round(v, 9) end as v from {_MEANS}")
+def polygon_mask(spark, sf_dir):
+    return rounded(Plane(plane.aggregate(cube(spark, sf_dir), "day", "mean")).masked(TRIANGLE).df, "v")
+
+
+@query("select l_returnflag, l_linestatus, count(l_extendedprice) as n, round(avg(l_extendedprice), 4) as mean, round(stddev_pop(l_extendedprice), 4) as std, min(l_extendedprice) as min, max(l_extendedprice) as max from lineitem group by 1, 2")
+def grouped_stats(spark, sf_dir):
+    return rounded(plane.statistics(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"]), "mean", "std", digits=4)
+
+
+_HIST = "select b.bin, coalesce(n, 0) as n from (select unnest(range(0, 128)) as bin) b left join (select cast(trunc((l_extendedprice - 1000.0) / 99000.0 * 128) as bigint) as bin, count(*) as n from lineitem where l_extendedprice is not null group by 1) h on b.bin = h.bin"
+
+
+@query(_HIST)
+def hist_128(spark, sf_dir):
+    return plane.histogram(table(spark, sf_dir, "lineitem"), 1000, 100000, v="l_extendedprice").drop("share")
+
+
+@query(f"select bin, round(n * 100.0 / sum(n) over (), 9) as share from ({_HIST})")
+def hist_percent(spark, sf_dir):
+    return rounded(plane.histogram(table(spark, sf_dir, "lineitem"), 1000, 100000, v="l_extendedprice").drop("n"), "share")
+
+
+def _quantile(name: str, p: float) -> None:
+    query(f"select l_extendedprice as q from (select l_extendedprice, row_number() over (order by l_extendedprice) - 1 as r, count(*) over () as n from lineitem where l_extendedprice is not null) where r = floor((n - 1) * {p})", name)(lambda spark, sf_dir: plane.quantile(table(spark, sf_dir, "lineitem"), p, "l_extendedprice"))
+
+
+_quantile("quantile_low", 0.02)
+_quantile("quantile_high", 0.98)
+
+
+@query("select l_linenumber as k, round(sum(pow(least(greatest((20 * log10(greatest(abs(l_extendedprice), 1e-10)) - 60) / 40.0, 0), 1), 0.8)), 4) as v from lineitem group by 1")
+def stretch_db(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.round(F.sum(N.stretch(N.db(F.col("l_extendedprice")), 60, 100, 0.8)), 4).alias("v"))
+
+
+@query("select i, j, count(*) as n from (select cast(floor((l_quantity - 0) / 50.0 * 200) as bigint) as i, 199 - cast(floor(l_extendedprice / 100000.0 * 200) as bigint) as j from lineitem) where i between 0 and 199 and j between 0 and 199 group by i, j")
+def scatter_bins(spark, sf_dir):
+    return plane.scatter_bins(table(spark, sf_dir, "lineitem"), (0, 50), (0, 100000), x="l_quantity", y="l_extendedprice")
+
+
+@query(f"select count(*) as n, round(corr(a, b), 9) as r, round(avg(b - a), 9) as bias, round(sqrt(avg((b - a) * (b - a))), 9) as rmsd from (select a.v as a, b.v as b from {sql_plane('purchase')} a join {sql_plane('view')} b using (y, x)) where a is not null and b is not null")
+def scatter_stats(spark, sf_dir):
+    a, b = kind_plane(spark, sf_dir, "purchase"), kind_plane(spark, sf_dir, "view")
+    both = a.df.withColumnRenamed("v", "a").join(b.df.withColumnRenamed("v", "b"), ["y", "x"])
+    return rounded(plane.scatter_statistics(both), "r", "bias", "rmsd")
+
+
+@query(
+    "with l as (select k, cast(floor(3 + k / 63.0 * 40) as bigint) as vec_id, cast(floor(1 + k / 63.0 * 62) as bigint) as dim from (select unnest(range(0, 64)) as k)), "
+    "c as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as dim from embeddings) select k, dim as x, vec_id as y, round(v, 9) as v from l left join c using (vec_id, dim)"
+)
+def transect(spark, sf_dir):
+    cells = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "v")).select("y", F.col("x").cast("long").alias("x"), F.col("v").cast("double").alias("v"))
+    return rounded(plane.transect(Plane(cells), (1, 3), (63, 43), 64), "v")
+
+
+# -- time
+
+
+@query("select doc_id, cast(epoch(strptime(y || m || d, '%Y%m%d')) as double) as t from (select doc_id, regexp_extract(text, '(?:^|[^0-9])((?:19|20)\\d\\d)(0[1-9]|1[0-2])(0[1-9]|[12]\\d|3[01])', 1) as y, regexp_extract(text, '(?:^|[^0-9])((?:19|20)\\d\\d)(0[1-9]|1[0-2])(0[1-9]|[12]\\d|3[01])', 2) as m, regexp_extract(text, '(?:^|[^0-9])((?:19|20)\\d\\d)(0[1-9]|1[0-2])(0[1-9]|[12]\\d|3[01])', 3) as d from (select doc_id, 'lst_' || strftime(date '2023-07-01' + cast(doc_id % 28 as int), '%Y%m%d') || '.nc' as text from documents))")
+def time_in_name(spark, sf_dir):
+    name = F.concat(F.lit("lst_"), F.date_format(F.date_add(F.lit("2023-07-01").cast("date"), (F.col("doc_id") % 28).cast("int")), "yyyyMMdd"), F.lit(".nc"))
+    return table(spark, sf_dir, "documents").select("doc_id", times.in_name(name).alias("t"))
+
+
+@query("select o_orderkey, cast(epoch(o_orderdate) as double) as t, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as label from orders")
+def time_parse_text(spark, sf_dir):
+    t = times.parse(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", t.alias("t"), times.text(t).alias("label"))
+
+
+@query("select event_id, 1609459200.0 + (event_id % 1000) * 3600.0 as hours, 1577836800.0 + (event_id % 100) * 86400.0 as days from events")
+def cf_decode(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", times.cf(F.col("event_id") % 1000, F.lit("hours since 2021-01-01")).alias("hours"), times.cf_decode(F.col("event_id") % 100, "days since 2020-01-01 00:00:00").alias("days"))
+
+
+@query(
+    "with e as (select user_id, epoch(ts)::double as t, event_id, event_type from events), l as (select * from e where event_type = 'purchase'), r as (select * from e where event_type = 'view'), "
+    "m as (select l.event_id, r.t as t_right, abs(r.t - l.t) as dt, r.event_id as match_id, row_number() over (partition by l.event_id order by abs(r.t - l.t), r.t, r.event_id) as k from l join r using (user_id)) "
+    "select l.event_id, round(m.dt, 3) as dt from l left join (select * from m where k = 1) m using (event_id)"
+)
+def nearest_step(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.expr("(unix_micros(cast(ts as timestamp)) / 1000000D)").alias("t"), "event_id", "event_type")
+    left = e.where("event_type = 'purchase'").drop("event_type")
+    right = e.where("event_type = 'view'").select("user_id", "t", F.col("event_id").alias("match_id"))
+    return rounded(steps.nearest(left, right, by=["user_id"]).select("event_id", "dt"), "dt", digits=3)
+
+
+@query(
+    "with l as (select o_orderkey, epoch(o_orderdate)::double as t from orders), r as (select distinct epoch(ts)::double as t from events), "
+    "b as (select o_orderkey, l.t, (select max(r.t) from r where r.t <= l.t) as lo, (select min(r.t) from r where r.t >= l.t) as hi from l) "
+    "select o_orderkey, round(least(coalesce(t - lo, 1e300), coalesce(hi - t, 1e300)), 3) as dt from b"
+)
+def nearest_in_all(spark, sf_dir):
+    left = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("(unix_micros(cast(o_orderdate as timestamp)) / 1000000D)").alias("t"))
+    right = table(spark, sf_dir, "events").select(F.expr("(unix_micros(cast(ts as timestamp)) / 1000000D)").alias("t"), "event_id")
+    return rounded(steps.nearest(left, right).select("o_orderkey", "dt"), "dt", digits=3)
+
+
+@query(
+    f"with d as (select y, day, avg(v) as v from {SQL_CUBE} group by y, day), n as (select y, row_number() over (partition by y order by day) - 1 as k, v, lead(v) over (partition by y order by day) as w, lead(day) over (partition by y order by day) is not null as more from d) "
+    "select y, k * 4 + f as frame, round(case when f = 0 then v else v * (1 - f / 4.0) + w * (f / 4.0) end, 9) as v from n, (select unnest(range(0, 4)) as f) where f = 0 or more"
+)
+def interpolate_steps(spark, sf_dir):
+    daily = cube(spark, sf_dir).groupBy("y", "day").agg(F.avg("v").alias("v"))
+    return rounded(steps.interpolate(daily, "day", 4, by=["y"]), "v")
+
+
+@query("select page_id, row_number() over (order by nullif(page_id % 7, 3) nulls last, url) - 1 as step from pages")
+def series_sort(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.nullif(F.col("page_id") % 7, F.lit(3)).alias("t"), F.col("url").alias("path"))
+    return steps.series(p).select("page_id", F.col("step").cast("long").alias("step"))
+
+
+# -- catalog
+
+
+@query("select p_partkey, p_brand from (select *, row_number() over (partition by p_brand order by coalesce(nullif(p_size, 7), 0), p_partkey) as r from part) where r = 1")
+def best_per_group(spark, sf_dir):
+    items = table(spark, sf_dir, "part").withColumn("cloud", F.nullif("p_size", F.lit(7)).cast("double"))
+    return catalog.best_per_tile(items, "p_brand", "cloud", "p_partkey").select("p_partkey", "p_brand")
+
+
+@query("select s_suppkey from supplier where nullif(s_nationkey, 5) is null or s_nationkey <= 10")
+def catalog_filter(spark, sf_dir):
+    items = table(spark, sf_dir, "supplier").withColumn("cloud", F.nullif("s_nationkey", F.lit(5)))
+    return catalog.under_cloud(items, 10).select("s_suppkey")
+
+
+@query("select page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^([a-zA-Z][a-zA-Z0-9+.-]*://)[^/@]*@', '\\1') as path from pages")
+def clean_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", catalog.clean_path(F.col("url")).alias("path"))
+
+
+@query("select c_custkey, r_name as region from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+def coord_join(spark, sf_dir):
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("c_custkey", F.col("r_name").alias("region"))
+
+
+@query("select l_returnflag as f, l_linestatus as s, case when l_returnflag = 'A' and l_linestatus = 'F' then 'returned' when l_returnflag = 'R' then 'refused' when l_linestatus = 'O' then 'open' end as name, count(*) as n from lineitem group by 1, 2, 3")
+def code_lookup(spark, sf_dir):
+    codes = spark.createDataFrame([("A", "F", 1, "returned"), ("R", None, 2, "refused"), (None, "O", 3, "open")], "f string, s string, priority int, name string")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"))
+    return catalog.lookup(rows, codes, ["f", "s"]).groupBy("f", "s", "name").agg(F.count("*").alias("n"))
+
+
+# -- geometry
+
+_LON, _LAT = "(c_custkey * 7 % 360) - 180.0", "(c_custkey * 13 % 160) - 80.0"
+
+
+@query(f"select c_custkey, round(2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(48.0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(48.0)) * pow(sin(radians(11.0 - lon) / 2), 2)))), 3) as d from (select c_custkey, {_LON} as lon, {_LAT} as lat from customer)")
+def haversine(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", F.round(geo.haversine(F.expr(_LON).cast("double"), F.expr(_LAT).cast("double"), F.lit(11.0), F.lit(48.0)), 3).alias("d"))
+
+
+@query(f"select c_custkey, round(radians(lon) * 6378137.0, 3) as px, round(ln(tan(radians(lat) / 2 + pi() / 4)) * 6378137.0, 3) as py from (select c_custkey, {_LON} as lon, {_LAT} as lat from customer)")
+def mercator(spark, sf_dir):
+    x, y = geo.project(F.expr(_LON).cast("double"), F.expr(_LAT).cast("double"), 3857)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(x, 3).alias("px"), F.round(y, 3).alias("py"))
+
+
+@query(f"select c_custkey, round(lon, 6) as lon, round(lat, 6) as lat from (select c_custkey, (({_LON}) / 60.0 + 9.0)::double as lon, ({_LAT})::double as lat from customer)")
+def utm_there_and_back(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.expr(_LON) / 60.0 + 9.0).cast("double").alias("a"), F.expr(_LAT).cast("double").alias("b"))
+    x, y = geo.utm(F.col("a"), F.col("b"), 32)
+    c = c.select("c_custkey", x.alias("x"), y.alias("y"))
+    lon, lat = geo.utm_inverse(F.col("x"), F.col("y"), 32)
+    return c.select("c_custkey", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+@query("select l_orderkey, l_linenumber, count(*) as n, round(min(600000.0 + (l_linenumber + 0.5) * 10 + (l_orderkey + 0.5) * 0.5), 4) as px, round(min(5000000.0 - (l_orderkey + 0.5) * 10), 4) as py from lineitem group by 1, 2")
+def affine_map(spark, sf_dir):
+    px, py = geo.affine((600000.0, 10.0, 0.5, 5000000.0, 0.0, -10.0), F.col("l_linenumber") + 0.5, F.col("l_orderkey") + 0.5)
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.round(F.min(px), 4).alias("px"), F.round(F.min(py), 4).alias("py"))
+
+
+@query("select n_nationkey, round(abs(n_nationkey * 3.0 + 1) * (n_nationkey + 2.0) / 2, 4) as area from nation")
+def plane_area(spark, sf_dir):
+    k = F.col("n_nationkey").cast("double")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    zero = F.lit(0.0)
+    pts = F.array(point(zero, zero), point(k * 3 + 1, zero), point(zero, k + 2))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.round(geo.plane_area(pts), 4).alias("area"))
+
+
+@query("select n_nationkey, round(abs(radians(10.0) * (2 + sin(radians(lat)) * 2) - radians(10.0) * (2 + sin(radians(lat + 5)) * 2)) * 6371008.8 * 6371008.8 / 2, 0) as area from (select n_nationkey, n_nationkey * 2.0 - 30 as lat from nation)")
+def sphere_area(spark, sf_dir):
+    lat = F.col("n_nationkey") * 2.0 - 30
+    point = lambda x, y: F.struct(F.lit(x).alias("x"), y.cast("double").alias("y"))
+    pts = F.array(point(0.0, lat), point(10.0, lat), point(10.0, lat + 5), point(0.0, lat + 5))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.round(geo.sphere_area(pts), 0).alias("area"))
