@@ -172,7 +172,8 @@ class NetCDF3(DataSource):
 
     def reader(self, schema: StructType) -> NetCDF3Reader:
         first, last = (self.options.get(k) for k in ("first", "last"))
-        return NetCDF3Reader(self.options["path"], self.variable(), None if first is None else int(first), None if last is None else int(last))
+        kind = PushingReader if self.options.get("pushdown", "").lower() == "true" else NetCDF3Reader
+        return kind(self.options["path"], self.variable(), None if first is None else int(first), None if last is None else int(last))
 
 
 class NetCDF3Reader(DataSourceReader):
@@ -181,18 +182,6 @@ class NetCDF3Reader(DataSourceReader):
         n = v.shape[0] if v.shape else 1
         self.lo, self.hi = max(0, first or 0), min(n, n if last is None else last + 1)
 
-    def pushFilters(self, filters: list[Filter]):
-        lead = self.v.dims[0] if self.v.dims else None
-        for f in filters:
-            column = getattr(f, "attribute", None)
-            if column == (lead,) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
-                k = f.value
-                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    self.lo = max(self.lo, k + isinstance(f, GreaterThan))
-                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                    self.hi = min(self.hi, k + (not isinstance(f, LessThan)))
-            yield f  # Spark tests the rows again: the range alone is narrowed here
-
     def partitions(self) -> list[InputPartition]:
         row = max(1, math.prod(self.v.shape[1:]) if self.v.shape else 1)
         step = max(1, PART_CELLS // row)
@@ -207,6 +196,22 @@ class NetCDF3Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([*columns, pa.array(value, mask=none)], names=[*self.v.dims, "v"])
 
 
+class PushingReader(NetCDF3Reader):
+    """Takes filters on the first dimension. A reader of its own, as sessions without that feature refuse it."""
+
+    def pushFilters(self, filters: list[Filter]):
+        lead = self.v.dims[0] if self.v.dims else None
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if column == (lead,) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                k = f.value
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.lo = max(self.lo, k + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    self.hi = min(self.hi, k + (not isinstance(f, LessThan)))
+            yield f  # Spark tests the rows again: the range alone is narrowed here
+
+
 def small_values(path: str) -> dict[str, list[float]]:
     """The 0-D and 1-D variables: coordinates and scalars."""
     out = {}
