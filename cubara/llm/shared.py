@@ -119,10 +119,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-#: Rows up to which a written table may be broadcast; its columns are a few numbers, so this is some tens of MB.
+#: Rows and array elements up to which a written table may be broadcast; both are a few numbers, so this is some tens of MB.
 SMALL_ROWS = 500_000
 
 
-def small(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """A written table with the broadcast hint if it has at most `rows` rows (counted from its footers), else as it is, for a join by shuffle."""
-    return F.broadcast(table) if table.count() <= rows else table
+def small(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A written table with the broadcast hint if it has at most `most` rows and array elements together, else as it is, for a join by shuffle."""
+    n = F.count("*")
+    for f in table.schema:
+        if f.dataType.typeName() == "array":
+            n = n + F.coalesce(F.sum(F.size(f.name)), F.lit(0))
+    return F.broadcast(table) if table.agg(n).first()[0] <= most else table
