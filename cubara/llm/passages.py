@@ -12,9 +12,10 @@ sentences that are repeated, by themselves or with their paragraph, and is
 reported from MIN_WORDS words on.
 
 A key of more than HEAVY different paragraphs isn't paired in full: its members
-are paired with LEADERS of them, other ones for every key. Members within 0.8 of
-a leader are linked through it; two that are alike but far from all leaders of
-all their common keys aren't (see the README).
+are first paired with LEADERS of them, other ones for every key. Where that
+leaves a key's members in more than one component, an exact prefix-filtered
+join over their sets finds every link between components. So only links inside
+a component are left out, which change no class.
 """
 
 from __future__ import annotations
@@ -130,11 +131,40 @@ def paragraph_links(units: DataFrame, rows: DataFrame, similarity: float = SIMIL
     used = pairs.select(F.col("a").alias("ph")).union(pairs.select("b")).distinct()
     wanted = keyed.select("ph", "row", "para").distinct().join(used, "ph", "left_semi")
     sets = written(_sets(rows, wanted))
+    links = written(_alike(pairs, sets, similarity))
+    crowd = written(keyed.join(heavy.select("key"), "key").select("key", "ph"))
+    return links if crowd.isEmpty() else links.union(_across(crowd, links, sets, similarity))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have at least this Jaccard similarity."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
 
 
+def _across(crowd: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every link between members of crowded keys (key, ph) that the links so far leave in different components.
+
+    Shingles are ordered by their number of sets, rarest first. Two sets that
+    are alike share a shingle of both prefixes; at the first shared one, what
+    follows in the shorter rest bounds the number in common.
+    """
+    parts = connected(links).select(F.col("node").alias("ph"), "component")
+    crowd = crowd.join(parts, "ph", "left").select("key", "ph", F.coalesce("component", "ph").alias("c"))
+    split = crowd.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    rest = written(crowd.join(split, "key").select("ph", "c").distinct())
+    tokens = rest.join(sets, "ph").select("ph", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
+    spread = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    at = F.row_number().over(Window.partitionBy("ph").orderBy("df", "t"))
+    ranked = tokens.join(spread, "t").withColumn("i", at).where(F.col("i") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
+    prefix = written(ranked.where("lo < hi").select("t", "ph", "c", "n", "i"))
+    x, y = prefix.toDF("t", "a", "ca", "na", "ia"), prefix.toDF("t", "b", "cb", "nb", "ib")
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + 1
+    near = x.join(y, "t").where((F.col("ca") < F.col("cb")) & (most * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-9))
+    return _alike(written(near.select("a", "b").distinct()), sets, similarity)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, first_sentence, n_sentences, n_words, first_doc, removed: every passage of at least min_words that occurs elsewhere, too.
 

@@ -9,7 +9,7 @@ from itertools import combinations
 import public_tokenizers
 import pytest
 import xxhash
-from cubara.llm import decontaminate, html_text, langid, lines, packing, simhash, simple8b, syncmers, warc
+from cubara.llm import decontaminate, html_text, langid, lines, packing, passages, simhash, simple8b, syncmers, warc
 from cubara.llm.shared import connected
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -387,3 +387,66 @@ def test_syncmers_edges(spark):
     ties = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "x y"), (None, None)]
     assert syncmers.fingerprint_edits(frame(spark, ties, "doc_id long, text string")).count() == 4
     assert syncmers.anchors(frame(spark, [(1, "a b c d e f g h"), (2, None)], "doc_id long, text string")).where("doc_id = 2").count() == 0
+
+
+# -- 2
+
+
+def slow_sets(texts):
+    """Set of shingles of every different paragraph, by its words."""
+    out = {}
+    for text in texts:
+        for line in (text or "").split("\n"):
+            words = line.encode().lower().split()
+            if words:
+                out[b" ".join(words)] = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    return out
+
+
+def test_paragraph_classes(spark):
+    """Classes of paragraphs against all pairs; more than HEAVY near-copies share a key, in two families unlike each other."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = [None, "", " \n ", "short one", "Short one"]
+    for _ in range(2):
+        base = [word() for _ in range(80)]
+        for _ in range(45):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                copy[rng.randrange(80)] = word()
+            texts.append(" ".join(copy))
+    half = [word() for _ in range(60)]
+    for _ in range(3):
+        tail = [word() for _ in range(25)]
+        texts += [" ".join(half + tail[:k] + [word() for _ in range(k % 3)]) for k in range(14, 26)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    table = passages._rows(frame(spark, rows, "doc_id long, text string"), "doc_id", "text")
+    units = passages.written(passages._units(table))
+    got = {r["node"]: r["component"] for r in connected(passages.paragraph_links(units, table)).collect()}
+    sets = slow_sets(texts)
+    ids = {w: passages._signed(xxhash.xxh64_intdigest(w)) for w in sets}
+    links = [(ids[a], ids[b]) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert got == groups(links, {n for x in links for n in x})
+
+
+def test_crowded_keys_keep_links_between_components(spark):
+    """A chain where neighbours are alike and others aren't: no leader reaches all of it."""
+    chain = [set(range(10 * k, 10 * k + 100)) for k in range(40)]
+    sets = frame(spark, [(k, sorted(s)) for k, s in enumerate(chain)], "ph long, shingles array<long>")
+    crowd = frame(spark, [(1, k) for k in range(40)], "key long, ph long")
+    got = {(r["a"], r["b"]) for r in passages._across(crowd, frame(spark, [(3, 4)], "a long, b long"), sets, 0.8).collect()}
+    want = {(a, b) for a, b in combinations(range(40), 2) if len(chain[a] & chain[b]) >= 0.8 * len(chain[a] | chain[b])}
+    assert {tuple(sorted(x)) for x in got} == want - {(3, 4)}
+
+
+def test_repeated_passages(spark):
+    """Repeats are found whole, in other paragraphs and within one text; clean and odd rows have none."""
+    said = " ".join(f"a{i}" for i in range(40)) + ". " + " ".join(f"b{i}" for i in range(20)) + "."
+    own = lambda k: " ".join(f"{k}x{i}" for i in range(50)) + "."
+    rows = [(1, own(1) + "\n" + said), (2, own(2) + " " + said + " " + own(3)), (3, own(4)), (4, None), (5, ""), (6, said + "\n" + said), (None, said), (2, own(2) + " " + said + " " + own(3))]
+    table = frame(spark, rows, "doc_id long, text string").withColumn("row", F.lit("x")).withColumn("n_words", F.lit(1))
+    got = {(r["doc_id"], r["first_sentence"], r["n_sentences"], r["n_words"], r["first_doc"], r["removed"]) for r in passages.repeated_passages(table).collect()}
+    assert got == {(1, 1, 2, 60, 1, False), (2, 1, 2, 60, 1, True), (6, 0, 4, 120, 1, True), (None, 0, 2, 60, 1, True)}
+    assert passages.repeated_passages(frame(spark, [], "doc_id long, text string")).count() == 0
