@@ -31,17 +31,24 @@ from pyspark.sql import functions as F
 from cubara.llm.shared import connected, map_batches, small, utf8, written
 
 SHINGLE, BANDS, ROWS, SIMILARITY, HEAVY, LEADERS, MIN_WORDS = 5, 10, 3, 0.8, 24, 4, 30
+#: Stands for a null id, so that it comes last.
+LAST = (1 << 63) - 1
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _rng = np.random.default_rng(20)
 _TIMES = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
-    """Distinct 64-bit hashes of the shingles, sorted."""
+    """Distinct 64-bit hashes of the shingles, sorted: the words' hashes, each times a fixed odd number of its place, added up."""
+    hashed = xxhash.xxh64_intdigest
+    h = np.array([hashed(w) for w in words], np.uint64)
     n = max(1, len(words) - SHINGLE + 1)
-    hashed = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([hashed(b" ".join(words[i : i + SHINGLE])) for i in range(n)]), ">u8").astype(np.uint64))
+    total = np.zeros(n, np.uint64)
+    for j in range(min(SHINGLE, len(words))):
+        total += (h[j : j + n] ^ (h[j : j + n] >> np.uint64(32))) * _PLACES[j]
+    return np.unique(total)
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -65,40 +72,67 @@ def sentences(line: bytes) -> list[list[bytes]]:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    """(doc_id, text, row) of the different documents; only texts of repeated rows are shuffled."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    twice = written(rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"))
+    if twice.isEmpty():
+        return rows
+    return rows.join(small(twice), "row", "left_anti").union(rows.join(small(twice), "row").dropDuplicates(["row"])).select("doc_id", "text", "row")
 
 
-def _units(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, para, sentence, n_words, h, ph, keys) of each sentence; ph and keys are its paragraph's, keys at the first sentence only."""
-    schema = "doc_id long, row long, para int, sentence int, n_words int, h long, ph long, keys array<long>"
+#: Paragraphs whose keys a task remembers, as copies are frequent.
+_REMEMBERED = 20_000
+
+
+def _units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sentences (doc, row, sentence, n_words, h, again) and paragraphs (doc, row, para, sentence, words, ph, keys).
+
+    doc is the id, nulls last; again says that the sentence stands in the same
+    text before; a paragraph has its first sentence's number, its sentences'
+    numbers of words, and its keys.
+    """
+    schema = "doc long, row long, para int, sentence int, words array<int>, h array<long>, again array<boolean>, ph long, keys array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def make():
+        known: dict[int, list[int]] = {}
+
         def each(b: pa.RecordBatch) -> dict:
             out: dict = {n: [] for n in names}
-            for doc_id, text, row in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist()):
-                number = 0
+            for doc, text, row in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist()):
+                number, before = 0, set()
                 for para, line in enumerate((text or b"").split(b"\n")):
                     parts = sentences(line)
                     if not parts:
                         continue
                     words = [w for s in parts for w in s]
                     whole = _signed(xxhash.xxh64_intdigest(b" ".join(words)))
-                    keys = bands(shingles(words))
-                    for s in parts:
-                        for n, v in zip(names, (doc_id, row, para, number, len(s), _signed(xxhash.xxh64_intdigest(b" ".join(s), 7)), whole, keys)):
-                            out[n].append(v)
-                        keys = None
-                        number += 1
+                    keys = known.get(whole)
+                    if keys is None:
+                        keys = bands(shingles(words))
+                        if len(known) < _REMEMBERED:
+                            known[whole] = keys
+                    h = [_signed(xxhash.xxh64_intdigest(b" ".join(s), 7)) for s in parts]
+                    again = []
+                    for x in h:
+                        again.append(x in before)
+                        before.add(x)
+                    for n, v in zip(names, (doc, row, para, number, [len(s) for s in parts], h, again, whole, keys)):
+                        out[n].append(v)
+                    number += len(parts)
             return out
 
         return each
 
-    return map_batches(docs, make, schema, rows=128)
+    placed = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text", "row")
+    paras = written(map_batches(placed, make, schema, rows=128))
+    each = F.posexplode(F.arrays_zip("words", "h", "again")).alias("k", "s")
+    sents = paras.select("doc", "row", "sentence", each).select("doc", "row", (F.col("sentence") + F.col("k")).alias("sentence"), F.col("s.words").alias("n_words"), "s.h", "s.again")
+    return sents, paras
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(ph, shingles) of the wanted paragraphs (row, para, ph), read from the texts that hold them."""
+    """(ph, shingles) of the wanted paragraphs (row, para), read from the texts that hold them."""
     by_row = wanted.groupBy("row").agg(F.collect_set("para").alias("paras"))
 
     def make():
@@ -117,22 +151,24 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(rows.join(small(written(by_row)), "row").select("text", "paras"), make, "ph long, shingles array<long>", rows=128).dropDuplicates(["ph"])
 
 
-def paragraph_links(units: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def paragraph_links(paras: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): different paragraphs whose sets are at least as similar, verified exactly."""
-    first = units.where("keys is not null").groupBy("ph").agg(F.min(F.struct("row", "para", "keys")).alias("f"))
-    keyed = written(first.select("ph", "f.row", "f.para", F.explode(F.array_distinct("f.keys")).alias("key")))
-    low = [F.min_by("ph", F.xxhash64("ph", "key", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
-    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n"), *low).where("n > 1"))
+    every = paras.select("ph", F.explode("keys").alias("key"))
+    # Most keys have one paragraph or copies of it: only keys of two different ones go on.
+    shared = written(every.groupBy("key").agg(F.min("ph").alias("lo"), F.max("ph").alias("hi")).where("lo < hi").select("key"))
+    keyed = written(every.join(small(shared), "key").distinct())
+    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")))
     light = keyed.join(small(sizes.where(F.col("n") <= HEAVY).select("key")), "key").select("key", "ph")
     pairs = light.toDF("key", "a").join(light.toDF("key", "b"), "key").where("a < b").select("a", "b")
-    heavy = sizes.where(F.col("n") > HEAVY).select("key", F.array(*(f"l{k}" for k in range(LEADERS))).alias("leaders"))
-    led = keyed.join(heavy, "key").select("ph", F.explode("leaders").alias("l")).where("ph <> l")
+    crowd = written(keyed.join(small(sizes.where(F.col("n") > HEAVY).select("key")), "key").select("key", "ph"))
+    low = [F.min_by("ph", F.xxhash64("ph", "key", F.lit(k))) for k in range(LEADERS)]
+    heavy = written(crowd.groupBy("key").agg(F.array(*low).alias("leaders")))
+    led = crowd.join(small(heavy), "key").select("ph", F.explode("leaders").alias("l")).where("ph <> l")
     pairs = written(pairs.union(led.select(F.least("ph", "l"), F.greatest("ph", "l"))).distinct())
     used = pairs.select(F.col("a").alias("ph")).union(pairs.select("b")).distinct()
-    wanted = keyed.select("ph", "row", "para").distinct().join(used, "ph", "left_semi")
+    wanted = paras.select("ph", "row", "para").join(small(written(used)), "ph").groupBy("ph").agg(F.min(F.struct("row", "para")).alias("p")).select("p.row", "p.para")
     sets = written(_sets(rows, wanted))
     links = written(_alike(pairs, sets, similarity))
-    crowd = written(keyed.join(heavy.select("key"), "key").select("key", "ph"))
     return links if crowd.isEmpty() else links.union(_across(crowd, links, sets, similarity))
 
 
@@ -175,17 +211,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     and text are one document, null ids come last. An empty table gives no rows.
     """
     rows = _rows(docs, id_col, text_col)
-    units = written(_units(rows).dropDuplicates(["row", "sentence"]))
-    classes = connected(paragraph_links(units, rows)).withColumnsRenamed({"node": "ph", "component": "class"})
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "row", "sentence")
-    # Classes of paragraphs with more than one place, and sentences with more than one, with the earliest place of each.
-    heads = units.where("keys is not null").join(classes, "ph", "left").withColumn("class", F.coalesce("class", "ph"))
-    again = heads.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct(place.alias("at"), "para")).alias("first")).where("n > 1")
-    paras = heads.select("row", "para", "class").join(again, "class").select("row", "para", F.col("first.at").alias("p_first"), ((F.col("first.at.row") != F.col("row")) | (F.col("first.para") != F.col("para"))).alias("p_later"))
-    same = units.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("s_first")).where("n > 1").drop("n")
-    flagged = units.select("doc_id", "row", "para", "sentence", "n_words", "h", place.alias("at")).join(same, "h", "left").join(paras, ["row", "para"], "left").where("s_first is not null or p_first is not null")
-    later = F.coalesce(F.col("p_later"), F.lit(False)) | F.coalesce(F.col("s_first") != F.col("at"), F.lit(False))
+    sents, paras = _units(rows)
+    classes = connected(paragraph_links(paras, rows)).select(F.col("node").alias("ph"), F.col("component").alias("class"))
+    # Classes of paragraphs with more than one place, the earliest of them, and the sentences that the others stand for.
+    place = F.struct("doc", "row", "para")
+    # Copies and links are known by ph: places of paragraphs with neither go before anything is joined.
+    several = paras.groupBy("ph").agg(F.count("*").alias("n")).join(classes, "ph", "left").where("n > 1 or class is not null")
+    several = written(several.select("ph", F.coalesce("class", "ph").alias("class")))
+    heads = written(paras.select("doc", "row", "para", "sentence", "words", "ph").join(small(several), "ph").drop("ph"))
+    first = written(heads.groupBy("class").agg(F.min(place).alias("first")))
+    after = heads.join(small(first), "class").select("row", "doc", "sentence", F.col("first.doc").alias("least"), (F.col("first") != place).alias("later"), F.posexplode("words").alias("k", "n_words"))
+    by_para = after.select("doc", "row", (F.col("sentence") + F.col("k")).alias("sentence"), "n_words", "least", "later")
+    # Sentences with more than one place.
+    same = written(sents.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("least")).where("n > 1").select("h", "least"))
+    by_sentence = sents.join(small(same), "h").select("doc", "row", "sentence", "n_words", "least", ((F.col("doc") > F.col("least")) | F.col("again")).alias("later"))
+    marked = by_para.union(by_sentence).repartition("row").groupBy("row", "sentence").agg(F.min("doc").alias("doc"), F.min("n_words").alias("n_words"), F.min("least").alias("least"), F.max("later").alias("later"))
     run = F.col("sentence") - F.row_number().over(Window.partitionBy("row").orderBy("sentence"))
-    runs = flagged.select("doc_id", "row", "sentence", "n_words", F.least("s_first.doc", "p_first.doc").alias("doc"), later.alias("later"), run.alias("run"))
-    out = runs.groupBy("doc_id", "row", "run").agg(F.min("sentence").cast("long").alias("first_sentence"), F.count("*").alias("n_sentences"), F.sum("n_words").alias("n_words"), F.nullif(F.min("doc"), F.lit((1 << 63) - 1)).alias("first_doc"), F.every("later").alias("removed"))
-    return out.where(F.col("n_words") >= min_words).select("doc_id", "first_sentence", "n_sentences", "n_words", "first_doc", "removed")
+    out = marked.withColumn("run", run).groupBy("row", "run").agg(F.min("doc").alias("doc"), F.min("sentence").cast("long").alias("first_sentence"), F.count("*").alias("n_sentences"), F.sum("n_words").alias("n_words"), F.min("least").alias("least"), F.every("later").alias("removed"))
+    real = lambda c: F.nullif(F.col(c), F.lit(LAST))
+    return out.where(F.col("n_words") >= min_words).select(real("doc").alias("doc_id"), "first_sentence", "n_sentences", "n_words", real("least").alias("first_doc"), "removed")

@@ -423,8 +423,8 @@ def test_paragraph_classes(spark):
         texts += [" ".join(half + tail[:k] + [word() for _ in range(k % 3)]) for k in range(14, 26)]
     rows = [(i, t) for i, t in enumerate(texts)]
     table = passages._rows(frame(spark, rows, "doc_id long, text string"), "doc_id", "text")
-    units = passages.written(passages._units(table))
-    got = {r["node"]: r["component"] for r in connected(passages.paragraph_links(units, table)).collect()}
+    _, paras = passages._units(table)
+    got = {r["node"]: r["component"] for r in connected(passages.paragraph_links(paras, table)).collect()}
     sets = slow_sets(texts)
     ids = {w: passages._signed(xxhash.xxh64_intdigest(w)) for w in sets}
     links = [(ids[a], ids[b]) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
