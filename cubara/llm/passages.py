@@ -40,25 +40,74 @@ _PLACES = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + n
 _PLUS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
+def _hashed(words: list[bytes]) -> np.ndarray:
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return h ^ (h >> np.uint64(32))
+
+
+def _windows(hashed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles' hashes of all the paragraphs in a row, repeats included, and where each paragraph's begin.
+
+    A shingle is the sum of its words' hashes, each times a fixed odd number of
+    its place; missing words of short paragraphs add nothing.
+    """
+    n = np.array([len(h) for h in hashed])
+    places = np.maximum(n, SHINGLE)
+    begin, counts = np.cumsum(places) - places, places - SHINGLE + 1
+    flat = np.zeros(places.sum(), np.uint64)
+    flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())] = np.concatenate(hashed)
+    size = len(flat) - SHINGLE + 1
+    total = flat[:size] * _PLACES[0]
+    for j in range(1, SHINGLE):
+        total += flat[j : j + size] * _PLACES[j]
+    starts = np.cumsum(counts) - counts
+    return total[np.repeat(begin - starts, counts) + np.arange(counts.sum())], starts
+
+
 def shingles(words: list[bytes]) -> np.ndarray:
-    """Distinct 64-bit hashes of the shingles, sorted: the words' hashes, each times a fixed odd number of its place, added up."""
-    hashed = xxhash.xxh64_intdigest
-    h = np.array([hashed(w) for w in words], np.uint64)
-    n = max(1, len(words) - SHINGLE + 1)
-    total = np.zeros(n, np.uint64)
-    for j in range(min(SHINGLE, len(words))):
-        total += (h[j : j + n] ^ (h[j : j + n] >> np.uint64(32))) * _PLACES[j]
-    return np.unique(total)
-
-
-def bands(hashes: np.ndarray) -> list[int]:
-    """The paragraph's keys, as signed longs. Sets of fewer than four shingles are alike only if equal: one key."""
-    if len(hashes) < 4:
-        return [_signed(xxhash.xxh64_intdigest(hashes.tobytes()))]
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[at : at + 4096, None] * _TIMES + _PLUS).min(axis=0))
-    return [_signed(xxhash.xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b)) for b in range(BANDS)]
+    """Distinct 64-bit hashes of the shingles, sorted."""
+    return np.unique(_windows([_hashed(words)])[0])
+
+
+def _few(total: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each paragraph, whether it has fewer than four different shingles."""
+    ends = np.append(starts[1:], len(total))
+    few = ends - starts < 4
+    at = starts[~few]
+    first = [total[at + k] for k in range(4)]
+    same = np.zeros(len(at), bool)
+    for i in range(4):
+        for j in range(i):
+            same |= first[i] == first[j]
+    for k in np.flatnonzero(~few)[same]:  # its first four aren't all different: look at all
+        few[k] = len(np.unique(total[starts[k] : ends[k]])) < 4
+    return few
+
+
+def bands(hashed: list[np.ndarray]) -> list[list[int]]:
+    """Each paragraph's keys, as signed longs, from its words' hashes. Sets of fewer than four shingles are alike only if equal: one key."""
+    if not hashed:
+        return []
+    total, starts = _windows(hashed)
+    least = [np.minimum.reduceat(total * t + p, starts) for t, p in zip(_TIMES, _PLUS)]
+    keys = np.empty((len(hashed), BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(hashed), b, np.uint64)
+        for m in least[b * ROWS : (b + 1) * ROWS]:
+            key = _mixed(key ^ m)
+        keys[:, b] = key
+    one = keys[:, 0].copy()
+    for b in range(1, BANDS):
+        one = _mixed(one ^ keys[:, b])
+    few = _few(total, starts).tolist()
+    return [[x] if f else row for x, row, f in zip(one.view(np.int64).tolist(), keys.view(np.int64).tolist(), few)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scattering of 64-bit numbers: odd products and shifts."""
+    x = (x ^ (x >> np.uint64(32))) * _PLACES[0]
+    x = (x ^ (x >> np.uint64(29))) * _PLACES[1]
+    return x ^ (x >> np.uint64(32))
 
 
 def _signed(x: int) -> int:
@@ -99,6 +148,7 @@ def _units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         def each(b: pa.RecordBatch) -> dict:
             out: dict = {n: [] for n in names}
+            lacking: dict[int, np.ndarray] = {}
             for doc, text, row in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist()):
                 number, before = 0, set()
                 for para, line in enumerate((text or b"").split(b"\n")):
@@ -107,19 +157,22 @@ def _units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                         continue
                     words = [w for s in parts for w in s]
                     whole = _signed(xxhash.xxh64_intdigest(b" ".join(words)))
-                    keys = known.get(whole)
-                    if keys is None:
-                        keys = bands(shingles(words))
-                        if len(known) < _REMEMBERED:
-                            known[whole] = keys
+                    if whole not in known and whole not in lacking:
+                        lacking[whole] = _hashed(words)
                     h = [_signed(xxhash.xxh64_intdigest(b" ".join(s), 7)) for s in parts]
                     again = []
                     for x in h:
                         again.append(x in before)
                         before.add(x)
-                    for n, v in zip(names, (doc, row, para, number, [len(s) for s in parts], h, again, whole, keys)):
+                    for n, v in zip(names, (doc, row, para, number, [len(s) for s in parts], h, again, whole)):
                         out[n].append(v)
                     number += len(parts)
+            new = dict(zip(lacking, bands(list(lacking.values()))))
+            out["keys"] = [new[w] if w in new else known[w] for w in out["ph"]]
+            for w, keys in new.items():
+                if len(known) >= _REMEMBERED:
+                    break
+                known[w] = keys
             return out
 
         return each
