@@ -3,12 +3,13 @@
 A page is read into blocks of text, each with its path of block-level tags from
 the root. For every distinct path, text length, punctuation, linked text and
 number of blocks are summed; the two ratios text a block and punctuation a block
-are smoothed over the paths in page order, fused by their product, and paths
-above a threshold that follows from the page's own distribution are content. A
-path is kept whole, so a short paragraph stays with the long ones beside it.
-Paths through elements that can't hold an article (menus, headers, footers,
-forms, adverts ...) never count, and if a page marks its article, paths outside
-it don't either.
+are smoothed over the paths in page order and fused by their product, as a share
+of the page's largest. Where a page marks an article, the share of the page's
+text that lies in that very element is added: near 1 for an article that holds
+the story, near 0 for one of many cards. Paths above a threshold that follows
+from the page's own distribution are content. A path is kept whole, so a short
+paragraph stays with the long ones beside it. Paths through elements that can't
+hold an article (menus, headers, footers, forms, adverts ...) never count.
 """
 
 from __future__ import annotations
@@ -45,10 +46,11 @@ _OUT_NAME = re.compile(
 _LONE = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
 
-def blocks(source: str) -> list[tuple[tuple[str, ...], str, int, bool, bool]]:
-    """(path, text, linked characters, barred, inside an article) of each block with text, in page order."""
+def blocks(source: str) -> list[tuple[tuple[str, ...], str, int, bool, int]]:
+    """(path, text, linked characters, barred, number of the marked article around it or 0) of each block with text, in page order."""
     out: list = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label in the path, barred, in an article
+    stack: list[tuple[str, str, bool, int]] = []  # tag, label in the path, barred, the innermost marked article
+    articles = 0
     text: list[str] = []
     linked = links = 0
     raw = ""
@@ -59,7 +61,7 @@ def blocks(source: str) -> list[tuple[tuple[str, ...], str, int, bool, bool]]:
             whole = _SPACE.sub(" ", html.unescape("".join(text))).strip(" ")
             text.clear()
             if whole:
-                top = stack[-1] if stack else ("", "", False, False)
+                top = stack[-1] if stack else ("", "", False, 0)
                 out.append((tuple(s[1] for s in stack), whole, linked, top[2], top[3]))
         linked = 0
 
@@ -117,7 +119,7 @@ def blocks(source: str) -> list[tuple[tuple[str, ...], str, int, bool, bool]]:
             close(stack, "head", set())
         if tag == "hr" or m[3].endswith("/") and tag in _VOID:
             continue
-        above = stack[-1] if stack else ("", "", False, False)
+        above = stack[-1] if stack else ("", "", False, 0)
         label, barred = tag, above[2] or tag in _OUT
         if tag == "header" and above[3] and not above[2]:
             barred = False  # an article's own header holds its title
@@ -131,11 +133,17 @@ def blocks(source: str) -> list[tuple[tuple[str, ...], str, int, bool, bool]]:
             barred |= bool(name and not body and _OUT_NAME.search(name))
             if tag == "article" and _COMMENT.search(name):
                 barred = True
-            marked = tag in ("article", "main") or a.get("role", "").lower() in ("main", "article") or a.get("itemprop", "") == "articleBody"
+            own = tag == "article" or a.get("role", "").lower() == "article"
+            marked = own or tag == "main" or a.get("role", "").lower() == "main" or a.get("itemprop", "") == "articleBody"
         else:
-            marked = tag in ("article", "main")
+            own = tag == "article"
+            marked = own or tag == "main"
+        inside = above[3]
+        if marked and not barred and (own or not inside):  # an article's body is the article's; an article in another one is its own
+            articles += 1
+            inside = articles
         if len(stack) < 200:
-            stack.append((tag, label, barred, above[3] or (marked and not barred)))
+            stack.append((tag, label, barred, inside))
     flush()
     return out
 
@@ -157,36 +165,39 @@ def extract(source: str | None) -> str:
     """The page's main text: blocks joined with line breaks; null, empty and textless pages give an empty text."""
     if not source:
         return ""
-    found = blocks(source)
-    inside = [b for b in found if b[4]]
-    # Nothing marked: every block that isn't barred competes.
-    chosen = [b for b in (inside or found) if not b[3]]
+    chosen = [b for b in blocks(source) if not b[3]]
     if not chosen:
         return ""
     order: dict[tuple[str, ...], list[float]] = {}
-    for path, text, linked, _, _ in chosen:
-        s = order.setdefault(path, [0, 0, 0, 0])
+    held: dict[int, int] = {}
+    for path, text, linked, _, article in chosen:
+        s = order.setdefault(path, [0, 0, 0, 0, 0])
         s[0] += len(text)
         s[1] += len(_MARKS.findall(text))
         s[2] += min(linked, len(text))
         s[3] += 1
+        held[article] = held.get(article, 0) + len(text) - min(linked, len(text))
+    whole = max(1, sum(held.values()))
+    for path, text, _, _, article in chosen:
+        order[path][4] += len(text) * held[article] / whole if article else 0
     paths = list(order)
     ratio = [order[p][0] / order[p][3] * (1 - order[p][2] / order[p][0]) for p in paths]
     marks = [order[p][1] / order[p][3] for p in paths]
     fused = [a * (1 + b) for a, b in zip(_smooth(ratio), _smooth(marks))]
-    if inside:
-        # The page names its article: a path in it is left out only if it is links for the most part.
-        good = {p for p in paths if order[p][2] <= 0.6 * order[p][0]}
-        if not good:
-            good = set(paths)
-    else:
-        mean = sum(fused) / len(fused)
-        spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-        limit = min(max(fused) * 0.5, max(mean - 0.5 * spread, 0.1 * max(fused)))
-        good = {p for p, x in zip(paths, fused) if x >= limit and order[p][2] <= 0.5 * order[p][0]}
-        # Headings and captions beside content paths belong to it.
-        homes = {p[:-1] for p in good}
-        good |= {p for p in paths if p[-1:] and p[-1].split(".")[0] in ("h1", "h2", "h3", "h4", "h5", "h6") and any(h[: len(p) - 1] == p[:-1] for h in homes) and order[p][2] <= 0.5 * order[p][0]}
+    inside = {p: order[p][4] / order[p][0] for p in paths}
+    most = max(fused) or 1
+    fused = [x / most + inside[p] for p, x in zip(paths, fused)]
+    mean = sum(fused) / len(fused)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
+    limit = min(max(fused) * 0.5, max(mean - 0.5 * spread, 0.1 * max(fused)))
+    # An article may have more links than other text.
+    plain = {p for p in paths if order[p][2] <= (0.5 + 0.1 * inside[p]) * order[p][0]}
+    good = {p for p, x in zip(paths, fused) if x >= limit - 1e-9 and p in plain}
+    # Headings and captions beside content paths belong to it.
+    homes = {p[:-1] for p in good}
+    good |= {p for p in plain if p[-1:] and p[-1].split(".")[0] in ("h1", "h2", "h3", "h4", "h5", "h6") and any(h[: len(p) - 1] == p[:-1] for h in homes)}
+    if not good:  # nothing but links: what a page marks is all it has
+        good = {b[0] for b in chosen if b[4]}
     return "\n".join(b[1] for b in chosen if b[0] in good)
 
 

@@ -158,6 +158,21 @@ def test_html_text(spark):
     assert len(html_text.extract(deep)) > 100000
 
 
+def test_html_text_of_marked_pages():
+    """The threshold chooses on marked pages, too: cards or comments in <article> don't put out a story in a <div>."""
+    story = [f"Paragraph {k} of the story, which goes on for a while, says what it has to say, and ends; then it says more of it." for k in range(6)]
+    body = "<div><h1>Story's title</h1>" + "".join(f"<p>{x}</p>" for x in story) + "</div>"
+    cards = "<section>" + "".join(f"<article><h3><a href=/{k}>Card {k}</a></h3><p>Read this.</p></article>" for k in range(8)) + "</section>"
+    want = "\n".join(["Story's title", *story])
+    for page in (body + cards, cards + body, f"<main>{body}{cards}</main>", f"<article>{body}</article>{cards}"):
+        assert html_text.extract(f"<html><body>{page}</body></html>") == want
+    assert html_text.extract(f"<html><body>{body}</body></html>") == want
+    said = "".join(f"<article><p>I like number {k}.</p></article>" for k in range(8))
+    assert html_text.extract(f"<html><body><div>{body}</div>{said}</body></html>").startswith(want)
+    table = "<article><p>" + story[0] * 3 + "</p><table><tr><td>12<td>13</table><ul><li>one<li>two</ul></article><div><p>Not of it.</p></div>"
+    assert html_text.extract(f"<html><body>{table}</body></html>") == "\n".join([story[0] * 3, "12", "13", "one", "two"])
+
+
 def test_html_text_of_pages(spark):
     """Everything in the article and nothing else, by a plainer reading of these pages."""
     import html
