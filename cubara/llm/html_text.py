@@ -17,6 +17,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,7 @@ _SPACE = re.compile(r"[ \t\n\r\f\v  -     　\u0085 ]+")
 _MARKS = re.compile(r"[.,;:!?。，！？；]")
 # Fixed values of HTML.
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp"}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 _BLOCK = set(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption address hr header footer nav aside form fieldset legend details summary dialog menu center hgroup search head select option optgroup button svg math object video audio canvas label".split()
@@ -46,14 +49,51 @@ _OUT_NAME = re.compile(
 _LONE = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
 
-def blocks(source: str) -> list[tuple[tuple[str, ...], str, int, bool, int]]:
-    """(path, text, linked characters, barred, number of the marked article around it or 0) of each block with text, in page order."""
+def _tokens(source: str) -> Iterator[re.Match]:
+    """Matches of _TOKEN; what a raw element holds is no markup and is skipped, to the end of the page if it has no end tag."""
+    at = 0
+    while at < len(source):
+        for m in _TOKEN.finditer(source, at):
+            yield m
+            if m[2] and not m[1] and m[2].lower() in _RAW and not m[3].endswith("/"):
+                end = _RAW_END[m[2].lower()].search(source, m.end())
+                at = end.end() if end else len(source)
+                break
+        else:
+            return
+
+
+class _Open:
+    """The open blocks, however deep: tag, path, barred and the innermost marked article of each, and where each tag is open."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+
+    def push(self, tag: str, path: int, barred: bool, inside: int) -> None:
+        self.at[tag].append(len(self.rows))
+        self.rows.append((tag, path, barred, inside))
+
+    def close(self, tag: str, until: Iterable[str] = ()) -> None:
+        """End an open `tag` and what is open in it, unless one of `until` lies above it."""
+        places = self.at[tag]
+        if places and not any(self.at[u][-1:] > places[-1:] for u in until):
+            for _ in range(len(self.rows) - places[-1]):
+                self.at[self.rows.pop()[0]].pop()
+
+
+def blocks(source: str) -> tuple[list[tuple[int, str, int, bool, int]], list[tuple[int, str]]]:
+    """(path, text, linked characters, barred, number of the marked article around it or 0) of each block with text, in page order; and the paths.
+
+    A path is a number: that of the path above it and the last label stand in its place of the list.
+    """
     out: list = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, label in the path, barred, the innermost marked article
+    paths: list[tuple[int, str]] = [(0, "")]
+    known: dict[tuple[int, str], int] = {}
+    stack = _Open()
     articles = 0
     text: list[str] = []
     linked = links = 0
-    raw = ""
 
     def flush() -> None:
         nonlocal linked
@@ -61,37 +101,29 @@ def blocks(source: str) -> list[tuple[tuple[str, ...], str, int, bool, int]]:
             whole = _SPACE.sub(" ", html.unescape("".join(text))).strip(" ")
             text.clear()
             if whole:
-                top = stack[-1] if stack else ("", "", False, 0)
-                out.append((tuple(s[1] for s in stack), whole, linked, top[2], top[3]))
+                out.append((stack.rows[-1][1], whole, linked, *stack.rows[-1][2:]))
         linked = 0
 
-    for m in _TOKEN.finditer(source):
+    for m in _tokens(source):
         if m[4] is not None:
-            if not raw:
-                text.append(m[4])
-                if links:
-                    linked += len(m[4].strip())
+            text.append(m[4])
+            if links:
+                linked += len(m[4].strip())
             continue
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
-        if raw:
-            if closing and tag == raw:
-                raw = ""
-            continue
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in _BLOCK and any(s[0] == tag for s in stack):
+            if tag in _BLOCK and stack.at[tag]:
                 flush()
-                while stack.pop()[0] != tag:
-                    pass
+                stack.close(tag)
                 links = 0
             elif tag in _BLOCK:
                 flush()
             continue
         if tag in _RAW:
-            raw = "" if m[3].endswith("/") else tag
             continue
         if tag == "br":
             text.append(" ")
@@ -104,22 +136,22 @@ def blocks(source: str) -> list[tuple[tuple[str, ...], str, int, bool, int]]:
         flush()
         links = 0
         if tag in _CLOSES_P:
-            close(stack, "p", {"td", "th", "button", "table"})
+            stack.close("p", {"td", "th", "button", "table"})
         if tag == "li":
-            close(stack, "li", {"ul", "ol", "menu"})
+            stack.close("li", {"ul", "ol", "menu"})
         elif tag in ("dt", "dd"):
-            close(stack, "dt", {"dl"})
-            close(stack, "dd", {"dl"})
+            stack.close("dt", {"dl"})
+            stack.close("dd", {"dl"})
         elif tag in ("td", "th", "tr", "tbody", "tfoot", "thead"):
             for t in ("td", "th") if tag in ("td", "th") else ("td", "th", "tr"):
-                close(stack, t, {"table"})
+                stack.close(t, {"table"})
         elif tag == "option":
-            close(stack, "option", {"select"})
+            stack.close("option", {"select"})
         elif tag == "body":
-            close(stack, "head", set())
+            stack.close("head")
         if tag == "hr" or m[3].endswith("/") and tag in _VOID:
             continue
-        above = stack[-1] if stack else ("", "", False, 0)
+        above = stack.rows[-1]
         label, barred = tag, above[2] or tag in _OUT
         if tag == "header" and above[3] and not above[2]:
             barred = False  # an article's own header holds its title
@@ -142,33 +174,26 @@ def blocks(source: str) -> list[tuple[tuple[str, ...], str, int, bool, int]]:
         if marked and not barred and (own or not inside):  # an article's body is the article's; an article in another one is its own
             articles += 1
             inside = articles
-        if len(stack) < 200:
-            stack.append((tag, label, barred, inside))
+        path = known.setdefault((above[1], label), len(paths))
+        if path == len(paths):
+            paths.append((above[1], label))
+        stack.push(tag, path, barred, inside)
     flush()
-    return out
+    return out, paths
 
 
 _COMMENT = re.compile(r"comment|reply|replies", re.I)
 
 
-def close(stack: list, tag: str, until: set[str]) -> None:
-    """End an open `tag`, unless one of `until` lies above it."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] == tag:
-            del stack[k:]
-            return
-        if stack[k][0] in until:
-            return
-
-
 def extract(source: str | None) -> str:
     """The page's main text: blocks joined with line breaks; null, empty and textless pages give an empty text."""
     if not source:
         return ""
-    chosen = [b for b in blocks(source) if not b[3]]
+    found, tree = blocks(source)
+    chosen = [b for b in found if not b[3]]
     if not chosen:
         return ""
-    order: dict[tuple[str, ...], list[float]] = {}
+    order: dict[int, list[float]] = {}
     held: dict[int, int] = {}
     for path, text, linked, _, article in chosen:
         s = order.setdefault(path, [0, 0, 0, 0, 0])
@@ -194,8 +219,11 @@ def extract(source: str | None) -> str:
     plain = {p for p in paths if order[p][2] <= (0.5 + 0.1 * inside[p]) * order[p][0]}
     good = {p for p, x in zip(paths, fused) if x >= limit - 1e-9 and p in plain}
     # Headings and captions beside content paths belong to it.
-    homes = {p[:-1] for p in good}
-    good |= {p for p in plain if p[-1:] and p[-1].split(".")[0] in ("h1", "h2", "h3", "h4", "h5", "h6") and any(h[: len(p) - 1] == p[:-1] for h in homes)}
+    homes: set[int] = set()
+    for p in good:
+        while (p := tree[p][0]) not in homes:
+            homes.add(p)
+    good |= {p for p in plain if p and tree[p][1].split(".")[0] in ("h1", "h2", "h3", "h4", "h5", "h6") and tree[p][0] in homes}
     if not good:  # nothing but links: what a page marks is all it has
         good = {b[0] for b in chosen if b[4]}
     return "\n".join(b[1] for b in chosen if b[0] in good)

@@ -173,6 +173,19 @@ def test_html_text_of_marked_pages():
     assert html_text.extract(f"<html><body>{table}</body></html>") == "\n".join([story[0] * 3, "12", "13", "one", "two"])
 
 
+def test_html_text_raw_and_deep():
+    """Scripts aren't markup, and blocks of any depth end where they end."""
+    text = "It goes on, after all, and on."
+    for raw in ("<script>for(i=0;i<n;i++){f(i)}</script>", "<script>s='<!--'</script>", "<STYLE>a<b{}</Style >", "<script>x='<p title=\"'</script\n>", "<title>a<b</title>"):
+        assert html_text.extract(f"<div>{raw}<p>{text}</p></div>") == text
+    assert html_text.extract(f"<p>{text}</p><script>if(a<b)") == text
+    deep = "<div>" * 250 + f"<p>{text}</p><nav>Menu</nav><aside>Side, by side, it is.</aside>" + "</div>" * 250
+    assert html_text.extract(f"<div><article>{deep}<p>{text}</p></article></div>") == f"{text}\n{text}"
+    assert html_text.extract(f"<div>{deep}<p>{text}</p></div>") == f"{text}\n{text}"
+    wide = "<table><tr><td>" * 20000 + f"<p>{text}</p>" + "<p>x</i></b></li></td>" * 20000
+    assert text in html_text.extract(wide)
+
+
 def test_html_text_of_pages(spark):
     """Everything in the article and nothing else, by a plainer reading of these pages."""
     import html
