@@ -7,9 +7,17 @@ paragraphs of Jaccard similarity 0.8 share a key with probability 0.9992
 similarity of their sets is verified, and linked paragraphs are one class by
 components. Equal paragraphs are one from the start. A passage that was put
 into a paragraph leaves that paragraph's set unlike any other, so a paragraph's
-sentences are compared too, for equality. A passage is a run of neighbouring
-sentences that are repeated, by themselves or with their paragraph, and is
-reported from MIN_WORDS words on.
+sentences are compared too, for equality.
+
+Equal runs of words are found wherever they begin and end. Every min_words
+consecutive words of a text, line ends or not, are a window; its anchor is the
+least hash of the runs of half as many words in it, so equal windows have equal
+anchors, and neighbouring windows mostly one anchor together. Only windows whose
+anchor stands in several places are compared, and all of them: what two windows
+have in common to the word is all runs of min_words or more.
+
+A passage is a run of neighbouring words that are repeated by their sentence,
+paragraph or window, and is reported from min_words words on.
 
 A key of more than HEAVY different paragraphs isn't paired in full: its members
 are first paired with LEADERS of them, other ones for every key. Where that
@@ -21,6 +29,7 @@ a component are left out, which change no class.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -134,13 +143,14 @@ _REMEMBERED = 20_000
 
 
 def _units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sentences (doc, row, sentence, n_words, h, again) and paragraphs (doc, row, para, sentence, words, ph, keys).
+    """Sentences (doc, row, sentence, word, n_words, h, again) and paragraphs (doc, row, para, sentence, starts, words, ph, keys).
 
     doc is the id, nulls last; again says that the sentence stands in the same
-    text before; a paragraph has its first sentence's number, its sentences'
-    numbers of words, and its keys.
+    text before; word is the number of its first one. A paragraph has its first
+    sentence's number, its sentences' first words and numbers of words, and its
+    keys.
     """
-    schema = "doc long, row long, para int, sentence int, words array<int>, h array<long>, again array<boolean>, ph long, keys array<long>"
+    schema = "doc long, row long, para int, sentence int, starts array<int>, words array<int>, h array<long>, again array<boolean>, ph long, keys array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def make():
@@ -150,7 +160,7 @@ def _units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             out: dict = {n: [] for n in names}
             lacking: dict[int, np.ndarray] = {}
             for doc, text, row in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist()):
-                number, before = 0, set()
+                number, at, before = 0, 0, set()
                 for para, line in enumerate((text or b"").split(b"\n")):
                     parts = sentences(line)
                     if not parts:
@@ -164,7 +174,11 @@ def _units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                     for x in h:
                         again.append(x in before)
                         before.add(x)
-                    for n, v in zip(names, (doc, row, para, number, [len(s) for s in parts], h, again, whole)):
+                    starts = []
+                    for s in parts:
+                        starts.append(at)
+                        at += len(s)
+                    for n, v in zip(names, (doc, row, para, number, starts, [len(s) for s in parts], h, again, whole)):
                         out[n].append(v)
                     number += len(parts)
             new = dict(zip(lacking, bands(list(lacking.values()))))
@@ -179,8 +193,8 @@ def _units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     placed = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text", "row")
     paras = written(map_batches(placed, make, schema, rows=128))
-    each = F.posexplode(F.arrays_zip("words", "h", "again")).alias("k", "s")
-    sents = paras.select("doc", "row", "sentence", each).select("doc", "row", (F.col("sentence") + F.col("k")).alias("sentence"), F.col("s.words").alias("n_words"), "s.h", "s.again")
+    each = F.posexplode(F.arrays_zip("starts", "words", "h", "again")).alias("k", "s")
+    sents = paras.select("doc", "row", "sentence", each).select("doc", "row", (F.col("sentence") + F.col("k")).alias("sentence"), F.col("s.starts").alias("word"), F.col("s.words").alias("n_words"), "s.h", "s.again")
     return sents, paras
 
 
@@ -254,13 +268,125 @@ def _across(crowd: DataFrame, links: DataFrame, sets: DataFrame, similarity: flo
     return _alike(written(near.select("a", "b").distinct()), sets, similarity)
 
 
+def _halves(hashed: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each `size` consecutive words."""
+    n = len(hashed) - size + 1
+    total = np.zeros(n, np.uint64)
+    for j in range(size):
+        total = (total ^ hashed[j : j + n]) * _PLACES[0]
+        total ^= total >> np.uint64(31)
+    return _mixed(total)
+
+
+def _least(values: np.ndarray, size: int) -> np.ndarray:
+    """The least of each `size` consecutive values."""
+    n, done = len(values) - size + 1, 1
+    while done < size:
+        step = min(done, size - done)
+        values = np.minimum(values[: len(values) - step], values[step:])
+        done += step
+    return values[:n]
+
+
+def _windows_of(text: bytes | None, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor and hash of each min_words consecutive words."""
+    words = (text or b"").translate(_FOLD).split()
+    if len(words) < min_words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    half = (min_words + 1) // 2
+    parts, rest = _halves(_hashed(words), half), min_words - half
+    n = len(words) - min_words + 1
+    return _least(parts, rest + 1), _mixed(parts[:n] * _PLACES[1] + parts[rest : rest + n] * _PLACES[2])
+
+
+def repeated_windows(rows: DataFrame, min_words: int) -> DataFrame:
+    """(row, doc, lo, hi, least, later): stretches [lo, hi) of words all of whose min_words consecutive ones stand elsewhere, too, first in the document least, and whether that is an earlier place."""
+
+    def anchored():
+        def each(b: pa.RecordBatch) -> dict:
+            out: dict = {"anchor": [], "row": [], "lo": [], "hi": []}
+            for text, row in zip(utf8(b.column(0)), b.column(1).to_pylist()):
+                a, _ = _windows_of(text, min_words)
+                if len(a):
+                    first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+                    out["anchor"].append(a[first].view(np.int64))
+                    out["row"].append(np.full(len(first), row))
+                    out["lo"].append(first)
+                    out["hi"].append(np.append(first[1:], len(a)))
+            return {k: np.concatenate(v) if v else [] for k, v in out.items()}
+
+        return each
+
+    anchors = written(map_batches(rows.select("text", "row"), anchored, "anchor long, row long, lo int, hi int", rows=128))
+    shared = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    wanted = written(anchors.join(small(shared), "anchor").groupBy("row").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his")))
+
+    def compared():
+        def each(b: pa.RecordBatch) -> dict:
+            out: dict = {"doc": [], "row": [], "at": [], "w": []}
+            for text, doc, row, los, his in zip(utf8(b.column(0)), *(b.column(k).to_pylist() for k in range(1, 5))):
+                _, w = _windows_of(text, min_words)
+                at = np.concatenate([np.arange(x, y) for x, y in zip(los, his)])
+                out["doc"].append(np.full(len(at), doc))
+                out["row"].append(np.full(len(at), row))
+                out["at"].append(at)
+                out["w"].append(w[at].view(np.int64))
+            return {k: np.concatenate(v) if v else [] for k, v in out.items()}
+
+        return each
+
+    texts = rows.join(small(wanted), "row").select("text", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "row", "los", "his")
+    windows = written(map_batches(texts, compared, "doc long, row long, at int, w long", rows=128))
+    place = F.struct("doc", "row", "at")
+    first = written(windows.groupBy("w").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("w", "first"))
+    again = windows.join(small(first), "w").select("doc", "row", "at", F.col("first.doc").alias("least"), (F.col("first") != place).alias("later"))
+    # Neighbouring windows with one earliest document are one stretch.
+    run = F.col("at") - F.row_number().over(Window.partitionBy("row", "least", "later").orderBy("at"))
+    return again.withColumn("run", run).groupBy("row", "least", "later", "run").agg(F.min("doc").alias("doc"), F.min("at").alias("lo"), (F.max("at") + min_words).alias("hi"))
+
+
+def _passages(marks: DataFrame, paras: DataFrame, min_words: int) -> DataFrame:
+    """Passages from repeated stretches (row, doc, lo, hi, least, later) of words."""
+    spans = marks.groupBy("row").agg(F.min("doc").alias("doc"), *(F.collect_list(c).alias(c) for c in ("lo", "hi", "least", "later")))
+    starts = paras.select("row", F.explode("starts").alias("s")).groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("starts"))
+    schema = "doc long, first_sentence long, n_sentences long, n_words long, least long, removed boolean, first_word long"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def make():
+        def each(b: pa.RecordBatch) -> dict:
+            out: dict = {n: [] for n in names}
+            for doc, los, his, leasts, laters, starts in zip(*(b.column(k).to_pylist() for k in range(6))):
+                # 0 not repeated, 1 repeated, 2 with an earlier place; one more word ends the last stretch.
+                kind, least = np.zeros(max(his) + 1, np.int8), np.full(max(his) + 1, LAST)
+                for lo, hi, x, later in zip(los, his, leasts, laters):
+                    np.maximum(kind[lo:hi], 2 if later else 1, out=kind[lo:hi])
+                    np.minimum(least[lo:hi], x, out=least[lo:hi])
+                for lo, hi in _stretches(kind > 0):
+                    if hi - lo >= min_words:
+                        a, z = bisect_right(starts, lo) - 1, bisect_left(starts, hi)
+                        for n, v in zip(names, (doc, a, z - a, hi - lo, int(least[lo:hi].min()), bool((kind[lo:hi] == 2).all()), lo)):
+                            out[n].append(v)
+            return out
+
+        return each
+
+    return map_batches(spans.join(starts, "row").select("doc", "lo", "hi", "least", "later", "starts"), make, schema, rows=128)
+
+
+def _stretches(on: np.ndarray) -> list[tuple[int, int]]:
+    """[lo, hi) of each run of true values; the last value is false."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], on)).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, first_sentence, n_sentences, n_words, first_doc, removed: every passage of at least min_words that occurs elsewhere, too.
+    """doc_id, first_sentence, n_sentences, n_words, first_doc, removed, first_word: every passage of at least min_words that occurs elsewhere, too.
 
-    Sentences are numbered from 0 over the whole text. first_doc is the smallest
-    doc_id that holds a part of the passage or its near-duplicate; removed says
-    that each of its sentences occurs earlier (in a smaller doc_id, or before in
-    the same text). Null and empty texts have no passages, rows with equal id
+    Sentences and words are numbered from 0 over the whole text. A passage is
+    its n_words words from first_word on; the sentences it touches may begin
+    before and end after it. first_doc is the smallest doc_id that holds a part
+    of the passage or its near-duplicate; removed says that all of it occurs
+    earlier (in a smaller doc_id, or before in the same text). Null and empty texts have no passages, rows with equal id
     and text are one document, null ids come last. An empty table gives no rows.
     """
     rows = _rows(docs, id_col, text_col)
@@ -271,15 +397,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Copies and links are known by ph: places of paragraphs with neither go before anything is joined.
     several = paras.groupBy("ph").agg(F.count("*").alias("n")).join(classes, "ph", "left").where("n > 1 or class is not null")
     several = written(several.select("ph", F.coalesce("class", "ph").alias("class")))
-    heads = written(paras.select("doc", "row", "para", "sentence", "words", "ph").join(small(several), "ph").drop("ph"))
+    heads = written(paras.select("doc", "row", "para", "starts", "words", "ph").join(small(several), "ph").drop("ph"))
     first = written(heads.groupBy("class").agg(F.min(place).alias("first")))
-    after = heads.join(small(first), "class").select("row", "doc", "sentence", F.col("first.doc").alias("least"), (F.col("first") != place).alias("later"), F.posexplode("words").alias("k", "n_words"))
-    by_para = after.select("doc", "row", (F.col("sentence") + F.col("k")).alias("sentence"), "n_words", "least", "later")
+    after = heads.join(small(first), "class").select("row", "doc", F.element_at("starts", 1).alias("lo"), (F.element_at("starts", -1) + F.element_at("words", -1)).alias("hi"), F.col("first.doc").alias("least"), (F.col("first") != place).alias("later"))
     # Sentences with more than one place.
     same = written(sents.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("least")).where("n > 1").select("h", "least"))
-    by_sentence = sents.join(small(same), "h").select("doc", "row", "sentence", "n_words", "least", ((F.col("doc") > F.col("least")) | F.col("again")).alias("later"))
-    marked = by_para.union(by_sentence).repartition("row").groupBy("row", "sentence").agg(F.min("doc").alias("doc"), F.min("n_words").alias("n_words"), F.min("least").alias("least"), F.max("later").alias("later"))
-    run = F.col("sentence") - F.row_number().over(Window.partitionBy("row").orderBy("sentence"))
-    out = marked.withColumn("run", run).groupBy("row", "run").agg(F.min("doc").alias("doc"), F.min("sentence").cast("long").alias("first_sentence"), F.count("*").alias("n_sentences"), F.sum("n_words").alias("n_words"), F.min("least").alias("least"), F.every("later").alias("removed"))
+    by_sentence = sents.join(small(same), "h").select("row", "doc", F.col("word").alias("lo"), (F.col("word") + F.col("n_words")).alias("hi"), "least", ((F.col("doc") > F.col("least")) | F.col("again")).alias("later"))
+    names = ["row", "doc", "lo", "hi", "least", "later"]
+    marks = after.select(names).union(by_sentence.select(names)).union(repeated_windows(rows, min_words).select(names))
     real = lambda c: F.nullif(F.col(c), F.lit(LAST))
-    return out.where(F.col("n_words") >= min_words).select(real("doc").alias("doc_id"), "first_sentence", "n_sentences", "n_words", real("least").alias("first_doc"), "removed")
+    return _passages(marks, paras, min_words).select(real("doc").alias("doc_id"), "first_sentence", "n_sentences", "n_words", real("least").alias("first_doc"), "removed", "first_word")

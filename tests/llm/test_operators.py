@@ -478,3 +478,44 @@ def test_repeated_passages(spark):
     got = {(r["doc_id"], r["first_sentence"], r["n_sentences"], r["n_words"], r["first_doc"], r["removed"]) for r in passages.repeated_passages(table).collect()}
     assert got == {(1, 1, 2, 60, 1, False), (2, 1, 2, 60, 1, True), (6, 0, 4, 120, 1, True), (None, 0, 2, 60, 1, True)}
     assert passages.repeated_passages(frame(spark, [], "doc_id long, text string")).count() == 0
+
+
+def test_repeated_runs_of_words(spark):
+    """Equal runs of min_words or more are found to the word, whatever their sentences and lines; shorter ones aren't."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    runs = [[word() for _ in range(n)] for n in (29, 30, 31, 47, 61, 120)]
+    rows = []
+    for d in range(24):
+        words = []
+        for _ in range(4):
+            words += [word() for _ in range(rng.randrange(1, 40))]
+            words += rng.choice(runs)[rng.choice([0, 0, 3]) :]
+        rows.append((d, "".join(w + rng.choice([" ", " ", " ", " ", " ", " ", ". ", "\n"]) for w in words)))
+    places: dict = {}
+    # A word with a full stop is another word than without.
+    cut = {d: t.split() for d, t in rows}
+    for d, w in cut.items():
+        for i in range(len(w) - 29):
+            places.setdefault(tuple(w[i : i + 30]), []).append((d, i))
+    want, later = set(), set()
+    for found in places.values():
+        for d, i in found if len(found) > 1 else ():
+            want |= {(d, k) for k in range(i, i + 30)}
+            later |= {(d, k) for k in range(i, i + 30)} if (d, i) != min(found) else set()
+    assert want
+    marks = passages.repeated_windows(passages._rows(frame(spark, rows, "doc_id long, text string"), "doc_id", "text"), 30).collect()
+    assert {(r["doc"], k) for r in marks for k in range(r["lo"], r["hi"])} == want
+    assert {(r["doc"], k) for r in marks if r["later"] for k in range(r["lo"], r["hi"])} == later
+    got = passages.repeated_passages(frame(spark, rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], k) for r in got for k in range(r["first_word"], r["first_word"] + r["n_words"])} >= want
+
+
+def test_runs_inside_sentences(spark):
+    """A run in the middle of one long sentence on either side, wrapped differently."""
+    w = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, w("a", 40) + " " + w("r", 51) + " " + w("b", 40) + "."), (2, w("c", 9) + ". " + w("d", 10) + " " + w("r", 51).replace(" r20 ", "\nr20 ") + " " + w("e", 70))]
+    got = {tuple(r) for r in passages.repeated_passages(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0, 1, 51, 1, False, 40), (2, 1, 2, 51, 1, True, 19)}
