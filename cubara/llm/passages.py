@@ -17,7 +17,9 @@ anchor stands in several places are compared, and all of them: what two windows
 have in common to the word is all runs of min_words or more.
 
 A passage is a run of neighbouring words that are repeated by their sentence,
-paragraph or window, and is reported from min_words words on.
+paragraph or window, and is reported from min_words words on. Where that many
+words in a row occur earlier they are a passage to remove by themselves; what is
+left of the run before and after stays.
 
 A key of more than HEAVY different paragraphs isn't paired in full: its members
 are first paired with LEADERS of them, other ones for every key. Where that
@@ -361,11 +363,15 @@ def _passages(marks: DataFrame, paras: DataFrame, min_words: int) -> DataFrame:
                 for lo, hi, x, later in zip(los, his, leasts, laters):
                     np.maximum(kind[lo:hi], 2 if later else 1, out=kind[lo:hi])
                     np.minimum(least[lo:hi], x, out=least[lo:hi])
-                for lo, hi in _stretches(kind > 0):
-                    if hi - lo >= min_words:
-                        a, z = bisect_right(starts, lo) - 1, bisect_left(starts, hi)
-                        for n, v in zip(names, (doc, a, z - a, hi - lo, int(least[lo:hi].min()), bool((kind[lo:hi] == 2).all()), lo)):
-                            out[n].append(v)
+                for lo, hi in _stretches(kind == 2):  # fewer words than a passage has go with what is around them
+                    if hi - lo < min_words:
+                        kind[lo:hi] = 1
+                for k in (1, 2):
+                    for lo, hi in _stretches(kind == k):
+                        if hi - lo >= min_words:
+                            a, z = bisect_right(starts, lo) - 1, bisect_left(starts, hi)
+                            for n, v in zip(names, (doc, a, z - a, hi - lo, int(least[lo:hi].min()), k == 2, lo)):
+                                out[n].append(v)
             return out
 
         return each

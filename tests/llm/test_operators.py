@@ -511,6 +511,7 @@ def test_repeated_runs_of_words(spark):
     assert {(r["doc"], k) for r in marks if r["later"] for k in range(r["lo"], r["hi"])} == later
     got = passages.repeated_passages(frame(spark, rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], k) for r in got for k in range(r["first_word"], r["first_word"] + r["n_words"])} >= want
+    assert {(r["doc_id"], k) for r in got if r["removed"] for k in range(r["first_word"], r["first_word"] + r["n_words"])} >= later
 
 
 def test_runs_inside_sentences(spark):
@@ -519,3 +520,12 @@ def test_runs_inside_sentences(spark):
     rows = [(1, w("a", 40) + " " + w("r", 51) + " " + w("b", 40) + "."), (2, w("c", 9) + ". " + w("d", 10) + " " + w("r", 51).replace(" r20 ", "\nr20 ") + " " + w("e", 70))]
     got = {tuple(r) for r in passages.repeated_passages(frame(spark, rows, "doc_id long, text string")).collect()}
     assert got == {(1, 0, 1, 51, 1, False, 40), (2, 1, 2, 51, 1, True, 19)}
+
+
+def test_copies_beside_first_places_are_removed(spark):
+    """A copied sentence next to one that stands here first and is repeated later is a removal by itself."""
+    said = lambda k, n: " ".join(f"{k}{i}" for i in range(n)) + "."
+    a, b = said("a", 60), said("b", 60)
+    rows = [(1, a), (2, f"{a} {b}"), (3, said("c", 20) + " " + b)]
+    got = {tuple(r) for r in passages.repeated_passages(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0, 1, 60, 1, False, 0), (2, 0, 1, 60, 1, True, 0), (2, 1, 1, 60, 2, False, 60), (3, 1, 1, 60, 2, True, 20)}
