@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from the texts; documents stay, with their new length."""
-    done = lines.dedup_lines(_only(docs), keep=("lang", "source"))
+    done = lines.dedup_lines(_only(docs), keep=("lang", "source"), equal=1)
     return _only(done.withColumn("n_chars", F.char_length("text")))
 
 

@@ -1,9 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join, with DataFrame functions only.
 
-Lines of at least LEAST characters take part. Of equal lines the earliest (by
-doc_id, then line number) stays. A line also goes if an earlier one lies within
-one edit (a character inserted, deleted or replaced); both are full texts, not
-normalised. Which lines are within one edit follows from deletion variants:
+Of equal lines the earliest (by doc_id, then line number) stays; short lines of white
+space alone aren't compared. A line also goes if an earlier one lies within one
+edit (a character inserted, deleted or replaced), where both have at least LEAST
+characters; both are full texts, not normalised. Which lines are within one edit follows from deletion variants:
 
 - two lines of length m differ by a replacement at i if and only if they are
   equal without their i-th character: keys (m, i, hash of the rest);
@@ -54,12 +54,12 @@ def _halves(line: Column) -> Column:
     return F.array(*keys)
 
 
-def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(row, gone): for each document with lines to remove, their numbers from 0 in order."""
+def removed_lines(docs: DataFrame, least: int = LEAST, equal: int = LEAST) -> DataFrame:
+    """(row, gone): for each document with lines to remove, their numbers from 0 in order. See dedup_lines for the two lengths."""
     rows = _rows(docs)
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "row", "line_no")
-    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.char_length("line") >= least)
-    lines = written(lines.select(place.alias("at"), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.char_length("line").alias("n"), _halves(F.col("line")).alias("keys")))
+    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where((F.char_length("line") >= min(least, equal)) & F.when(F.char_length("line") < least, F.col("line").rlike(r"\S")).otherwise(True))
+    lines = written(lines.select(place.alias("at"), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.char_length("line").alias("n"), F.when(F.char_length("line") >= least, _halves(F.col("line"))).alias("keys")))
 
     # Where halves of different lines are equal.
     keyed = lines.select(*_ID, "n", F.posexplode("keys").alias("which", "key"))
@@ -111,19 +111,21 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return places.select("at.row", "at.line_no").distinct().groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST, keep: tuple[str, ...] = (), equal: int = LEAST) -> DataFrame:
     """doc_id, text, n_lines, n_removed and the columns `keep` of every document; text without the removed lines, the others as they were.
 
     A null text has no lines and stays null; an empty text is one empty line.
-    Shorter lines than `least` stay. Rows with equal id and text count as one
+    Lines of at least `equal` characters that aren't short white space are
+    compared for equality, lines of at least `least` for equality and one edit;
+    others stay. Rows with equal id and text count as one
     document: all get the same text. Lines of a null id come last. An empty
     table gives no rows.
     """
-    gone = small(written(removed_lines(docs, least)))
+    gone = small(written(removed_lines(docs, least, equal)))
     rows = _rows(docs, keep).join(gone, "row", "left")
     parts = F.split("text", "\n")
     # What stays is told by place, with the removed numbers as an array of a document's own size.
-    stay = lambda p: F.filter(p, lambda line, i: (F.char_length(line) < least) | ~F.array_contains("gone", i))
+    stay = lambda p: F.filter(p, lambda line, i: (F.char_length(line) < min(least, equal)) | ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(bound(parts, stay), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     return rows.select("doc_id", text.alias("text"), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), *(F.col(f"kept_{c}").alias(c) for c in keep))

@@ -38,7 +38,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    done = lines.dedup_lines(_table(spark, sf_dir, "documents"), equal=1)
     return done.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 

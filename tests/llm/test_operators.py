@@ -283,6 +283,17 @@ def test_lines(spark, docs):
     assert lines.dedup_lines(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
+def test_short_lines_of_op7(spark, tmp_path):
+    """The query removes exact repeats of any line that isn't blank; one edit counts from LEAST characters on."""
+    from cubara.llm import queries
+
+    rows = [(1, "short\n\n \nx\nshort"), (2, "short\nshorts\n\n \nx\nthe long line of it"), (3, "the long line of itt\nnew"), (4, None), (None, "new\nx")]
+    frame(spark, rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_removed"], r["text_sha256"]) for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (1, digest("short\n\n \nx")), 2: (2, digest("shorts\n\n \nthe long line of it")), 3: (1, digest("new")), 4: (0, None), None: (2, digest(""))}
+
+
 def test_lines_is_native(spark, docs):
     plan = lines.dedup_lines(docs)._jdf.queryExecution().toString() + syncmers.fingerprint_edits(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
