@@ -125,15 +125,18 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
 
     Null and wordless texts have no words and no hits; items without words have
     no windows; items with equal texts are all named; a null item id is left
-    out. Repeated documents keep their rows (with more than one block they must
-    have different ids, or their hits are merged). An empty benchmark gives no
-    hits, an empty table no rows.
+    out. Rows stay as they are, repeated ids and null ones too: hits of several
+    blocks are merged by id and text. An empty benchmark gives no hits, an empty
+    table no rows.
     """
     spark = docs.sparkSession
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
     blocks = 1 + int(size) // block_bytes
+    if blocks > 1:
+        thin = thin.withColumn("key", F.xxhash64("text"))
+    schema = SCHEMA + (", key long" if blocks > 1 else "")
 
     def against(block: int) -> DataFrame:
         # One block holds block_bytes on average: what is sent has a bound whatever the benchmark's size.
@@ -146,25 +149,27 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
             def each(b: pa.RecordBatch) -> dict:
                 tokens = [words(t) for t in utf8(b.column(1))]
                 found = [index.find(t) for t in tokens]
-                return {"doc_id": b.column(0), "n_words": [len(t) for t in tokens], "hits": [[{"start": a, "stop": z} for a, z in h] for h, _ in found], "items": [i for _, i in found]}
+                return {"doc_id": b.column(0), "n_words": [len(t) for t in tokens], "hits": [[{"start": a, "stop": z} for a, z in h] for h, _ in found], "items": [i for _, i in found]} | ({"key": b.column(2)} if blocks > 1 else {})
 
             return each
 
-        return map_batches(thin, make, SCHEMA)
+        return map_batches(thin, make, schema)
 
     if blocks == 1:
         return against(0)
-    every = against(0)
+    # Every row comes from the first block once, so that counts the rows of an id and text.
+    every = against(0).withColumn("first", F.lit(1))
     for block in range(1, blocks):
-        every = every.union(against(block).where(F.size("items") > 0))
-    lists = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        every = every.union(against(block).where(F.size("items") > 0).withColumn("first", F.lit(0)))
+    lists = every.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.sum("first").cast("int").alias("rows"))
     join = F.expr(
         "aggregate(array_sort(hits), cast(array() as array<struct<start:int,stop:int>>), (done, x) -> "
         "if(size(done) > 0 and x.start <= done[size(done) - 1].stop, "
         "concat(slice(done, 1, size(done) - 1), array(named_struct('start', done[size(done) - 1].start, 'stop', greatest(done[size(done) - 1].stop, x.stop)))), "
         "concat(done, array(x))))"
     )
-    return lists.withColumn("hits", join)
+    merged_rows = lists.withColumn("hits", join)
+    return merged_rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("rows")))).select("doc_id", "n_words", "hits", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, **names) -> DataFrame:

@@ -137,6 +137,16 @@ def test_decontamination(spark, docs, block_bytes):
     assert decontaminate.contamination(frame(spark, [], "doc_id long, text string"), frame(spark, items, "item_id long, text string"), block_bytes=block_bytes).count() == 0
 
 
+def test_decontamination_keeps_rows_in_blocks(spark):
+    """Null and repeated ids have a row for each of theirs with its own hits, in one block and in several."""
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(12)]
+    text = {k: t for k, t in items}
+    rows = [(None, text[1]), (None, text[2] + " " + text[7]), (None, None), (None, None), (5, text[3]), (5, text[3]), (5, text[4] + " x"), (5, ""), (6, "clean"), (6, "clean")]
+    for block_bytes in (1 << 24, 600):
+        got = decontaminate.contamination(frame(spark, rows, "doc_id long, text string"), frame(spark, items, "item_id long, text string"), block_bytes=block_bytes)
+        assert sorted((tuple(r)[:5] + (r["contaminated"],) for r in got.collect()), key=str) == slow_contamination(rows, items)
+
+
 # -- 4
 
 
