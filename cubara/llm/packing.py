@@ -12,16 +12,20 @@ and as padding(c - b) = length - c + b for all but powers of two, the minimum is
 one of cost(b) + b over a sliding window, which a monotone queue keeps, and of
 the few b at a power of two before c.
 
-A task sees a range of ids in order and works in spans of SPAN ids: the cuts of
-a span's solution are final but for those in its last MARGIN ids, from where the
-next span goes on. Memory is bounded by a span, whatever the documents' lengths.
+Every window costs WINDOW ids besides, or crumbs of one, two and four ids would
+be as good as full windows.
+
+A task sees a range of ids in order. The programme runs along with the stream: a
+cut is final as soon as the best ways to all places that a window can still begin
+at go through it, and from there the documents are let go. So the cuts are the
+optimum of the task's whole stream, and what is held is what isn't final yet: a
+few windows, rarely more, and one whole document.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -31,123 +35,142 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubara.llm.tokens import Encoder
+from cubara.llm.shared import in_order
+from cubara.llm.tokens import Encoder, encoder
 
-LENGTH, CUT_SENTENCE, CUT_HARD = 2048, 4.0, 64.0
-#: Shorter sequences count as padded even at a power of two: filling up with crumbs is no packing.
-SHORTEST = 256
-SPAN, MARGIN = 1 << 18, 1 << 14
+LENGTH, CUT_SENTENCE, CUT_HARD, WINDOW = 2048, 4.0, 64.0, 32.0
+#: Ids that wait before it is looked which cuts are final.
+WAIT = 1 << 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def padding(n: int, length: int = LENGTH, shortest: int = 1) -> int:
-    return 0 if n >= shortest and n & (n - 1) == 0 else length - n
-
-
-def cuts(ends: list[int], penalties: list[float], length: int = LENGTH, shortest: int = SHORTEST) -> list[int]:
-    """The chosen cuts among the increasing positions `ends` (the last is always one), from position 0.
-
-    Gaps over `length` between neighbours get hard cuts. Ties take the earliest window start.
-    """
-    places, extra = [0], [0.0]
-    before = 0
-    for e, p in zip(ends, penalties):
-        while e - before > length:
-            before += length
-            places.append(before)
-            extra.append(CUT_HARD)
-        if e > before:
-            places.append(e)
-            extra.append(p)
-            before = e
-    powers = [1 << k for k in range(length.bit_length()) if shortest <= 1 << k <= length]
-    cost, back = [0.0] * len(places), [0] * len(places)
-    cost_at = {0: (0.0, 0)}  # position: its cost and index
-    # The queue, in two lists from `head` on: cost(b) + b, increasing, and the index of b.
-    keys, indices, head, get = [0.0], [0], 0, cost_at.get
-    for k in range(1, len(places)):
-        c = places[k]
-        while places[indices[head]] < c - length:
-            head += 1
-        best, best_b = keys[head] + length - c, indices[head]
-        for w in powers:
-            b = get(c - w)
-            if b is not None and b[0] < best:
-                best, best_b = b
-        cost[k], back[k] = best, best_b = best + extra[k], best_b
-        cost_at[c] = (best, k)
-        key = best + c
-        while len(keys) > head and keys[-1] > key:
-            keys.pop()
-            indices.pop()
-        keys.append(key)
-        indices.append(k)
-    out, k = [], len(places) - 1
-    while k:
-        out.append(places[k])
-        k = back[k]
-    return out[::-1]
+def padding(n: int, length: int = LENGTH) -> int:
+    return 0 if n & (n - 1) == 0 else length - n
+
+
+class Cuts:
+    """The programme over a growing stream of boundaries; ties take the earliest window start."""
+
+    def __init__(self, length: int = LENGTH, window: float = WINDOW):
+        self.length, self.window = length, window
+        self.powers = [1 << k for k in range(length.bit_length()) if 1 << k <= length]
+        # By state: its place, cost and the state before. The first one is final.
+        self.places, self.cost, self.back = [0], [0.0], [0]
+        self.at = {0: 0}
+        # The monotone queue, in two lists from `head` on: cost + place, increasing, and the state.
+        self.keys, self.states, self.head = [0.0], [0], 0
+
+    def add(self, ends: list[int], penalties: list[float]) -> None:
+        """Boundaries at increasing places; gaps of more than a window get hard cuts."""
+        places, cost, back, at, keys, states = self.places, self.cost, self.back, self.at, self.keys, self.states
+        head, length, powers, get, window = self.head, self.length, self.powers, self.at.get, self.window
+        for end, extra in zip(ends, penalties):
+            while end > places[-1]:
+                c, p = (end, extra) if end - places[-1] <= length else (places[-1] + length, CUT_HARD)
+                while places[states[head]] < c - length:
+                    head += 1
+                best, best_b = keys[head] + length - c, states[head]
+                for w in powers:
+                    b = get(c - w)
+                    if b is not None and cost[b] < best:
+                        best, best_b = cost[b], b
+                best += p + window
+                at[c] = k = len(places)
+                places.append(c)
+                cost.append(best)
+                back.append(best_b)
+                key = best + c
+                while len(keys) > head and keys[-1] > key:
+                    keys.pop()
+                    states.pop()
+                keys.append(key)
+                states.append(k)
+        self.head = head
+
+    def settled(self) -> list[int]:
+        """The cuts that have become final; what lies before the last of them is forgotten."""
+        live = len(self.places) - 1
+        while live and self.places[live - 1] >= self.places[-1] - self.length:
+            live -= 1
+        return self._until(self._common(range(live, len(self.places))))
+
+    def _common(self, states) -> int:
+        """The last state on the best ways to all of these."""
+        ways = set(states)
+        for k in range(max(ways), -1, -1):
+            if k in ways:
+                if len(ways) == 1:
+                    return k
+                ways.remove(k)
+                ways.add(self.back[k])
+        return 0
+
+    def rest(self) -> list[int]:
+        """The cuts up to the last boundary."""
+        return self._until(len(self.places) - 1)
+
+    def _until(self, k: int) -> list[int]:
+        out, b = [], k
+        while b:
+            out.append(self.places[b])
+            b = self.back[b]
+        if k:
+            self.places, self.cost, self.back = self.places[k:], self.cost[k:], [b - k for b in self.back[k:]]
+            self.back[0] = 0
+            self.keys, self.states, self.head = self.keys[self.head :], [b - k for b in self.states[self.head :]], 0
+            self.at = {c: i for i, c in enumerate(self.places)}
+        return out[::-1]
+
+
+def cuts(ends: list[int], penalties: list[float], length: int = LENGTH, window: float = WINDOW) -> list[int]:
+    """The chosen cuts among the increasing places `ends` (the last is always one), from place 0."""
+    of = Cuts(length, window)
+    of.add(ends, penalties)
+    return of.rest()
 
 
 class Packer:
     """One task's stream of documents, cut as it comes."""
 
-    def __init__(self, first_sequence: int, sentence_end: np.ndarray, length: int = LENGTH):
-        self.length, self.sentence_end, self.sequence = length, sentence_end, first_sequence
+    def __init__(self, first_sequence: int, sentence_end: np.ndarray, length: int = LENGTH, wait: int = WAIT):
+        self.sentence_end, self.sequence, self.cuts, self.wait = sentence_end, first_sequence, Cuts(length), wait
         self.docs: deque[list] = deque()  # [doc_id, ids as bytes, ids of it already cut off]
-        self.waiting = 0
+        self.done = self.size = 0  # ids cut off, and ids in all
+        self.look = wait
 
     def add(self, doc_id: int | None, ids: bytes) -> Iterator[tuple]:
         self.docs.append([doc_id, ids, 0])
-        self.waiting += len(ids) // 4
-        while self.waiting >= SPAN + MARGIN:
-            yield from self.cut(last=False)
-
-    def cut(self, last: bool = True) -> Iterator[tuple]:
-        if not self.waiting:
-            return
-        limit = self.waiting if last else SPAN + MARGIN
-        ends, penalties, at = [], [], 0
-        for _, ids, done in self.docs:
-            n = min(len(ids) // 4 - done, limit - at)
-            if n <= 0:
-                break
-            view = np.frombuffer(ids, "<u4", n, 4 * done)
-            inner = (np.flatnonzero(self.sentence_end[view]) + 1 + at).tolist()
-            whole = done + n == len(ids) // 4
-            if inner and inner[-1] == at + n:
-                inner.pop()
-            ends += inner + [at + n]
-            penalties += [CUT_SENTENCE] * len(inner) + [0.0 if whole else CUT_HARD]
-            at += n
-        chosen = cuts(ends, penalties, self.length)
-        if not last:
-            chosen = chosen[: max(1, bisect_left(chosen, SPAN))]
-        before = 0
-        for c in chosen:
-            yield from self.take(c - before)
-            before = c
-
-    def take(self, n: int) -> Iterator[tuple]:
-        """The pieces of the next n ids, as one sequence."""
-        offset = 0
-        while offset < n:
-            doc_id, ids, done = self.docs[0]
-            total = len(ids) // 4
-            m = min(n - offset, total - done)
-            yield doc_id, done, m, zlib.crc32(memoryview(ids)[4 * done : 4 * (done + m)]), total, self.sequence, offset
-            offset += m
-            if done + m == total:
-                self.docs.popleft()
-            else:
-                self.docs[0][2] = done + m
-        self.waiting -= n
-        self.sequence += 1
-
-
-def sentence_ends(encoder: Encoder) -> np.ndarray:
+        inner = np.flatnonzero(self.sentence_end[np.frombuffer(ids, "<u4")[:-1]]) + 1 + self.size
+        self.size += len(ids) // 4
+        self.cuts.add([*inner.tolist(), self.size], [CUT_SENTENCE] * len(inner) + [0.0])
+        if self.size - self.done >= self.look:
+            yield from self.take(self.cuts.settled())
+            self.look = max(self.wait, 2 * (self.size - self.done))  # if hardly anything is final, later
+
+    def end(self) -> Iterator[tuple]:
+        yield from self.take(self.cuts.rest())
+
+    def take(self, chosen: list[int]) -> Iterator[tuple]:
+        """The pieces of the sequences that end at these cuts."""
+        for cut in chosen:
+            offset, n = 0, cut - self.done
+            while offset < n:
+                doc_id, ids, done = self.docs[0]
+                total = len(ids) // 4
+                m = min(n - offset, total - done)
+                yield doc_id, done, m, zlib.crc32(memoryview(ids)[4 * done : 4 * (done + m)]), total, self.sequence, offset
+                offset += m
+                if done + m == total:
+                    self.docs.popleft()
+                else:
+                    self.docs[0][2] = done + m
+            self.done = cut
+            self.sequence += 1
+
+
+def sentence_ends(known: Encoder) -> np.ndarray:
     """For each id, whether its text ends a sentence: . ! ? or a line break at its end."""
-    vocabulary = encoder.tokenizer.get_vocab()
+    vocabulary = known.tokenizer.get_vocab()
     out = np.zeros(max(vocabulary.values()) + 2, bool)
     for token, i in vocabulary.items():
         out[i] = token[-1:] in (".", "!", "?", "Ċ")  # U+010A: how byte-level vocabularies write a line break
@@ -159,27 +182,30 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, id_
 
     Every document's ids and end_id lie in exactly one piece each; a null or
     empty text is its end id. Pieces of a sequence follow from offset 0 without
-    gaps, in document order. Repeated rows and ties in the id are packed each;
-    null ids come first. An empty table gives no rows. sequence_id is the
-    task's number times 2^32 plus a counter.
+    gaps, in document order. Repeated rows and ties in the id are packed each, in
+    the order of a hash of their texts; null ids come first. A very long text is
+    held whole by one task. Other columns are not looked at, whatever their
+    names. An empty table gives no rows. sequence_id is the task's number times
+    2^32 plus a counter; cuts are the optimum of each task's range of ids, so
+    each range ends with one window that may be short.
     """
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ordered = in_order(docs, id_col, text_col)
     end = struct.pack("<I", end_id)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     arrow = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches):
-        encoder = Encoder(tokenizer)
-        packer = Packer(TaskContext.get().partitionId() << 32, sentence_ends(encoder), length)
+        known = encoder(tokenizer)
+        packer = Packer(TaskContext.get().partitionId() << 32, sentence_ends(known), length)
         send = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=arrow)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some, out = batch.slice(at, 256), []
-                for d, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    out += packer.add(d, encoder.encode(t) + end)
+            for at in range(0, batch.num_rows, 1024):
+                some, out = batch.slice(at, 1024), []
+                for d, ids in zip(some.column(0).to_pylist(), known.encode_all(some.column(1))):
+                    out += packer.add(d, ids + end)
                 if out:
                     yield send(out)
-        if out := list(packer.cut()):
+        if out := list(packer.end()):
             yield send(out)
 
     return ordered.mapInArrow(run, SCHEMA)

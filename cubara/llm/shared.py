@@ -84,6 +84,13 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) in ascending id order over the partitions and in them, null ids first; rows of one id in the order of a hash of their texts, so that many of them don't meet in one task."""
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    return thin.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable from each node of edges(a, b), by alternating large and small stars.
 

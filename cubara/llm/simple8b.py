@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubara.llm.shared import shared_dir
-from cubara.llm.tokens import Encoder
+from cubara.llm.shared import in_order, shared_dir
+from cubara.llm.tokens import encoder
 
 #: Fixed values of the format: (ids a word, bits an id) by selector; 0 is the escape.
 SELECTORS = [(1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -178,20 +178,22 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
     """Write files of token ids in ascending id order to `path` (any Hadoop file system).
 
     Null texts are empty, so a document is its end id at least. Repeated rows
-    and ties in the id are written each (in no given order among themselves);
-    null ids come first. An empty table writes no file with documents.
+    and ties in the id are written each, in the order of a hash of their texts;
+    null ids come first. A text of any length is one document, held whole by one
+    task. Other columns are not looked at, whatever their names. An empty table
+    writes no file with documents.
     """
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    ordered = in_order(docs, id_col, text_col)
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        encoder, held, size = Encoder(tokenizer), [], 0
+        known, held, size = encoder(tokenizer), [], 0
         name = lambda d: pa.RecordBatch.from_pydict({"value": [d]}, schema=pa.schema([("value", pa.binary())]))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for d, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    held.append((d, encoder.encode(t) + end))
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                for d, ids in zip(some.column(0).to_pylist(), known.encode_all(some.column(1))):
+                    held.append((d, ids + end))
                     size += len(held[-1][1]) // 4
                     if size >= file_ids:
                         yield name(pack_file(held))

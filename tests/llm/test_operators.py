@@ -9,7 +9,7 @@ from itertools import combinations
 import public_tokenizers
 import pytest
 import xxhash
-from cubara.llm import decontaminate, html_text, langid, lines, packing, passages, simhash, simple8b, syncmers, warc
+from cubara.llm import tokens, decontaminate, html_text, langid, lines, packing, passages, simhash, simple8b, syncmers, warc
 from cubara.llm.shared import connected
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -314,8 +314,7 @@ def test_lines_is_native(spark, docs):
 
 def test_token_files(spark, docs, tmp_path):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()] + [(900, None), (901, ""), (905, "ΣΑΣ  <|endoftext|>\n\x1f x"), (-3, "first")]
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()] + [(900, None), (901, ""), (905, "ΣΑΣ  <|endoftext|>\n\x1f x"), (906, "a <|STARTOFTEXT|>b"), (-3, "first"), (907, "long " * 20000)]
     got = simple8b.token_files(frame(spark, rows, "doc_id long, text string").withColumn("start", F.lit(1)).repartition(5), public_tokenizers.path("word_bpe_49k.json"), 2, str(tmp_path / "t"), file_ids=3000)
     want, at = [], 0
     for d, x in sorted(rows):
@@ -323,6 +322,13 @@ def test_token_files(spark, docs, tmp_path):
         want.append((d, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         at += len(ids)
     assert sorted(map(tuple, got.collect())) == want
+    # Null and repeated ids, repeated rows: each is a document, and together they fill all places without a gap.
+    odd = [(None, "x y"), (None, None), (5, "same"), (5, "same"), (5, "other words"), (None, "x y"), (4, "z")]
+    got = simple8b.token_files(frame(spark, odd, "doc_id long, text string").repartition(3), public_tokenizers.path("word_bpe_49k.json"), 2, str(tmp_path / "o"), file_ids=3).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == sorted((str(d), len(t.encode(x or "", add_special_tokens=False).ids) + 1) for d, x in odd)
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in got)
+    assert [a for a, _, _ in got] == [sum(n for _, n, _ in got[:k]) for k in range(len(got))]
+    assert [d for _, _, d in got] == [None] * 3 + [4] + [5] * 3
     none = simple8b.token_files(frame(spark, [], "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"), 2, str(tmp_path / "n"))
     assert none.count() == 0
 
@@ -356,18 +362,40 @@ def test_packing_is_optimal():
         penalties = [rng.choice([0.0, 4.0]) for _ in ends]
         cost = {0: 0.0}
         for e, p in zip(ends, penalties):
-            cost[e] = p + min(cost[b] + packing.padding(e - b, 32, 4) for b in cost if 0 < e - b <= 32)
-        chosen = packing.cuts(ends, penalties, 32, 4)
+            cost[e] = p + 3 + min(cost[b] + packing.padding(e - b, 32) for b in cost if 0 < e - b <= 32)
+        chosen = packing.cuts(ends, penalties, 32, 3)
         pens = dict(zip(ends, penalties))
         assert chosen[-1] == at
-        assert sum(packing.padding(b - a, 32, 4) + pens[b] for a, b in zip([0, *chosen], chosen)) == pytest.approx(cost[at])
+        assert sum(packing.padding(b - a, 32) + 3 + pens[b] for a, b in zip([0, *chosen], chosen)) == pytest.approx(cost[at])
+
+
+def test_packing_in_a_stream_is_that_of_the_whole():
+    """However early cuts are taken as final, they are those of the programme over all documents, and little is held."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    ends_sentence = np.zeros(50, bool)
+    ends_sentence[:2] = True
+    docs = [(k, rng.integers(0, 50, int(n)).astype("<u4").tobytes()) for k, n in enumerate([*rng.integers(1, 900, 400), 30_000, 1, 1])]
+    docs.append((None, np.full(9000, 7, "<u4").tobytes()))  # no boundary at all
+    found = {}
+    for wait in (1, 5000, 1 << 40):
+        packer = packing.Packer(0, ends_sentence, 256, wait)
+        out, most = [], 0
+        for d, ids in docs:
+            out += packer.add(d, ids)
+            most = max(most, len(packer.cuts.places))
+        out += packer.end()
+        found[wait] = out
+        assert wait != 1 or most < 4000
+    assert found[1] == found[5000] == found[1 << 40]
+    assert sum(r[2] for r in found[1]) == sum(len(ids) // 4 for _, ids in docs)
 
 
 def test_packing(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()] + [(900, None), (901, ""), (902, "word " * 9000), (903, "x" * 30000)]
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()] + [(900, None), (901, ""), (904, "a <|endoftext|> b"), (902, "word " * 9000), (903, "x" * 30000)]
     ids = {d: t.encode(x or "", add_special_tokens=False).ids + [1] for d, x in rows}
     got = sorted(map(tuple, packing.pack(frame(spark, rows, "doc_id long, text string").withColumn("start", F.lit(1)), path, 1).collect()))
     seen = {d: 0 for d in ids}
@@ -383,6 +411,18 @@ def test_packing(spark, docs):
     assert max(sequences.values()) <= 2048
     assert sum(packing.padding(n) for n in sequences.values()) < 0.02 * sum(sequences.values())
     assert packing.pack(frame(spark, [], "doc_id long, text string"), path, 1).count() == 0
+    odd = [(None, "x y"), (None, None), (5, "same"), (5, "same"), (None, "x y")]
+    got = packing.pack(frame(spark, odd, "doc_id long, text string").coalesce(1), path, 1).collect()
+    assert sorted((str(r["doc_id"]), r["doc_tokens"]) for r in got if r["start"] == 0) == sorted((str(d), len(t.encode(x or "", add_special_tokens=False).ids) + 1) for d, x in odd)
+
+
+def test_encoder_is_the_librarys():
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        known = tokens.Encoder(public_tokenizers.path(name))
+        for x in ["a <|endoftext|> b", "x<|ENDOFTEXT|>y", "<|startoftext|> hello  world\n\n a\t b", "it's I'LL don't ''s !'s 're end.", "a\0b c\0 d", "é à ñ ß İ ſ K ²,", "1 23 456 7.8.9", "ﬁ 你好, 世界。 a你. b", "  lead trail  ", "\n", " ", "a\x1cb c", "naïve “q” … — x", "x \u00a0y\u00a0 z"]:
+            assert known.encode(x) == struct.pack(f"<{len(i := known.tokenizer.encode(x, add_special_tokens=False).ids)}I", *i), x
+        plain = tokens.Encoder(public_tokenizers.path(name), plain=True)
+        assert plain.encode("<|endoftext|>") != known.encode("<|endoftext|>")
 
 
 # -- 10
