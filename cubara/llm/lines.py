@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubara.llm.shared import small, written
+from cubara.llm.shared import forget, joined, written
 from cubara.llm.syncmers import bound
 
 LEAST, SEGMENT = 16, 64
@@ -54,8 +54,8 @@ def _halves(line: Column) -> Column:
     return F.array(*keys)
 
 
-def removed_lines(docs: DataFrame, least: int = LEAST, equal: int = LEAST) -> DataFrame:
-    """(row, gone): for each document with lines to remove, their numbers from 0 in order. See dedup_lines for the two lengths."""
+def removed_lines(docs: DataFrame, least: int = LEAST, equal: int = 1) -> DataFrame:
+    """(row, gone), written: for each document with lines to remove, their numbers from 0 in order. See dedup_lines for the two lengths."""
     rows = _rows(docs)
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "row", "line_no")
     lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where((F.char_length("line") >= min(least, equal)) & F.when(F.char_length("line") < least, F.col("line").rlike(r"\S")).otherwise(True))
@@ -64,16 +64,22 @@ def removed_lines(docs: DataFrame, least: int = LEAST, equal: int = LEAST) -> Da
     # Where halves of different lines are equal.
     keyed = lines.select(*_ID, "n", F.posexplode("keys").alias("which", "key"))
     shared_keys = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("key")
-    halves = keyed.join(small(written(shared_keys)), "key", "left_semi").select(*_ID, "n", (F.col("n") - F.shiftright("which", 1)).alias("m"), F.col("which").bitwiseAND(F.lit(1)).alias("half")).distinct()
+    shared_keys = written(shared_keys)
+    halves = joined(keyed, shared_keys, ["key"], "left_semi").select(*_ID, "n", (F.col("n") - F.shiftright("which", 1)).alias("m"), F.col("which").bitwiseAND(F.lit(1)).alias("half")).distinct()
     halves = written(halves)
-    firsts = written(lines.join(small(written(halves.select(*_ID).distinct())), _ID, "left_semi").groupBy(*_ID).agg(F.min("at").alias("at")))
+    forget(shared_keys)
+    candidates = written(halves.select(*_ID).distinct())
+    firsts = written(joined(lines, candidates, _ID, "left_semi").groupBy(*_ID).agg(F.min("at").alias("at")))
+    forget(candidates)
 
     # The texts of these lines, from the documents that hold them first.
     wanted = firsts.select("at.row", F.struct("at.line_no", *_ID, "at").alias("c")).groupBy("row").agg(F.collect_list("c").alias("cs"))
-    found = rows.join(small(written(wanted)), "row").select(
+    wanted = written(wanted)
+    found = joined(rows, wanted, ["row"]).select(
         F.explode(bound(F.split("text", "\n"), lambda parts: F.transform("cs", lambda c: F.struct(c["h1"].alias("h1"), c["h2"].alias("h2"), c["at"].alias("at"), F.get(parts, c["line_no"]).alias("line"))))).alias("x")
     )
     texts = written(found.select("x.*").dropDuplicates(_ID))
+    forget(firsts, wanted)
 
     # Where all around a stretch of a few characters is equal: [lo, hi) holds the edit.
     near = halves.join(texts, _ID)
@@ -82,19 +88,20 @@ def removed_lines(docs: DataFrame, least: int = LEAST, equal: int = LEAST) -> Da
     cuts = F.when(end > begin, F.sequence(begin, end - 1, F.lit(SEGMENT))).otherwise(F.array(begin))
     near = near.select(*_ID, "n", "m", "line", F.explode(cuts).alias("lo"), end.alias("end")).withColumn("hi", F.least(F.col("lo") + SEGMENT, "end"))
     near = near.withColumn("key", F.xxhash64("m", "lo", F.substring("line", F.lit(1), F.col("lo")), F.lit("|"), _tail(F.col("line"), F.col("m") - F.col("hi")))).select(*_ID, "n", "m", "lo", "hi", "key").distinct()
-    near = written(near)
+    near = all_near = written(near)
     shared_keys = near.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key")
-    near = near.join(small(written(shared_keys)), "key", "left_semi")
+    shared_keys = written(shared_keys)
+    near = joined(near, shared_keys, ["key"], "left_semi")
 
     # Deletion variants within these stretches. side: 0 replacements, 1 the whole shorter line, 2 the longer line without a character.
     line, i = F.col("line"), F.col("i")
     rest = F.xxhash64(F.substring(line, F.lit(1), i), F.substring(line, i + 2, F.char_length(line)))
-    joined = F.xxhash64(F.concat(F.substring(line, F.lit(1), i), F.substring(line, i + 2, F.char_length(line))))
+    shorter = F.xxhash64(F.concat(F.substring(line, F.lit(1), i), F.substring(line, i + 2, F.char_length(line))))
     stretch = near.join(texts, _ID)
     spots = stretch.withColumn("i", F.explode(F.sequence(F.col("lo"), F.when(F.col("n") == F.col("m"), F.greatest(F.col("lo"), F.col("hi") - 1)).otherwise(F.col("hi")))))
     variants = spots.where("n = m").select(*_ID, "at", F.lit(0).alias("side"), F.xxhash64(F.lit(0), "m", "i", rest).alias("key"))
     variants = variants.union(stretch.where("n = m").select(*_ID, "at", F.lit(1), F.xxhash64(F.lit(1), "m", F.xxhash64("line"))))
-    variants = variants.union(spots.where("n = m + 1").select(*_ID, "at", F.lit(2), F.xxhash64(F.lit(1), "m", joined)))
+    variants = variants.union(spots.where("n = m + 1").select(*_ID, "at", F.lit(2), F.xxhash64(F.lit(1), "m", shorter)))
     variants = written(variants.distinct())
     own = F.struct("at", *_ID)
     first = lambda side: F.min(F.when(F.col("side") == side, own))
@@ -107,11 +114,14 @@ def removed_lines(docs: DataFrame, least: int = LEAST, equal: int = LEAST) -> Da
     # All places of lines that go, and all but the first of lines that occur more than once.
     again = lines.groupBy(*_ID).agg(F.count("*").alias("times"), F.min("at").alias("first")).where("times > 1").select(*_ID, "first")
     gone = again.join(beaten.withColumn("near", F.lit(True)), _ID, "full").select(*_ID, "first", F.coalesce("near", F.lit(False)).alias("near"))
-    places = lines.join(small(written(gone)), _ID).where("near or at != first")
-    return places.select("at.row", "at.line_no").distinct().groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
+    gone = written(gone)
+    places = joined(lines, gone, _ID).where("near or at != first")
+    done = written(places.select("at.row", "at.line_no").distinct().groupBy("row").agg(F.sort_array(F.collect_list("line_no")).alias("gone")))
+    forget(lines, halves, texts, all_near, shared_keys, variants, gone)
+    return done
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST, keep: tuple[str, ...] = (), equal: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST, keep: tuple[str, ...] = (), equal: int = 1) -> DataFrame:
     """doc_id, text, n_lines, n_removed and the columns `keep` of every document; text without the removed lines, the others as they were.
 
     A null text has no lines and stays null; an empty text is one empty line.
@@ -121,8 +131,8 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, keep: tuple[str, ...] = (),
     document: all get the same text. Lines of a null id come last. An empty
     table gives no rows.
     """
-    gone = small(written(removed_lines(docs, least, equal)))
-    rows = _rows(docs, keep).join(gone, "row", "left")
+    gone = removed_lines(docs, least, equal)
+    rows = joined(_rows(docs, keep), gone, ["row"], "left")
     parts = F.split("text", "\n")
     # What stays is told by place, with the removed numbers as an array of a document's own size.
     stay = lambda p: F.filter(p, lambda line, i: (F.char_length(line) < min(least, equal)) | ~F.array_contains("gone", i))

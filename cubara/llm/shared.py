@@ -7,9 +7,9 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,12 +54,23 @@ def _clean() -> None:
                 shutil.rmtree(path[7:], ignore_errors=True)
 
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs nothing before it."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that written() gave, once what was made of them is written itself."""
+    for t in tables:
+        remove(t.sparkSession, _paths.pop(t))
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int = 512) -> DataFrame:
@@ -115,6 +126,7 @@ def connected(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
         small = written(small)
         state = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        forget(links)
         links = small
         if state == before:
             break
@@ -122,18 +134,30 @@ def connected(edges: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
+#: Bits of a sieve. It is at most 2^20 rows of two numbers, whatever the input: some 16 MB.
+SIEVE = 26
 
-#: Rows and array elements up to which a written table may be broadcast; both are a few numbers, so this is some tens of MB.
-SMALL_ROWS = 500_000
 
+def sieved(table: DataFrame, wanted: DataFrame, *on: str) -> DataFrame:
+    """table with a column `maybe`: true for rows that have an equal in wanted on these columns and, by chance, for others.
 
-def small(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """A written table with the broadcast hint if it has at most `most` rows and array elements together, else as it is, for a join by shuffle."""
-    n = F.count("*")
-    for f in table.schema:
-        if f.dataType.typeName() == "array":
-            n = n + F.coalesce(F.sum(F.size(f.name)), F.lit(0))
-    return F.broadcast(table) if table.agg(n).first()[0] <= most else table
+    A bitmap of the hashes in wanted is broadcast; its size has a bound, so one
+    plan serves all sizes. The fuller it is, the more other rows are true, so an
+    exact join must follow. Nulls are hashed like other values.
+    """
+    place = F.xxhash64(*on).bitwiseAND(F.lit((1 << SIEVE) - 1))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    sieve = wanted.select(word.alias("sieve_word"), one.alias("bit")).groupBy("sieve_word").agg(F.bit_or("bit").alias("sieve_bits"))
+    rows = table.withColumn("sieve_place", place).withColumn("sieve_word", F.shiftright("sieve_place", 6))
+    maybe = F.coalesce(F.getbit("sieve_bits", F.col("sieve_place").bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+    return rows.join(F.broadcast(sieve), "sieve_word", "left").select(*table.columns, maybe.alias("maybe"))
+
+
+def joined(table: DataFrame, wanted: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An inner, left or left_semi join of a large table with a written one; the large one's rows without an equal aren't shuffled."""
+    rows = sieved(table, wanted, *on)
+    out = rows.where("maybe").drop("maybe").join(wanted, on, how)
+    return out.unionByName(rows.where("not maybe").drop("maybe"), allowMissingColumns=True) if how == "left" else out
+
+def small(t): return t

@@ -272,11 +272,11 @@ def edits(a, b):
     return row[-1]
 
 
-def slow_lines(rows, least=16):
-    places = sorted({(d, n, line) for d, t in rows if t is not None for n, line in enumerate(t.split("\n")) if len(line) >= least}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+def slow_lines(rows, least=16, equal=1):
+    places = sorted({(d, n, line) for d, t in rows if t is not None for n, line in enumerate(t.split("\n")) if len(line) >= least or len(line) >= equal and line.strip()}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     gone, before = set(), []
     for d, n, line in places:
-        if any(abs(len(line) - len(o)) <= 1 and (line == o or edits(line, o) <= 1) for o in before):
+        if any(line == o or min(len(line), len(o)) >= least and abs(len(line) - len(o)) <= 1 and edits(line, o) <= 1 for o in before):
             gone.add((d, n))
         before.append(line)
     return sorted(((d, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone)) for d, t in rows), key=str)
@@ -288,8 +288,10 @@ def test_lines(spark, docs):
     rows = [(5, f"{base}\nshort\n{base}"), (6, base.replace("quick", "quicck")), (7, base[1:]), (8, base + "!\n" + base[:30] + "X" + base[31:]), (9, None), (10, ""), (11, "short\nshort")]
     rows += [(12, long), (13, long[:650] + "é" + long[651:]), (14, long[:64] + long[65:]), (15, long[:100] + "q" + long[100:] + "q"), (16, base[:10] + base[12:]), (16, base[:10] + base[12:]), (None, base), (17, "éàü" * 6), (18, "éàü" * 5 + "éà"), (19, base[:-2])]
     rows += [(r["doc_id"] + 100, r["text"]) for r in docs.where("doc_id < 40").select("doc_id", "text").collect()]
-    got = lines.dedup_lines(frame(spark, rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("gone", F.lit(2)))
-    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == slow_lines(rows)
+    table = frame(spark, rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("gone", F.lit(2)).withColumn("maybe", F.lit(3))
+    for equal in (1, 16):
+        got = lines.dedup_lines(table, equal=equal)
+        assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == slow_lines(rows, 16, equal)
     assert lines.dedup_lines(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
