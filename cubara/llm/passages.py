@@ -5,21 +5,21 @@ fewer words make one shingle) has BANDS keys of ROWS minima each, so that two
 paragraphs of Jaccard similarity 0.8 share a key with probability 0.9992
 (1 - (1 - 0.8^3)^10). Paragraphs with a common key are paired, the exact
 similarity of their sets is verified, and linked paragraphs are one class by
-components. Equal paragraphs are one from the start. A passage that was put
-into a paragraph leaves that paragraph's set unlike any other, so a paragraph's
-sentences are compared too, for equality.
-
-Equal runs of words are found wherever they begin and end. Every min_words
-consecutive words of a text, line ends or not, are a window; its anchor is the
-least hash of the runs of half as many words in it, so equal windows have equal
-anchors, and neighbouring windows mostly one anchor together. Only windows whose
-anchor stands in several places are compared, and all of them: what two windows
-have in common to the word is all runs of min_words or more.
-
-A passage is a run of neighbouring words that are repeated by their sentence,
-paragraph or window, and is reported from min_words words on. Where that many
-words in a row occur earlier they are a passage to remove by themselves; what is
-left of the run before and after stays.
+components. Equal paragraphs are one from the start, and so are equal texts: the
+one with the smallest id stands for all.
+
+A passage that was put into a paragraph leaves that paragraph's set unlike any
+other, so texts are banded by single minima, too: every min_words consecutive
+words, line ends or not, are a window, and its key, the anchor, is the least hash
+of the runs of half as many words in it. Equal windows have equal anchors, and
+neighbouring windows mostly one anchor in one place together, a stretch. Only stretches whose
+anchor stands in several places are compared: first as a whole, by a hash of all
+their words; then, but for those that stand earlier as a whole, window by window.
+
+A passage is a run of neighbouring words that are repeated by their paragraph or
+window, and is reported from min_words words on. Where that many words in a row
+occur earlier they are a passage to remove by themselves; what is left of the run
+before and after stays.
 
 A key of more than HEAVY different paragraphs isn't paired in full: its members
 are first paired with LEADERS of them, other ones for every key. Where that
@@ -30,18 +30,17 @@ a component are left out, which change no class.
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left, bisect_right
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubara.llm.shared import connected, map_batches, small, utf8, written
+from cubara.llm.shared import connected, forget, joined, map_batches, sieved, utf8, written
 
-SHINGLE, BANDS, ROWS, SIMILARITY, HEAVY, LEADERS, MIN_WORDS = 5, 10, 3, 0.8, 24, 4, 30
+SHINGLE, BANDS, ROWS, SIMILARITY, HEAVY, LEADERS = 5, 10, 3, 0.8, 24, 4
+#: Passages of over 50 words.
+MIN_WORDS = 51
 #: Stands for a null id, so that it comes last.
 LAST = (1 << 63) - 1
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -56,17 +55,32 @@ def _hashed(words: list[bytes]) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _windows(hashed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles' hashes of all the paragraphs in a row, repeats included, and where each paragraph's begin.
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _of_ranges(hashed: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of the words [lo, hi) of each range, wherever it lies: a polynomial, from its sums up to either end."""
+    base = int(_TIMES[which])
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashed * _powers(base, len(hashed))[:-1])))
+    moved = (sums[hi] - sums[lo]) * _powers(pow(base, -1, 1 << 64), len(hashed))[lo]
+    return _mixed(moved ^ ((hi - lo).astype(np.uint64) * _PLACES[3]))
+
+
+def _shingled(hashed: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles' hashes of all the ranges in a row, repeats included, and where each range's begin.
 
     A shingle is the sum of its words' hashes, each times a fixed odd number of
-    its place; missing words of short paragraphs add nothing.
+    its place; missing words of short ranges add nothing.
     """
-    n = np.array([len(h) for h in hashed])
+    n = hi - lo
     places = np.maximum(n, SHINGLE)
     begin, counts = np.cumsum(places) - places, places - SHINGLE + 1
     flat = np.zeros(places.sum(), np.uint64)
-    flat[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())] = np.concatenate(hashed)
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    flat[np.repeat(begin, n) + within] = hashed[np.repeat(lo, n) + within]
     size = len(flat) - SHINGLE + 1
     total = flat[:size] * _PLACES[0]
     for j in range(1, SHINGLE):
@@ -75,11 +89,6 @@ def _windows(hashed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return total[np.repeat(begin - starts, counts) + np.arange(counts.sum())], starts
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """Distinct 64-bit hashes of the shingles, sorted."""
-    return np.unique(_windows([_hashed(words)])[0])
-
-
 def _few(total: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each paragraph, whether it has fewer than four different shingles."""
     ends = np.append(starts[1:], len(total))
@@ -95,23 +104,26 @@ def _few(total: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return few
 
 
-def bands(hashed: list[np.ndarray]) -> list[list[int]]:
-    """Each paragraph's keys, as signed longs, from its words' hashes. Sets of fewer than four shingles are alike only if equal: one key."""
-    if not hashed:
-        return []
-    total, starts = _windows(hashed)
+def bands(hashed: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys one after another as signed longs, number of keys) of the ranges of words. Sets of fewer than four shingles are alike only if equal: one key."""
+    if not len(lo):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total, starts = _shingled(hashed, lo, hi)
     least = [np.minimum.reduceat(total * t + p, starts) for t, p in zip(_TIMES, _PLUS)]
-    keys = np.empty((len(hashed), BANDS), np.uint64)
+    keys = np.empty((len(lo), BANDS), np.uint64)
     for b in range(BANDS):
-        key = np.full(len(hashed), b, np.uint64)
+        key = np.full(len(lo), b, np.uint64)
         for m in least[b * ROWS : (b + 1) * ROWS]:
             key = _mixed(key ^ m)
         keys[:, b] = key
     one = keys[:, 0].copy()
     for b in range(1, BANDS):
         one = _mixed(one ^ keys[:, b])
-    few = _few(total, starts).tolist()
-    return [[x] if f else row for x, row, f in zip(one.view(np.int64).tolist(), keys.view(np.int64).tolist(), few)]
+    few = _few(total, starts)
+    keys[few, 0] = one[few]
+    wanted = np.ones(keys.shape, bool)
+    wanted[few, 1:] = False
+    return keys[wanted].view(np.int64), wanted.sum(axis=1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -121,122 +133,163 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _halves(hashed: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each `size` consecutive words."""
+    n = len(hashed) - size + 1
+    total = np.zeros(n, np.uint64)
+    for j in range(size):
+        total = (total ^ hashed[j : j + n]) * _PLACES[0]
+        total ^= total >> np.uint64(31)
+    return _mixed(total)
 
 
-def sentences(line: bytes) -> list[list[bytes]]:
-    """The words of each sentence of a line; sentences end at . ! ? before white space."""
-    out = [s.split() for s in re.split(rb"(?<=[.!?])\s+", line.translate(_FOLD))]
-    return [s for s in out if s]
+def _least(values: np.ndarray, size: int) -> np.ndarray:
+    """The least of each `size` consecutive values."""
+    n, done = len(values) - size + 1, 1
+    while done < size:
+        step = min(done, size - done)
+        values = np.minimum(values[: len(values) - step], values[step:])
+        done += step
+    return values[:n]
+
+
+def _anchors(hashed: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each min_words consecutive words the run of half as many that has the least hash, by its upper 32 bits, the first of equal ones: its place, and the hash of each place."""
+    half = (min_words + 1) // 2
+    parts = _halves(hashed, half)
+    ordered = (parts >> np.uint64(32) << np.uint64(32)) | np.arange(len(parts), dtype=np.uint64)
+    return (_least(ordered, min_words - half + 1) & np.uint64((1 << 32) - 1)).astype(np.int64), parts
+
+
+def _folded(text: bytes | None) -> list[list[bytes]]:
+    """The words of each line that has some."""
+    return [w for line in (text or b"").translate(_FOLD).split(b"\n") if (w := line.split())]
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, row, second, text): null ids are LAST, row and second are two hashes of the text; null and empty texts go."""
+    text = F.col(text_col)
+    return docs.where(F.octet_length(text) > 0).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("row"), F.hash(text).alias("second"), text.alias("text"))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, row) of the different documents; only texts of repeated rows are shuffled."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    twice = written(rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"))
-    if twice.isEmpty():
-        return rows
-    return rows.join(small(twice), "row", "left_anti").union(rows.join(small(twice), "row").dropDuplicates(["row"])).select("doc_id", "text", "row")
+def _different(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, row, text, copied): every different text once, in its smallest doc; and (row, second, doc, first) of the other docs with it. Only texts of copies are shuffled."""
+    groups = texts.select("row", "second", "doc").groupBy("row", "second").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last"))
+    twice = written(groups.where("n > 1").select("row", "second", "first", (F.col("first") < F.col("last")).alias("spread")))
+    rows = sieved(texts, twice, "row", "second")
+    maybe = rows.where("maybe").join(twice, ["row", "second"], "left")
+    once = maybe.where("first is null").union(maybe.where("first = doc").dropDuplicates(["row"]))
+    names = ["doc", "row", "text"]
+    reps = rows.where("not maybe").select(*names, F.lit(False).alias("copied")).union(once.select(*names, F.coalesce("spread", F.lit(False))))
+    copies = joined(texts.select("row", "second", "doc"), twice, ["row", "second"]).where("doc <> first").distinct()
+    return reps, copies
 
 
-#: Paragraphs whose keys a task remembers, as copies are frequent.
-_REMEMBERED = 20_000
+#: Kinds of rows of _units.
+PARAGRAPH, STRETCH, WHOLE = 0, 1, 2
 
 
-def _units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sentences (doc, row, sentence, word, n_words, h, again) and paragraphs (doc, row, para, sentence, starts, words, ph, keys).
+def _units(reps: DataFrame, min_words: int) -> DataFrame:
+    """(kind, doc, row, lo, hi, h, second, keys), from one reading of the texts; lo and hi count words.
 
-    doc is the id, nulls last; again says that the sentence stands in the same
-    text before; word is the number of its first one. A paragraph has its first
-    sentence's number, its sentences' first words and numbers of words, and its
-    keys.
+    A PARAGRAPH is its words, two hashes of them and its keys. A STRETCH is the
+    words of neighbouring windows with one anchor, which is h; second is a hash
+    of them all. WHOLE is a text that has copies.
     """
-    schema = "doc long, row long, para int, sentence int, starts array<int>, words array<int>, h array<long>, again array<boolean>, ph long, keys array<long>"
-    names = [x.split()[0] for x in schema.split(", ")]
+    schema = "kind int, doc long, row long, lo int, hi int, h long, second long, keys array<long>"
 
     def make():
-        known: dict[int, list[int]] = {}
-
         def each(b: pa.RecordBatch) -> dict:
-            out: dict = {n: [] for n in names}
-            lacking: dict[int, np.ndarray] = {}
-            for doc, text, row in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist()):
-                number, at, before = 0, 0, set()
-                for para, line in enumerate((text or b"").split(b"\n")):
-                    parts = sentences(line)
-                    if not parts:
-                        continue
-                    words = [w for s in parts for w in s]
-                    whole = _signed(xxhash.xxh64_intdigest(b" ".join(words)))
-                    if whole not in known and whole not in lacking:
-                        lacking[whole] = _hashed(words)
-                    h = [_signed(xxhash.xxh64_intdigest(b" ".join(s), 7)) for s in parts]
-                    again = []
-                    for x in h:
-                        again.append(x in before)
-                        before.add(x)
-                    starts = []
-                    for s in parts:
-                        starts.append(at)
-                        at += len(s)
-                    for n, v in zip(names, (doc, row, para, number, starts, [len(s) for s in parts], h, again, whole)):
-                        out[n].append(v)
-                    number += len(parts)
-            new = dict(zip(lacking, bands(list(lacking.values()))))
-            out["keys"] = [new[w] if w in new else known[w] for w in out["ph"]]
-            for w, keys in new.items():
-                if len(known) >= _REMEMBERED:
-                    break
-                known[w] = keys
-            return out
+            words: list[bytes] = []
+            para, ends = [0], [0]  # where paragraphs and texts end
+            count = []
+            for text in utf8(b.column(2)):
+                lines = _folded(text)
+                for w in lines:
+                    words += w
+                    para.append(len(words))
+                count.append(len(lines))
+                ends.append(len(words))
+            hashed, para, ends = _hashed(words), np.array(para), np.array(ends)
+            doc, row = b.column(0).to_numpy(), b.column(1).to_numpy()
+            of = np.repeat(np.arange(len(doc)), count)
+            lo, hi = para[:-1], para[1:]
+            h = _of_ranges(hashed, lo, hi)
+            _, first, back = np.unique(h, return_index=True, return_inverse=True)
+            keys, n = bands(hashed, lo[first], hi[first])
+            own = np.cumsum(n) - n
+            size = n[back]
+            keys = keys[np.repeat(own[back] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            parts = [(PARAGRAPH, of, lo, hi, h, _of_ranges(hashed, lo, hi, 1))]
+            if len(words) >= min_words:
+                at, parts_of = _anchors(hashed, min_words)
+                text_of = np.repeat(np.arange(len(doc)), np.diff(ends))
+                inside = text_of[: len(at)] == text_of[min_words - 1 :]
+                new = np.concatenate(([True], (at[1:] != at[:-1]) | (text_of[1 : len(at)] != text_of[: len(at) - 1])))
+                edge = np.flatnonzero(new | ~inside)
+                stop = np.append(edge[1:], len(at))[inside[edge]] + min_words - 1
+                edge = edge[inside[edge]]
+                parts.append((STRETCH, text_of[edge], edge, stop, parts_of[at[edge]], _of_ranges(hashed, edge, stop, 1)))
+            whole = np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False) & (np.diff(ends) > 0))
+            parts.append((WHOLE, whole, ends[whole], ends[whole + 1], np.zeros(len(whole), np.uint64), np.zeros(len(whole), np.uint64)))
+            of = np.concatenate([p[1] for p in parts])
+            offsets = np.concatenate(([0], np.cumsum(size)))
+            none = np.full(sum(len(p[1]) for p in parts[1:]), offsets[-1])
+            return {
+                "kind": np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]),
+                "doc": doc[of],
+                "row": row[of],
+                "lo": np.concatenate([p[2] for p in parts]) - ends[of],
+                "hi": np.concatenate([p[3] for p in parts]) - ends[of],
+                "h": np.concatenate([p[4] for p in parts]).view(np.int64),
+                "second": np.concatenate([p[5] for p in parts]).view(np.int64),
+                "keys": pa.ListArray.from_arrays(pa.array(np.concatenate((offsets, none)), pa.int32()), pa.array(keys, pa.int64())),
+            }
 
         return each
 
-    placed = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text", "row")
-    paras = written(map_batches(placed, make, schema, rows=128))
-    each = F.posexplode(F.arrays_zip("starts", "words", "h", "again")).alias("k", "s")
-    sents = paras.select("doc", "row", "sentence", each).select("doc", "row", (F.col("sentence") + F.col("k")).alias("sentence"), F.col("s.starts").alias("word"), F.col("s.words").alias("n_words"), "s.h", "s.again")
-    return sents, paras
+    return written(map_batches(reps.select("doc", "row", "text", "copied"), make, schema, rows=256))
 
 
-def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(ph, shingles) of the wanted paragraphs (row, para), read from the texts that hold them."""
-    by_row = wanted.groupBy("row").agg(F.collect_set("para").alias("paras"))
+def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(ph, shingles) of the wanted paragraphs (doc, row, lo, hi), read from the texts that hold them."""
+    by_text = written(wanted.groupBy("doc", "row").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his")))
 
     def make():
         def each(b: pa.RecordBatch) -> dict:
             out: dict = {"ph": [], "shingles": []}
-            for text, paras in zip(utf8(b.column(0)), b.column(1).to_pylist()):
-                lines = (text or b"").split(b"\n")
-                for p in paras:
-                    words = [w for s in sentences(lines[p]) for w in s]
-                    out["ph"].append(_signed(xxhash.xxh64_intdigest(b" ".join(words))))
-                    out["shingles"].append(shingles(words).view(np.int64))
+            for text, los, his in zip(utf8(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                hashed = _hashed([w for line in _folded(text) for w in line])
+                lo, hi = np.array(los), np.array(his)
+                out["ph"] += _of_ranges(hashed, lo, hi).view(np.int64).tolist()
+                total, starts = _shingled(hashed, lo, hi)
+                out["shingles"] += [np.unique(x).view(np.int64) for x in np.split(total, starts[1:])]
             return out
 
         return each
 
-    return map_batches(rows.join(small(written(by_row)), "row").select("text", "paras"), make, "ph long, shingles array<long>", rows=128).dropDuplicates(["ph"])
+    return map_batches(joined(texts, by_text, ["doc", "row"]).select("text", "los", "his"), make, "ph long, shingles array<long>", rows=128).dropDuplicates(["ph"])
 
 
-def paragraph_links(paras: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): different paragraphs whose sets are at least as similar, verified exactly."""
-    every = paras.select("ph", F.explode("keys").alias("key"))
+def paragraph_links(units: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): different paragraphs (by their hash) whose sets are at least as similar, verified exactly."""
+    paras = units.where(F.col("kind") == PARAGRAPH)
+    every = paras.select(F.col("h").alias("ph"), F.explode("keys").alias("key"))
     # Most keys have one paragraph or copies of it: only keys of two different ones go on.
     shared = written(every.groupBy("key").agg(F.min("ph").alias("lo"), F.max("ph").alias("hi")).where("lo < hi").select("key"))
-    keyed = written(every.join(small(shared), "key").distinct())
+    keyed = written(joined(every, shared, ["key"], "left_semi").distinct())
     sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")))
-    light = keyed.join(small(sizes.where(F.col("n") <= HEAVY).select("key")), "key").select("key", "ph")
+    light = keyed.join(sizes.where(F.col("n") <= HEAVY).select("key"), "key").select("key", "ph")
     pairs = light.toDF("key", "a").join(light.toDF("key", "b"), "key").where("a < b").select("a", "b")
-    crowd = written(keyed.join(small(sizes.where(F.col("n") > HEAVY).select("key")), "key").select("key", "ph"))
+    crowd = written(keyed.join(sizes.where(F.col("n") > HEAVY).select("key"), "key").select("key", "ph"))
     low = [F.min_by("ph", F.xxhash64("ph", "key", F.lit(k))) for k in range(LEADERS)]
-    heavy = written(crowd.groupBy("key").agg(F.array(*low).alias("leaders")))
-    led = crowd.join(small(heavy), "key").select("ph", F.explode("leaders").alias("l")).where("ph <> l")
+    heavy = crowd.groupBy("key").agg(F.array(*low).alias("leaders"))
+    led = crowd.join(heavy, "key").select("ph", F.explode("leaders").alias("l")).where("ph <> l")
     pairs = written(pairs.union(led.select(F.least("ph", "l"), F.greatest("ph", "l"))).distinct())
-    used = pairs.select(F.col("a").alias("ph")).union(pairs.select("b")).distinct()
-    wanted = paras.select("ph", "row", "para").join(small(written(used)), "ph").groupBy("ph").agg(F.min(F.struct("row", "para")).alias("p")).select("p.row", "p.para")
-    sets = written(_sets(rows, wanted))
+    forget(shared, keyed, sizes)
+    used = written(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
+    wanted = joined(paras.select("doc", "row", "lo", "hi", "h"), used, ["h"]).groupBy("h").agg(F.min(F.struct("doc", "row", "lo", "hi")).alias("p")).select("p.*")
+    sets = written(_sets(texts, wanted))
     links = written(_alike(pairs, sets, similarity))
     return links if crowd.isEmpty() else links.union(_across(crowd, links, sets, similarity))
 
@@ -248,119 +301,129 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
 
 
-def _across(crowd: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): every link between members of crowded keys (key, ph) that the links so far leave in different components.
+#: Buckets of shingles that are counted for their order.
+COUNTED = 1 << 16
 
-    Shingles are ordered by their number of sets, rarest first. Two sets that
-    are alike share a shingle of both prefixes; at the first shared one, what
-    follows in the shorter rest bounds the number in common.
-    """
-    parts = connected(links).select(F.col("node").alias("ph"), "component")
-    crowd = crowd.join(parts, "ph", "left").select("key", "ph", F.coalesce("component", "ph").alias("c"))
-    split = crowd.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = written(crowd.join(split, "key").select("ph", "c").distinct())
-    tokens = rest.join(sets, "ph").select("ph", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
-    spread = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    at = F.row_number().over(Window.partitionBy("ph").orderBy("df", "t"))
-    ranked = tokens.join(spread, "t").withColumn("i", at).where(F.col("i") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1)
-    prefix = written(ranked.where("lo < hi").select("t", "ph", "c", "n", "i"))
-    x, y = prefix.toDF("t", "a", "ca", "na", "ia"), prefix.toDF("t", "b", "cb", "nb", "ib")
-    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + 1
-    near = x.join(y, "t").where((F.col("ca") < F.col("cb")) & (most * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-9))
-    return _alike(written(near.select("a", "b").distinct()), sets, similarity)
 
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets (shingles) fall into each of COUNTED buckets: a table of fixed size."""
 
-def _halves(hashed: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each `size` consecutive words."""
-    n = len(hashed) - size + 1
-    total = np.zeros(n, np.uint64)
-    for j in range(size):
-        total = (total ^ hashed[j : j + n]) * _PLACES[0]
-        total ^= total >> np.uint64(31)
-    return _mixed(total)
+    def count(batches):
+        total = np.zeros(COUNTED, np.int64)
+        for b in batches:
+            total += np.bincount(b.column(0).flatten().to_numpy().view(np.uint64) % COUNTED, minlength=COUNTED)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
+    out = np.zeros(COUNTED, np.int64)
+    for r in sets.select("shingles").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r["bucket"]] = r["n"]
+    return out
 
-def _least(values: np.ndarray, size: int) -> np.ndarray:
-    """The least of each `size` consecutive values."""
-    n, done = len(values) - size + 1, 1
-    while done < size:
-        step = min(done, size - done)
-        values = np.minimum(values[: len(values) - step], values[step:])
-        done += step
-    return values[:n]
 
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(t, ph, c, n, i, p) for each shingle t of the prefix p of the set of ph, its place i in it from 1 and the set's size n. All sets have one order of shingles, rare buckets first."""
+    rarity = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
 
-def _windows_of(text: bytes | None, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor and hash of each min_words consecutive words."""
-    words = (text or b"").translate(_FOLD).split()
-    if len(words) < min_words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    half = (min_words + 1) // 2
-    parts, rest = _halves(_hashed(words), half), min_words - half
-    n = len(words) - min_words + 1
-    return _least(parts, rest + 1), _mixed(parts[:n] * _PLACES[1] + parts[rest : rest + n] * _PLACES[2])
+    def make():
+        def each(b: pa.RecordBatch) -> dict:
+            out: dict = {"t": [], "ph": [], "c": [], "n": [], "i": [], "p": []}
+            for ph, c, shingles_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                t = shingles_.values.to_numpy()
+                first = t[np.lexsort((t, rarity.value[t.view(np.uint64) % COUNTED]))][: len(t) - int(np.ceil(similarity * len(t) - 1e-9)) + 1]
+                k = len(first)
+                for name, v in zip(out, (first, np.full(k, ph), np.full(k, c), np.full(k, len(t)), np.arange(1, k + 1))):
+                    out[name].append(v)
+                out["p"] += [first] * k
+            return {k: v if k == "p" else np.concatenate(v) if v else [] for k, v in out.items()}
 
+        return each
 
-def repeated_windows(rows: DataFrame, min_words: int) -> DataFrame:
-    """(row, doc, lo, hi, least, later): stretches [lo, hi) of words all of whose min_words consecutive ones stand elsewhere, too, first in the document least, and whether that is an earlier place."""
+    return map_batches(sets.select("ph", "c", "shingles"), make, "t long, ph long, c long, n int, i int, p array<long>")
 
-    def anchored():
-        def each(b: pa.RecordBatch) -> dict:
-            out: dict = {"anchor": [], "row": [], "lo": [], "hi": []}
-            for text, row in zip(utf8(b.column(0)), b.column(1).to_pylist()):
-                a, _ = _windows_of(text, min_words)
-                if len(a):
-                    first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-                    out["anchor"].append(a[first].view(np.int64))
-                    out["row"].append(np.full(len(first), row))
-                    out["lo"].append(first)
-                    out["hi"].append(np.append(first[1:], len(a)))
-            return {k: np.concatenate(v) if v else [] for k, v in out.items()}
 
-        return each
+def _across(crowd: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every link between members of crowded keys (key, ph) that the links so far leave in different components.
 
-    anchors = written(map_batches(rows.select("text", "row"), anchored, "anchor long, row long, lo int, hi int", rows=128))
-    shared = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    wanted = written(anchors.join(small(shared), "anchor").groupBy("row").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his")))
+    Two sets that are alike share a shingle of both prefixes; at the first shared
+    one, what follows in the shorter rest bounds the number in common. A pair
+    comes up once, at that shingle.
+    """
+    parts = connected(links).select(F.col("node").alias("ph"), "component")
+    crowd = crowd.join(parts, "ph", "left").select("key", "ph", F.coalesce("component", "ph").alias("c"))
+    split = crowd.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    rest = written(crowd.join(split, "key").select("ph", "c").distinct())
+    prefix = written(_prefixes(written(joined(sets, rest, ["ph"])), similarity))
+    x, y = prefix.toDF("t", "a", "ca", "na", "ia", "pa"), prefix.toDF("t", "b", "cb", "nb", "ib", "pb")
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + 1
+    near = x.join(y, "t").where((F.col("ca") < F.col("cb")) & (most * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-9) & (F.array_intersect("pa", "pb")[0] == F.col("t")))
+    return _alike(written(near.select("a", "b")), sets, similarity)
+
+
+def repeated_windows(units: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
+    """(doc, row, lo, hi, least, later): words [lo, hi) all of whose min_words consecutive ones stand elsewhere, too, one of them in the document least, and whether that is an earlier place."""
+    every = units.where(F.col("kind") == STRETCH).select("doc", "row", "lo", "hi", F.col("h").alias("anchor"), "second")
+    shared = written(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    stretches = written(joined(every, shared, ["anchor"], "left_semi"))
+    forget(shared)
+    place = F.struct("doc", "row", "lo")
+    first = stretches.groupBy("second").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("second", "first")
+    first = written(first)
+    # As a whole in an earlier place: done. The first of equal ones stands for them among the others.
+    placed = stretches.join(first, "second", "left").withColumn("later", F.coalesce(F.col("first") != place, F.lit(False)))
+    wholes = written(placed.where("later").select("doc", "row", "lo", "hi", F.col("first.doc").alias("least"), "later"))
+    rest = placed.where("not later").withColumn("several", F.col("first").isNotNull())
+    rest = written(rest.groupBy("doc", "row").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"), F.collect_list("several").alias("several")))
+    forget(stretches, first)
 
     def compared():
         def each(b: pa.RecordBatch) -> dict:
-            out: dict = {"doc": [], "row": [], "at": [], "w": []}
-            for text, doc, row, los, his in zip(utf8(b.column(0)), *(b.column(k).to_pylist() for k in range(1, 5))):
-                _, w = _windows_of(text, min_words)
-                at = np.concatenate([np.arange(x, y) for x, y in zip(los, his)])
+            out: dict = {"doc": [], "row": [], "at": [], "w": [], "several": []}
+            for text, doc, row, los, his, several in zip(utf8(b.column(0)), *(b.column(k).to_pylist() for k in range(1, 6))):
+                hashed = _hashed([w for line in _folded(text) for w in line])
+                n = np.array(his) - np.array(los) - min_words + 1
+                at = np.repeat(np.array(los) - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 out["doc"].append(np.full(len(at), doc))
                 out["row"].append(np.full(len(at), row))
                 out["at"].append(at)
-                out["w"].append(w[at].view(np.int64))
+                out["w"].append(_of_ranges(hashed, at, at + min_words, 2).view(np.int64))
+                out["several"].append(np.repeat(several, n))
             return {k: np.concatenate(v) if v else [] for k, v in out.items()}
 
         return each
 
-    texts = rows.join(small(wanted), "row").select("text", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "row", "los", "his")
-    windows = written(map_batches(texts, compared, "doc long, row long, at int, w long", rows=128))
+    found = joined(texts.select("doc", "row", "text"), rest, ["doc", "row"]).select("text", "doc", "row", "los", "his", "several")
+    windows = written(map_batches(found, compared, "doc long, row long, at int, w long, several boolean", rows=128))
     place = F.struct("doc", "row", "at")
-    first = written(windows.groupBy("w").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("w", "first"))
-    again = windows.join(small(first), "w").select("doc", "row", "at", F.col("first.doc").alias("least"), (F.col("first") != place).alias("later"))
-    # Neighbouring windows with one earliest document are one stretch.
-    run = F.col("at") - F.row_number().over(Window.partitionBy("row", "least", "later").orderBy("at"))
-    return again.withColumn("run", run).groupBy("row", "least", "later", "run").agg(F.min("doc").alias("doc"), F.min("at").alias("lo"), (F.max("at") + min_words).alias("hi"))
-
-
-def _passages(marks: DataFrame, paras: DataFrame, min_words: int) -> DataFrame:
-    """Passages from repeated stretches (row, doc, lo, hi, least, later) of words."""
-    spans = marks.groupBy("row").agg(F.min("doc").alias("doc"), *(F.collect_list(c).alias(c) for c in ("lo", "hi", "least", "later")))
-    starts = paras.select("row", F.explode("starts").alias("s")).groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("starts"))
-    schema = "doc long, first_sentence long, n_sentences long, n_words long, least long, removed boolean, first_word long"
+    first = windows.groupBy("w").agg(F.max("several").alias("several"), F.min(place).alias("first"), F.max(place).alias("last")).where("several or first <> last").select("w", "first")
+    again = joined(windows.select("doc", "row", "at", "w"), written(first), ["w"])
+    again = again.select("doc", "row", F.col("at").alias("lo"), (F.col("at") + min_words).alias("hi"), F.col("first.doc").alias("least"), (F.col("first") != place).alias("later"))
+    return wholes.union(again)
+
+
+def _merged(lo: np.ndarray, hi: np.ndarray, least: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of one least and later that touch, as one."""
+    o = np.lexsort((lo, later, least))
+    lo, hi, least, later = lo[o], hi[o], least[o], later[o]
+    new = np.concatenate(([True], (least[1:] != least[:-1]) | (later[1:] != later[:-1]) | (lo[1:] > hi[:-1])))
+    at = np.flatnonzero(new)
+    return lo[at], np.maximum.reduceat(hi, at), least[at], later[at]
+
+
+def _passages(marks: DataFrame, min_words: int) -> DataFrame:
+    """Passages from repeated ranges (doc, row, lo, hi, least, later) of words."""
+    spans = marks.groupBy("doc", "row").agg(*(F.collect_list(c).alias(c) for c in ("lo", "hi", "least", "later")))
+    schema = "doc long, first_word long, n_words long, least long, removed boolean"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def make():
         def each(b: pa.RecordBatch) -> dict:
             out: dict = {n: [] for n in names}
-            for doc, los, his, leasts, laters, starts in zip(*(b.column(k).to_pylist() for k in range(6))):
+            for doc, *ranges in zip(b.column(0).to_pylist(), *(b.column(k) for k in range(1, 5))):
+                los, his, leasts, laters = _merged(*(np.array(x.values) for x in ranges))
                 # 0 not repeated, 1 repeated, 2 with an earlier place; one more word ends the last stretch.
-                kind, least = np.zeros(max(his) + 1, np.int8), np.full(max(his) + 1, LAST)
-                for lo, hi, x, later in zip(los, his, leasts, laters):
+                kind, least = np.zeros(his.max() + 1, np.int8), np.full(his.max() + 1, LAST)
+                for lo, hi, x, later in zip(los.tolist(), his.tolist(), leasts.tolist(), laters.tolist()):
                     np.maximum(kind[lo:hi], 2 if later else 1, out=kind[lo:hi])
                     np.minimum(least[lo:hi], x, out=least[lo:hi])
                 for lo, hi in _stretches(kind == 2):  # fewer words than a passage has go with what is around them
@@ -369,14 +432,13 @@ def _passages(marks: DataFrame, paras: DataFrame, min_words: int) -> DataFrame:
                 for k in (1, 2):
                     for lo, hi in _stretches(kind == k):
                         if hi - lo >= min_words:
-                            a, z = bisect_right(starts, lo) - 1, bisect_left(starts, hi)
-                            for n, v in zip(names, (doc, a, z - a, hi - lo, int(least[lo:hi].min()), k == 2, lo)):
+                            for n, v in zip(names, (doc, lo, hi - lo, int(least[lo:hi].min()), k == 2)):
                                 out[n].append(v)
             return out
 
         return each
 
-    return map_batches(spans.join(starts, "row").select("doc", "lo", "hi", "least", "later", "starts"), make, schema, rows=128)
+    return map_batches(spans.select("doc", "lo", "hi", "least", "later"), make, schema, rows=128)
 
 
 def _stretches(on: np.ndarray) -> list[tuple[int, int]]:
@@ -386,30 +448,35 @@ def _stretches(on: np.ndarray) -> list[tuple[int, int]]:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, first_sentence, n_sentences, n_words, first_doc, removed, first_word: every passage of at least min_words that occurs elsewhere, too.
-
-    Sentences and words are numbered from 0 over the whole text. A passage is
-    its n_words words from first_word on; the sentences it touches may begin
-    before and end after it. first_doc is the smallest doc_id that holds a part
-    of the passage or its near-duplicate; removed says that all of it occurs
-    earlier (in a smaller doc_id, or before in the same text). Null and empty texts have no passages, rows with equal id
-    and text are one document, null ids come last. An empty table gives no rows.
+    """doc_id, first_word, n_words, first_doc, removed: every passage of at least min_words that occurs elsewhere, too.
+
+    Words are numbered from 0 over the whole text; a passage is its n_words words
+    from first_word on. first_doc is a document that holds a part of the passage
+    or its near-duplicate, the smallest but where copies of stretches stand for
+    each other; removed says that all of it occurs earlier (in a smaller doc_id,
+    or before in the same text). A text that a smaller doc_id holds, too, is one
+    passage from its first word to its last. Null and empty texts have no
+    passages, rows with equal id and text are one document, null ids come last.
+    Texts are read whole; one task holds one at a time. Other columns are not
+    looked at, whatever their names. An empty table gives no rows.
     """
-    rows = _rows(docs, id_col, text_col)
-    sents, paras = _units(rows)
-    classes = connected(paragraph_links(paras, rows)).select(F.col("node").alias("ph"), F.col("component").alias("class"))
-    # Classes of paragraphs with more than one place, the earliest of them, and the sentences that the others stand for.
-    place = F.struct("doc", "row", "para")
-    # Copies and links are known by ph: places of paragraphs with neither go before anything is joined.
-    several = paras.groupBy("ph").agg(F.count("*").alias("n")).join(classes, "ph", "left").where("n > 1 or class is not null")
-    several = written(several.select("ph", F.coalesce("class", "ph").alias("class")))
-    heads = written(paras.select("doc", "row", "para", "starts", "words", "ph").join(small(several), "ph").drop("ph"))
-    first = written(heads.groupBy("class").agg(F.min(place).alias("first")))
-    after = heads.join(small(first), "class").select("row", "doc", F.element_at("starts", 1).alias("lo"), (F.element_at("starts", -1) + F.element_at("words", -1)).alias("hi"), F.col("first.doc").alias("least"), (F.col("first") != place).alias("later"))
-    # Sentences with more than one place.
-    same = written(sents.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("least")).where("n > 1").select("h", "least"))
-    by_sentence = sents.join(small(same), "h").select("row", "doc", F.col("word").alias("lo"), (F.col("word") + F.col("n_words")).alias("hi"), "least", ((F.col("doc") > F.col("least")) | F.col("again")).alias("later"))
-    names = ["row", "doc", "lo", "hi", "least", "later"]
-    marks = after.select(names).union(by_sentence.select(names)).union(repeated_windows(rows, min_words).select(names))
-    real = lambda c: F.nullif(F.col(c), F.lit(LAST))
-    return _passages(marks, paras, min_words).select(real("doc").alias("doc_id"), "first_sentence", "n_sentences", "n_words", real("least").alias("first_doc"), "removed", "first_word")
+    texts = _texts(docs, id_col, text_col)
+    reps, copies = _different(texts)
+    units = _units(reps, min_words)
+    classes = connected(paragraph_links(units, texts)).select(F.col("node").alias("h"), F.col("component").alias("class"))
+    names = ["doc", "row", "lo", "hi", "least", "later"]
+    # Classes of paragraphs with more than one place, and the earliest of them.
+    paras = units.where(F.col("kind") == PARAGRAPH).select("doc", "row", "lo", "hi", "h", "second")
+    several = paras.groupBy("h", "second").agg(F.count("*").alias("n")).join(classes, "h", "left").where("n > 1 or class is not null")
+    several = written(several.select("h", "second", F.coalesce("class", "h").alias("class"), F.coalesce(F.col("class") * 0, F.col("second")).alias("of")))
+    heads = written(joined(paras, several, ["h", "second"]).drop("h", "second"))
+    place = F.struct("doc", "row", "lo")
+    first = heads.groupBy("class", "of").agg(F.min(place).alias("first"))
+    by_paragraph = heads.join(first, ["class", "of"]).select("doc", "row", "lo", "hi", F.col("first.doc").alias("least"), (F.col("first") != place).alias("later"))
+    whole = units.where(F.col("kind") == WHOLE).select("doc", "row", "lo", "hi")
+    marks = by_paragraph.union(repeated_windows(units, texts, min_words).select(names)).union(whole.select(*names[:4], F.col("doc").alias("least"), F.lit(False)))
+    real = lambda c: F.nullif(F.col(c), F.lit(LAST))
+    found = _passages(marks, min_words).select(real("doc").alias("doc_id"), "first_word", "n_words", real("least").alias("first_doc"), "removed")
+    sizes = whole.where(F.col("hi") >= min_words).select("row", F.col("doc").alias("first"), F.col("hi").alias("n_words"))
+    copied = copies.join(sizes, ["row", "first"]).select(real("doc").alias("doc_id"), F.lit(0).cast("long"), F.col("n_words").cast("long"), real("first").alias("first_doc"), F.lit(True))
+    return found.union(copied)

@@ -85,7 +85,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 columns = each(batch.slice(at, rows))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -159,5 +159,3 @@ def joined(table: DataFrame, wanted: DataFrame, on: list[str], how: str = "inner
     rows = sieved(table, wanted, *on)
     out = rows.where("maybe").drop("maybe").join(wanted, on, how)
     return out.unionByName(rows.where("not maybe").drop("maybe"), allowMissingColumns=True) if how == "left" else out
-
-def small(t): return t

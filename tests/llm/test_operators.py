@@ -494,6 +494,17 @@ def slow_sets(texts):
     return out
 
 
+def units_of(spark, rows, min_words):
+    table = passages._texts(frame(spark, rows, "doc_id long, text string"), "doc_id", "text")
+    return table, passages._units(passages._different(table)[0], min_words)
+
+
+def paragraph_id(words):
+    import numpy as np
+
+    return int(passages._of_ranges(passages._hashed(words), np.array([0]), np.array([len(words)])).view(np.int64)[0])
+
+
 def test_paragraph_classes(spark):
     """Classes of paragraphs against all pairs; more than HEAVY near-copies share a key, in two families unlike each other."""
     import random
@@ -513,11 +524,10 @@ def test_paragraph_classes(spark):
         tail = [word() for _ in range(25)]
         texts += [" ".join(half + tail[:k] + [word() for _ in range(k % 3)]) for k in range(14, 26)]
     rows = [(i, t) for i, t in enumerate(texts)]
-    table = passages._rows(frame(spark, rows, "doc_id long, text string"), "doc_id", "text")
-    _, paras = passages._units(table)
-    got = {r["node"]: r["component"] for r in connected(passages.paragraph_links(paras, table)).collect()}
+    table, units = units_of(spark, rows, 51)
+    got = {r["node"]: r["component"] for r in connected(passages.paragraph_links(units, table)).collect()}
     sets = slow_sets(texts)
-    ids = {w: passages._signed(xxhash.xxh64_intdigest(w)) for w in sets}
+    ids = {w: paragraph_id(w.split()) for w in sets}
     links = [(ids[a], ids[b]) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert got == groups(links, {n for x in links for n in x})
 
@@ -538,8 +548,8 @@ def test_repeated_passages(spark):
     own = lambda k: " ".join(f"{k}x{i}" for i in range(50)) + "."
     rows = [(1, own(1) + "\n" + said), (2, own(2) + " " + said + " " + own(3)), (3, own(4)), (4, None), (5, ""), (6, said + "\n" + said), (None, said), (2, own(2) + " " + said + " " + own(3))]
     table = frame(spark, rows, "doc_id long, text string").withColumn("row", F.lit("x")).withColumn("n_words", F.lit(1))
-    got = {(r["doc_id"], r["first_sentence"], r["n_sentences"], r["n_words"], r["first_doc"], r["removed"]) for r in passages.repeated_passages(table).collect()}
-    assert got == {(1, 1, 2, 60, 1, False), (2, 1, 2, 60, 1, True), (6, 0, 4, 120, 1, True), (None, 0, 2, 60, 1, True)}
+    got = {tuple(r) for r in passages.repeated_passages(table).collect()}
+    assert got == {(1, 50, 60, 1, False), (2, 50, 60, 1, True), (6, 0, 120, 1, True), (None, 0, 60, 1, True)}
     assert passages.repeated_passages(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
@@ -569,10 +579,11 @@ def test_repeated_runs_of_words(spark):
             want |= {(d, k) for k in range(i, i + 30)}
             later |= {(d, k) for k in range(i, i + 30)} if (d, i) != min(found) else set()
     assert want
-    marks = passages.repeated_windows(passages._rows(frame(spark, rows, "doc_id long, text string"), "doc_id", "text"), 30).collect()
+    table, units = units_of(spark, rows, 30)
+    marks = passages.repeated_windows(units, table, 30).collect()
     assert {(r["doc"], k) for r in marks for k in range(r["lo"], r["hi"])} == want
     assert {(r["doc"], k) for r in marks if r["later"] for k in range(r["lo"], r["hi"])} == later
-    got = passages.repeated_passages(frame(spark, rows, "doc_id long, text string")).collect()
+    got = passages.repeated_passages(frame(spark, rows, "doc_id long, text string"), min_words=30).collect()
     assert {(r["doc_id"], k) for r in got for k in range(r["first_word"], r["first_word"] + r["n_words"])} >= want
     assert {(r["doc_id"], k) for r in got if r["removed"] for k in range(r["first_word"], r["first_word"] + r["n_words"])} >= later
 
@@ -582,7 +593,7 @@ def test_runs_inside_sentences(spark):
     w = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
     rows = [(1, w("a", 40) + " " + w("r", 51) + " " + w("b", 40) + "."), (2, w("c", 9) + ". " + w("d", 10) + " " + w("r", 51).replace(" r20 ", "\nr20 ") + " " + w("e", 70))]
     got = {tuple(r) for r in passages.repeated_passages(frame(spark, rows, "doc_id long, text string")).collect()}
-    assert got == {(1, 0, 1, 51, 1, False, 40), (2, 1, 2, 51, 1, True, 19)}
+    assert got == {(1, 40, 51, 1, False), (2, 19, 51, 1, True)}
 
 
 def test_copies_beside_first_places_are_removed(spark):
@@ -591,4 +602,65 @@ def test_copies_beside_first_places_are_removed(spark):
     a, b = said("a", 60), said("b", 60)
     rows = [(1, a), (2, f"{a} {b}"), (3, said("c", 20) + " " + b)]
     got = {tuple(r) for r in passages.repeated_passages(frame(spark, rows, "doc_id long, text string")).collect()}
-    assert got == {(1, 0, 1, 60, 1, False, 0), (2, 0, 1, 60, 1, True, 0), (2, 1, 1, 60, 2, False, 60), (3, 1, 1, 60, 2, True, 20)}
+    assert got == {(1, 0, 60, 1, False), (2, 0, 60, 1, True), (2, 60, 60, 2, False), (3, 20, 60, 2, True)}
+
+
+def slow_passages(rows, min_words):
+    """(doc_id, first_word, n_words, removed): paragraphs by all pairs, windows by equality of words."""
+    last = 1 << 63
+    texts: dict = {}
+    for d, t in rows:
+        if t:
+            texts.setdefault(t, set()).add(last if d is None else d)
+    out, marks, paras, windows = [], {}, [], {}
+    for t, ids in texts.items():
+        first, words = min(ids), t.encode().lower().split()
+        out += [(d, 0, len(words), True) for d in ids - {first} if len(words) >= min_words]
+        marks[t] = [(0, len(words), False)] if len(ids) > 1 else []
+        at = 0
+        for line in t.split("\n"):
+            w = line.encode().lower().split()
+            if w:
+                paras.append(((first, at), t, at + len(w), b" ".join(w)))
+            at += len(w)
+        for i in range(len(words) - min_words + 1):
+            windows.setdefault(tuple(words[i : i + min_words]), []).append(((first, i), t))
+    sets = slow_sets([t for t in texts])
+    names = sorted(sets)
+    classes = groups([(i, j) for (i, a), (j, b) in combinations(enumerate(names), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], range(len(names)))
+    of: dict = {}
+    for p in paras:
+        of.setdefault(classes[names.index(p[3])], []).append(p)
+    for members in of.values():
+        for (d, at), t, hi, _ in members if len(members) > 1 else ():
+            marks[t].append((at, hi, (d, at) != min(m[0] for m in members)))
+    for places in windows.values():
+        for (d, at), t in places if len(places) > 1 else ():
+            marks[t].append((at, at + min_words, (d, at) != min(p[0] for p in places)))
+    for t, found in marks.items():
+        kind = [0] * (len(t.split()) + 1)
+        for lo, hi, later in found:
+            kind[lo:hi] = [max(k, 2 if later else 1) for k in kind[lo:hi]]
+        runs = lambda k: [(m.start(), m.end()) for m in re.finditer(f"{k}+", "".join(map(str, kind)))]
+        for lo, hi in runs(2):
+            if hi - lo < min_words:
+                kind[lo:hi] = [1] * (hi - lo)
+        out += [(min(texts[t]), lo, hi - lo, k == 2) for k in (1, 2) for lo, hi in runs(k) if hi - lo >= min_words]
+    return [(None if d == last else d, *rest) for d, *rest in out]
+
+
+def test_passages_against_brute_force(spark, docs):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(70)]
+    rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id < 60").select("doc_id", "text").collect()]
+    rows += [(200 + k, " ".join([word() for _ in range(30)] + passage[k % 3 :] + [word() for _ in range(k)])) for k in range(8)]
+    rows += [(r[0] + 300, r[1]) for r in rows[:5]] + [(None, rows[7][1]), (None, rows[7][1]), (7, rows[7][1])]  # copies, of which some are one document
+    near = [word() for _ in range(90)]
+    rows += [(400 + k, "\n".join([" ".join(word() for _ in range(9)), " ".join(near[:k] + [word()] + near[k + 1 :])])) for k in range(30)]  # near copies, over HEAVY
+    rows += [(500, " ".join([*passage, *(word() for _ in range(30_000)), *passage]))]
+    for m in (20, 51):
+        got = [tuple(r) for r in passages.repeated_passages(frame(spark, rows, "doc_id long, text string").repartition(3), min_words=m).select("doc_id", "first_word", "n_words", "removed").collect()]
+        assert sorted(got, key=str) == sorted(slow_passages(rows, m), key=str)
