@@ -8,24 +8,28 @@ doesn't contain the window. A hit on it says where in the document the window
 would lie (positional bound), the document must have enough words before and
 after it (length bound), and what is left is verified word by word.
 
-The windows are split into blocks of a bounded size by a hash of the item. Each
-block is one broadcast; documents are read against one block after another, and
-their hits are merged. Usually there is one block and no merge or shuffle.
+Words are compared by their 64-bit hashes. The windows are split into blocks of a
+bounded size by a hash of the item. Each block is one broadcast, which a worker
+makes into flat arrays once; documents are read against one block after another,
+and their hits are merged. Usually there is one block and no merge or shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubara.llm.shared import map_batches, utf8
 
-WINDOW, SHINGLE, BLOCK_BYTES = 13, 3, 16 << 20
+WINDOW, SHINGLE, BLOCK_BYTES = 13, 3, 8 << 20
+#: Bits of the filter before the table of keys.
+_FILTER = 22
 _KEEP = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20) for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -37,79 +41,104 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
-def _rolled(ids: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each n consecutive ids; zero where one of them is no benchmark word."""
-    m = len(ids) - n + 1
-    out, known = np.zeros(m, np.uint64), np.ones(m, bool)
+def hashed(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+
+
+def _rolled(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n consecutive words."""
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
     for k in range(n):
-        part = ids[k : k + m]
-        known &= part > 0
-        out = (out ^ part.astype(np.uint64)) * _MIX
+        out = (out ^ h[k : k + len(out)]) * _MIX
         out ^= out >> np.uint64(29)
-    out[~known | (out == 0)] = known[~known | (out == 0)]
     return out
 
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys the different ones, and where each one's begin, with the end."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.append(first, len(keys))
+
+
 class Windows:
-    """The windows of some items, ready to be looked up."""
+    """The windows of some items as flat arrays, ready to be looked up."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
         self.items = [str(i) for i, _ in items]
         texts = [words(t) for _, t in items]
-        self.vocabulary = {w: n + 1 for n, w in enumerate(sorted({w for t in texts for w in t}))}
-        ids = [np.array([self.vocabulary[w] for w in t], np.int64) for t in texts]
-        parts = Counter(int(h) for t in ids for n in {min(SHINGLE, len(t), window)} if n for h in _rolled(t, n))
-        self.windows: list[np.ndarray] = []
-        self.owners: list[list[int]] = []
-        #: shingle length -> (sorted keys, where each key's entries begin, window of an entry, its shingle's place there)
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        seen: dict[bytes, int] = {}
-        entries: dict[int, list[tuple[int, int, int]]] = {}
-        for owner, t in enumerate(ids):
-            size, n = min(window, len(t)), min(SHINGLE, len(t), window)
-            if not size:
+        counts = np.array([len(t) for t in texts], np.int64)
+        self.flat = hashed([w for t in texts for w in t])
+        ends = np.cumsum(counts)
+        begins = ends - counts
+        #: (words of a window, of its shingles) -> keys, where their entries begin, and by entry: place of the shingle, begin of the window in flat, where its owners begin and end.
+        self.tables: list[tuple] = []
+        for size in np.unique(np.minimum(counts, window)).tolist():
+            n = min(SHINGLE, size)
+            if not n:
                 continue
-            hashed = _rolled(t, n)
-            for at in range(len(t) - size + 1):
-                key = t[at : at + size].tobytes()
-                if key not in seen:
-                    seen[key] = len(self.windows)
-                    self.windows.append(t[at : at + size])
-                    self.owners.append([])
-                    place = min(range(size - n + 1), key=lambda k: (parts[int(hashed[at + k])], k))  # the prefix: its rarest shingle
-                    entries.setdefault(n, []).append((int(hashed[at + place]), seen[key], place))
-                if owner not in self.owners[seen[key]][-1:]:
-                    self.owners[seen[key]].append(owner)
-        for n, found in entries.items():
-            found.sort()
-            keys = np.array([k for k, _, _ in found], np.uint64)
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            self.tables[n] = (keys[first], np.append(first, len(keys)), np.array([w for _, w, _ in found]), np.array([p for _, _, p in found]))
+            mine = np.flatnonzero(np.minimum(counts, window) == size)
+            each = counts[mine] - size + 1
+            starts = np.repeat(begins[mine] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+            owner = np.repeat(mine, each)
+            # Equal windows are one, with all their owners.
+            o = np.lexsort((owner, whole := _rolled(self.flat, size)[starts]))
+            whole, starts, owner = whole[o], starts[o], owner[o]
+            new = np.concatenate(([True], (whole[1:] != whole[:-1]) | (owner[1:] != owner[:-1])))
+            whole, starts, owner = whole[new], starts[new], owner[new]
+            different, at = _groups(whole)
+            first = starts[at[:-1]]
+            # The prefix: the window's shingle that is rarest among these windows' items.
+            shingles = _rolled(self.flat, n)
+            _, of, times = np.unique(shingles, return_inverse=True, return_counts=True)
+            place, least = np.zeros(len(first), np.int64), times[of[first]]
+            for k in range(1, size - n + 1):
+                now = times[of[first + k]]
+                place[now < least] = k
+                least = np.minimum(least, now)
+            keys = shingles[first + place]
+            o = np.argsort(keys, kind="stable")
+            keys, begin = _groups(keys[o])
+            filter_ = np.zeros(1 << _FILTER, bool)
+            filter_[keys >> np.uint64(64 - _FILTER)] = True
+            self.tables.append((size, n, filter_, keys, begin, place[o], first[o], at[:-1][o], at[1:][o], owner))
 
     def find(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
         """Merged ranges of words inside occurrences, and the items with occurring windows."""
-        get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in tokens), np.int64, len(tokens))
+        h = hashed(tokens)
         spans: list[tuple[int, int]] = []
         owners: set[int] = set()
-        for n, (keys, begin, window_of, place_of) in self.tables.items():
-            if len(ids) < n:
-                continue
-            hashed = _rolled(ids, n)
-            places = np.flatnonzero(hashed)
-            slot = np.searchsorted(keys, hashed[places])
+        rolled = {n: _rolled(h, n) for n in {t[1] for t in self.tables}}
+        for size, n, filter_, keys, begin, place, first, owners_from, owners_to, owner in self.tables:
+            at = np.flatnonzero(filter_[rolled[n] >> np.uint64(64 - _FILTER)])
+            slot = np.searchsorted(keys, rolled[n][at])
             slot[slot == len(keys)] = 0
-            good = keys[slot] == hashed[places]
-            for at, k in zip(places[good].tolist(), slot[good].tolist()):
-                for e in range(begin[k], begin[k + 1]):
-                    w = self.windows[window_of[e]]
-                    start = at - int(place_of[e])
-                    if start >= 0 and start + len(w) <= len(ids) and np.array_equal(ids[start : start + len(w)], w):
-                        spans.append((start, start + len(w)))
-                        owners.update(self.owners[window_of[e]])
+            good = keys[slot] == rolled[n][at]
+            at, slot = at[good], slot[good]
+            times = begin[slot + 1] - begin[slot]
+            entry = np.repeat(begin[slot] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            start = np.repeat(at, times) - place[entry]
+            inside = (start >= 0) & (start + size <= len(h))
+            entry, start = entry[inside], start[inside]
+            for k in range(size):
+                same = self.flat[first[entry] + k] == h[start + k]
+                entry, start = entry[same], start[same]
+            spans += [(a, a + size) for a in start.tolist()]
+            for e in set(entry.tolist()):
+                owners.update(owner[owners_from[e] : owners_to[e]].tolist())
         return merged(spans), sorted({self.items[o] for o in owners})
 
 
+_built: dict[tuple, Windows] = {}
+
+
+def _index(name: tuple, sent, window: int) -> Windows:
+    """The worker's index of a block: the last one is kept for its next tasks."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Windows(sent.value, window)
+    return _built[name]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -126,8 +155,9 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
     Null and wordless texts have no words and no hits; items without words have
     no windows; items with equal texts are all named; a null item id is left
     out. Rows stay as they are, repeated ids and null ones too: hits of several
-    blocks are merged by id and text. An empty benchmark gives no hits, an empty
-    table no rows.
+    blocks are merged by id and text. Texts are read whole, one at a time. Other
+    columns are not looked at, whatever their names. An empty benchmark gives no
+    hits, an empty table no rows.
     """
     spark = docs.sparkSession
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -138,13 +168,15 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
         thin = thin.withColumn("key", F.xxhash64("text"))
     schema = SCHEMA + (", key long" if blocks > 1 else "")
 
+    name = uuid.uuid4().hex
+
     def against(block: int) -> DataFrame:
         # One block holds block_bytes on average: what is sent has a bound whatever the benchmark's size.
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
         sent = spark.sparkContext.broadcast([(r[0], r[1].encode() if r[1] is not None else None) for r in part.toLocalIterator()])
 
         def make():
-            index = Windows(sent.value, window)
+            index = _index((name, block), sent, window)
 
             def each(b: pa.RecordBatch) -> dict:
                 tokens = [words(t) for t in utf8(b.column(1))]

@@ -26,14 +26,17 @@ from pyspark.sql import functions as F
 
 from cubara.llm.shared import map_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: What follows a tag's name, quoted values as a whole; possessive, so that a tag without an end is read once.
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: HTML's own white space.
 _SPACE = re.compile(r"[ \t\n\r\f\v  -     　\u0085 ]+")
 _MARKS = re.compile(r"[.,;:!?。，！？；]")
 # Fixed values of HTML.
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp"}
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
+_PART = {"ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 _BLOCK = set(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption address hr header footer nav aside form fieldset legend details summary dialog menu center hgroup search head select option optgroup button svg math object video audio canvas label".split()
@@ -41,26 +44,49 @@ _BLOCK = set(
 _OUT = {"nav", "footer", "aside", "form", "header", "dialog", "menu", "select", "button", "svg", "math", "object", "video", "audio", "canvas", "head", "fieldset", "search", "label"}
 _CLOSES_P = _BLOCK - {"html", "body", "head", "caption", "tbody", "thead", "tfoot", "tr", "td", "th", "option", "optgroup", "button", "label", "select", "svg", "math", "object", "video", "audio", "canvas"}
 _OUT_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alertdialog", "form", "toolbar", "alert"}
-#: Names in class or id that say what isn't article text; whole words of the name.
-_OUT_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebars?|side|rail|footer|foot|masthead|site-?header|page-?header|top-?bar|header|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|comment-?list|respond|disqus|replies|reply|pagination|pager|tags?|widgets?|toolbar|copyright|legal|paywall|teasers?|outbrain|taboola|skip|print|search)(?:$|[\s_-]|s?\d)",
-    re.I,
-)
-_LONE = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
+#: Names in class or id that say what isn't article text, whole words of the name: inside a marked article only the first ones do.
+_ADDED = r"ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|nav|navigation|menu|breadcrumbs?|sidebars?|cookies?|consent|gdpr|popup|newsletter|subscri\w*|signup|sharing|share|related|recommend\w*|comments?|comment-?list|disqus|replies|pagination|pager|paywall|teasers?|outbrain|taboola"
+_AROUND = r"nav\w*|menu\w*|banner|side|rail|footer|foot|masthead|site-?header|page-?header|top-?bar|header|notices?|modal|overlay|login|social|respond|reply|tags?|widgets?|toolbar|copyright|legal|skip|print|search"
+_OUT_IN_ARTICLE = re.compile(rf"(?:^|[\s_-])(?:{_ADDED})(?:$|[\s_-]|s?\d)", re.I)
+_OUT_NAME = re.compile(rf"(?:^|[\s_-])(?:{_ADDED}|{_AROUND})(?:$|[\s_-]|s?\d)", re.I)
+
 
+def _tokens(source: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text, "", "", "") or ("", "/" or "", tag in lower case, attributes), read once from left to right.
 
-def _tokens(source: str) -> Iterator[re.Match]:
-    """Matches of _TOKEN; what a raw element holds is no markup and is skipped, to the end of the page if it has no end tag."""
-    at = 0
+    A tag ends at the first > outside quotes, or, from the first tag on whose
+    quotes have no end, at the next >; one without any is the end of the page.
+    What a raw element holds is no markup and is skipped, to the end of the page
+    if it has no end tag.
+    """
+    at, quotes = 0, True
     while at < len(source):
-        for m in _TOKEN.finditer(source, at):
-            yield m
-            if m[2] and not m[1] and m[2].lower() in _RAW and not m[3].endswith("/"):
-                end = _RAW_END[m[2].lower()].search(source, m.end())
-                at = end.end() if end else len(source)
-                break
-        else:
+        lt = source.find("<", at)
+        if lt < 0:
+            yield source[at:], "", "", ""
             return
+        if lt > at:
+            yield source[at:lt], "", "", ""
+        m = _TAG.match(source, lt)
+        if not m:
+            mark = next((e for b, e in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")) if source.startswith(b, lt)), "")
+            if mark:
+                end = source.find(mark, lt + (4 if mark == "-->" else 2))
+                at = end + len(mark) if end >= 0 else len(source)
+            else:
+                yield "<", "", "", ""
+                at = lt + 1
+            continue
+        rest = _REST.match(source, m.end()) if quotes else None
+        quotes = rest is not None
+        at = rest.end() if rest else source.find(">", m.end()) + 1
+        if not at:
+            return
+        tag, attributes = m[2].lower(), source[m.end() : at - 1]
+        yield "", m[1], tag, attributes
+        if tag in _RAW and not m[1] and not attributes.endswith("/"):
+            end = _RAW_END[tag].search(source, at)
+            at = (source.find(">", end.end()) + 1 or len(source)) if end else len(source)
 
 
 class _Open:
@@ -104,15 +130,12 @@ def blocks(source: str) -> tuple[list[tuple[int, str, int, bool, int]], list[tup
                 out.append((stack.rows[-1][1], whole, linked, *stack.rows[-1][2:]))
         linked = 0
 
-    for m in _tokens(source):
-        if m[4] is not None:
-            text.append(m[4])
+    for plain, closing, tag, attributes in _tokens(source):
+        if plain:
+            text.append(plain)
             if links:
-                linked += len(m[4].strip())
-            continue
-        if m[2] is None:
+                linked += len(plain.strip())
             continue
-        tag, closing = m[2].lower(), bool(m[1])
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
@@ -149,20 +172,20 @@ def blocks(source: str) -> tuple[list[tuple[int, str, int, bool, int]], list[tup
             stack.close("option", {"select"})
         elif tag == "body":
             stack.close("head")
-        if tag == "hr" or m[3].endswith("/") and tag in _VOID:
+        if tag == "hr" or attributes.endswith("/") and tag in _VOID:
             continue
         above = stack.rows[-1]
         label, barred = tag, above[2] or tag in _OUT
         if tag == "header" and above[3] and not above[2]:
             barred = False  # an article's own header holds its title
-        if m[3]:
-            a = {k.lower(): (x or y or z or "") for k, x, y, z in _ATTRIBUTE.findall(m[3])}
+        if attributes:
+            a = {k.lower(): (x or y or z or "") for k, x, y, z in _ATTRIBUTE.findall(attributes)}
             name = f"{a.get('class', '')} {a.get('id', '')}".strip()
             if name:
                 label += "." + re.sub(r"\d+", "", name)
             body = tag in ("html", "body", "main", "article")
             barred |= "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in _OUT_ROLE or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I))
-            barred |= bool(name and not body and _OUT_NAME.search(name))
+            barred |= bool(name and not body and (_OUT_IN_ARTICLE if above[3] else _OUT_NAME).search(name))
             if tag == "article" and _COMMENT.search(name):
                 barred = True
             own = tag == "article" or a.get("role", "").lower() == "article"
@@ -215,15 +238,24 @@ def extract(source: str | None) -> str:
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     limit = min(max(fused) * 0.5, max(mean - 0.5 * spread, 0.1 * max(fused)))
-    # An article may have more links than other text.
-    plain = {p for p in paths if order[p][2] <= (0.5 + 0.1 * inside[p]) * order[p][0]}
+    # Links alone are a menu, but not inside the article.
+    plain = {p for p in paths if inside[p] >= 0.5 or order[p][2] <= 0.5 * order[p][0]}
     good = {p for p, x in zip(paths, fused) if x >= limit - 1e-9 and p in plain}
-    # Headings and captions beside content paths belong to it.
-    homes: set[int] = set()
+    # Headings anywhere above content paths belong to it, and lists, tables and quotes right beside it.
+    label = lambda p: tree[p][1].split(".")[0]
+    homes, direct = set(), {tree[p][0] for p in good}
     for p in good:
         while (p := tree[p][0]) not in homes:
             homes.add(p)
-    good |= {p for p in plain if p and tree[p][1].split(".")[0] in ("h1", "h2", "h3", "h4", "h5", "h6") and tree[p][0] in homes}
+
+    def beside(p: int) -> bool:
+        if label(p) not in _PART:
+            return False
+        while label(p := tree[p][0]) in _PART:
+            pass
+        return p in direct
+
+    good |= {p for p in plain if p and (label(p) in ("h1", "h2", "h3", "h4", "h5", "h6") and tree[p][0] in homes or beside(p))}
     if not good:  # nothing but links: what a page marks is all it has
         good = {b[0] for b in chosen if b[4]}
     return "\n".join(b[1] for b in chosen if b[0] in good)
@@ -236,7 +268,7 @@ def _smooth(values: list[float]) -> list[float]:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page; null html gives an empty text. Rows stay as they are; an empty table gives none."""
+    """page_id, url, text, n_chars of every page; null html gives an empty text. Rows stay as they are, repeated ones and null ids too; pages of any length are read whole, in time proportional to it. Other columns are not looked at, whatever their names. An empty table gives none."""
 
     def make():
         def each(b: pa.RecordBatch) -> dict:

@@ -192,6 +192,18 @@ def test_html_text_raw_and_deep():
     deep = "<div>" * 250 + f"<p>{text}</p><nav>Menu</nav><aside>Side, by side, it is.</aside>" + "</div>" * 250
     assert html_text.extract(f"<div><article>{deep}<p>{text}</p></article></div>") == f"{text}\n{text}"
     assert html_text.extract(f"<div>{deep}<p>{text}</p></div>") == f"{text}\n{text}"
+    # Nothing in the article goes for its links or for a word that is a notice only around it, and lists beside paragraphs stay.
+    inner = f"<p>{text}</p><p><a href=x>A whole linked paragraph.</a></p><div class='side notes'>Kept, too.</div><ul><li>one<li>two</ul>"
+    assert html_text.extract(f"<article>{inner}</article>") == f"{text}\nA whole linked paragraph.\nKept, too.\none\ntwo"
+    story = "".join(f"<p>{text} {text} {text}</p>" for _ in range(4))
+    assert html_text.extract(f"<div>{story}<ul><li>one<li>two</ul></div><ul><li><a href=x>Menu</a></ul>").endswith(f"{text}\none\ntwo")
+    # Malformed pages are read once.
+    import time
+
+    began = time.time()
+    for bad in ("<a " * 300_000, '<p title="' * 100_000, "<script>" + "</script " * 100_000, "<p title='" * 50_000 + ">x" * 50_000, "<" * 300_000, '<p a="b' * 100_000 + ">"):
+        html_text.extract(bad)
+    assert time.time() - began < 10
     wide = "<table><tr><td>" * 20000 + f"<p>{text}</p>" + "<p>x</i></b></li></td>" * 20000
     assert text in html_text.extract(wide)
 
@@ -215,14 +227,33 @@ def test_langid(spark, docs):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
     held = [r for r in got if r["held_out"]]
     assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.95 * len(held)
-    odd = [(1, None, "en", "s", 0), (2, "123 !?", "en", "s", 0), (3, "", None, "s", 0), (None, "the that of", "en", "s", 0), (5, "the of that", "en", "s", 1), (5, "the of that", "en", "s", 1)]
+    odd = [(1, None, "en", "s", 0), (2, "123 !?", "en", "s", 0), (3, "", None, "s", 0), (None, "the that of", "en", "s", 0), (4, "the of that", "en", "s", 1), (4, "the of that", "en", "s", 1)]
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.identify(frame(spark, odd, DOCS)).collect()}
-    assert got == {(1, "und"), (2, "und"), (3, "und"), (None, "en"), (5, "en")}
+    assert got == {(1, "und"), (2, "und"), (3, "und"), (None, "en"), (4, "en")}
     assert langid.identify(frame(spark, [], DOCS)).count() == 0
 
 
+def _whole_counts(text):
+    import numpy as np
+
+    return np.unique(langid.grams(langid._folded(text), 0, len(text)), return_counts=True)
+
+
+def test_langid_samples_each_label(spark):
+    """A rare label is learnt however small its share is, and more labels than fit at once."""
+    words = lambda k: " ".join(f"{chr(97 + k)}{chr(97 + (k * j) % 26)}{chr(98 + j % 9)}" for j in range(40))
+    rows = [(d, words(1), "big", "s", 1) for d in range(3000)] + [(d, words(k), f"l{k}", "s", 1) for k in range(2, 22) for d in range(5000 + 5 * k, 5005 + 5 * k)]
+    model = langid.train(frame(spark, rows, DOCS), sample=10)
+    assert len(model.languages) == 21
+    got = model.mixtures([words(k).encode() for k in range(2, 22)] * 40)
+    assert [g[0] for g in got] == [f"l{k}" for k in range(2, 22)] * 40
+
+
 def test_langid_mixture(spark, docs):
-    model = langid.train(docs)
+    model = langid.train(docs.unionByName(frame(spark, [(9, "12 34", "zz", "s", 5)], DOCS)))
+    assert "zz" not in model.languages
+    text = ("the tion ing " * 120_000).encode()  # over a slice: the n-grams are those of the whole
+    assert len(text) > langid.SLICE and all((a == b).all() for a, b in zip(langid.counts(text), _whole_counts(text)))
     part = {r["lang"]: r["text"] for r in docs.where("lang in ('en', 'de') and n_chars > 2000").collect()}
     half = lambda t: " ".join(t.split()[:150])
     (_, score, mix), = model.mixtures([(half(part["en"]) + " " + half(part["de"])).encode()])
@@ -434,7 +465,13 @@ def slow_sketch(text):
     signed = lambda *h: _xx(*h)
     if not text:
         return []
-    h = [_xx(w) for w in text.split(" ")]
+    import regex
+
+    units = [w for w in regex.split(r"[ \t\n\x0b\f\r\x85\p{Z}]+", text) if w]
+    if len(units) < 10:
+        units = list(" ".join(units))
+    units = [u for w in units for u in (w if len(w) > 32 else [w])]
+    h = [_xx(w) for w in units]
     g = [signed(a, b) for a, b in zip(h, h[1:])]
     out = {signed(g[i], g[i + 2], g[i + 3]) % (1 << 64) >> 32 for i in range(len(g) - 3) if min(g[i : i + 4]) in (g[i], g[i + 3])}
     return sorted(out)[:128] or [_xx(text) % (1 << 64) >> 32]
@@ -460,7 +497,7 @@ def slow_likeness(a, b):
 @pytest.mark.parametrize("rows_a_block", [3, 500])
 def test_syncmers(spark, docs, rows_a_block, monkeypatch):
     monkeypatch.setattr(syncmers.in_blocks, "__defaults__", (rows_a_block, 4096))
-    rows = [(r["doc_id"] * 3, r["text"]) for r in docs.where("doc_id < 60").select("doc_id", "text").collect()] + [(1000, None), (1001, ""), (1002, "a b"), (1003, "eins zwei drei vier fünf sechs"), (2000, "wörter " * 3000)]
+    rows = [(r["doc_id"] * 3, r["text"]) for r in docs.where("doc_id < 60").select("doc_id", "text").collect()] + [(1000, None), (1001, ""), (1002, "a b"), (1003, "eins zwei drei vier fünf sechs"), (2000, "wörter " * 3000), (2001, "\n".join(f"line{i}" for i in range(400))), (2002, "\n".join(f"line{i}" for i in range(401))), (2003, "语言识别" * 60 + " x"), (2004, "".join(chr(0x4E00 + i * 37 % 500) for i in range(300))), (2005, " \u00a0 ")]
     got = {r["doc_id"]: tuple(r)[1:] for r in syncmers.fingerprint_edits(frame(spark, rows, "doc_id long, text string").withColumn("block", F.lit(1)).withColumn("a", F.lit(1))).collect()}
     down = sorted(((d, t or "") for d, t in rows), reverse=True)
     for (d, t), (_, nxt) in zip(down, down[1:] + down[:1]):
@@ -468,10 +505,19 @@ def test_syncmers(spark, docs, rows_a_block, monkeypatch):
         edited = t[: len(t) - half] + nxt[:half]
         a, b, c = slow_sketch(t), slow_sketch(edited), slow_sketch(nxt)
         assert got[d] == (len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{x:08x}" for x in a), "".join(f"{x:08x}" for x in b), slow_likeness(a, b), slow_likeness(a, c))
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and got[2002][5] > 0.9 and got[2004][4] > 0.1
     assert syncmers.fingerprint_edits(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
+def test_blocks_are_ranges(spark):
+    """Three levels of ends: every id falls between its block's ends."""
+    rows = [(k * 7 % 9001, "x") for k in range(9001)] + [(None, "y")]
+    table = frame(spark, rows, "doc_id long, text string")
+    got = [tuple(r) for r in syncmers.in_blocks(table, 2).select("doc_id", "block", "extra").collect()]
+    own = sorted((b, d) for d, b, extra in got if not extra and d is not None)
+    assert len(own) == 9001 and [d for _, d in own] == sorted(d for _, d in own) and own[-1][0] > 4200
+
+
 def test_syncmers_edges(spark):
     lone = syncmers.fingerprint_edits(frame(spark, [(5, "one two three four five six")], "doc_id long, text string")).first()
     assert lone["near_next"] == 1.0
