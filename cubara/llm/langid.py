@@ -16,7 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubara.llm.shared import map_batches, utf8
@@ -198,9 +198,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, lang_pred string, score double, langs map<string,double>", rows=64)
 
 
+def held_out() -> Column:
+    """Whether a document isn't learnt from: crc32(doc_id as text) mod 4 is 2, or the id is null."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
+
+
+def learnt(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """The model of the documents that aren't held out."""
+    return train(docs.where(~held_out()), sample)
+
+
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: learnt from documents whose crc32(doc_id as text) mod 4 is not 2 (a null id counts as held out), predicted for all."""
+    """doc_id, held_out, lang_pred, score, langs: learnt from the documents that aren't held out, predicted for all. See predict for nulls and edges."""
     # Where a row falls depends on its id; what is predicted for it only on its text.
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
-    model = train(docs.where(~held), sample)
-    return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "langs")
+    return predict(docs, learnt(docs, sample)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "langs")

@@ -155,7 +155,7 @@ def sieved(table: DataFrame, wanted: DataFrame, *on: str) -> DataFrame:
 
 
 def joined(table: DataFrame, wanted: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """An inner, left or left_semi join of a large table with a written one; the large one's rows without an equal aren't shuffled."""
+    """An inner, left, left_semi or left_anti join of a large table with a written one; the large one's rows without an equal aren't shuffled."""
     rows = sieved(table, wanted, *on)
     out = rows.where("maybe").drop("maybe").join(wanted, on, how)
-    return out.unionByName(rows.where("not maybe").drop("maybe"), allowMissingColumns=True) if how == "left" else out
+    return out.unionByName(rows.where("not maybe").drop("maybe"), allowMissingColumns=True) if how in ("left", "left_anti") else out

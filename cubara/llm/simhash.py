@@ -83,16 +83,16 @@ def coordinates(table: str, band: int) -> list[Column]:
     return [F.shiftright(d[0].cast("int") + F.lit(p.bit_count()) - d[at + i].cast("int"), 1) for i, p in enumerate(pivots()[band])]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): each row's fingerprint as a signed long. Rows with a null id stay."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, rank: str | None = None) -> DataFrame:
+    """(id, rank, fp): each row's fingerprint as a signed long; rank is another column of longs, or the id. Rows with a null id stay."""
 
     def make():
         def each(b: pa.RecordBatch) -> dict:
-            return {id_col: b.column(0), "fp": pa.array([fingerprint(t, shingle) for t in utf8(b.column(1))], pa.uint64()).view(pa.int64())}
+            return {id_col: b.column(0), "rank": b.column(1), "fp": pa.array([fingerprint(t, shingle) for t in utf8(b.column(2))], pa.uint64()).view(pa.int64())}
 
         return each
 
-    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col)), make, f"{id_col} long, fp long")
+    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(rank or id_col).cast("long").alias("rank"), F.col(text_col)), make, f"{id_col} long, rank long, fp long")
 
 
 def links(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
@@ -125,12 +125,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable over links of at most RADIUS
     differing bits. Null, empty and wordless texts have fingerprint zero and
     link like any other; a null id has no component of its own but takes that
-    of its fingerprint, if any. Repeated rows stay. An empty table gives none.
+    of its fingerprint, if any. Repeated rows stay. Texts of any length are read
+    whole. Other columns are not looked at, whatever their names. An empty table
+    gives no rows.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle))
-    first = written(prints.groupBy("fp").agg(F.min(id_col).alias("first")))
+    of = _groups(prints, heavy)
+    lowest = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    member = of.join(lowest, "root").select("fp", "component_id")
+    return prints.join(member, "fp").select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _groups(prints: DataFrame, heavy: int) -> DataFrame:
+    """(fp, root, first): the group of every fingerprint and its smallest rank."""
+    first = written(prints.groupBy("fp").agg(F.min("rank").alias("first")))
     groups = connected(links(first.select("fp"), heavy)).withColumnsRenamed({"node": "fp", "component": "root"})
-    member = first.join(groups, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    lowest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = member.join(lowest, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return written(first.join(groups, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"))
+
+
+def repeats(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, heavy: int = HEAVY) -> DataFrame:
+    """key (a column of longs that tells rows apart) of every row but one of each group of near-duplicates, each once.
+
+    The row with the smallest id stays, of several with it the one with the
+    smallest key; null ids come last. A key that occurs more than once is one row.
+    """
+    prints = written(fingerprints(docs, key, text_col, shingle, id_col))
+    member = prints.join(_groups(prints, heavy).select("fp", "root"), "fp").select("root", key, F.coalesce("rank", F.lit((1 << 63) - 1)).alias("rank"))
+    stays = member.groupBy("root").agg(F.min(F.struct("rank", key)).alias("stays"))
+    return member.join(stays, "root").where(F.col(key) != F.col(f"stays.{key}")).select(key).distinct()

@@ -710,3 +710,58 @@ def test_passages_against_brute_force(spark, docs):
     for m in (20, 51):
         got = [tuple(r) for r in passages.repeated_passages(frame(spark, rows, "doc_id long, text string").repartition(3), min_words=m).select("doc_id", "first_word", "n_words", "removed").collect()]
         assert sorted(got, key=str) == sorted(slow_passages(rows, m), key=str)
+
+
+# -- the pipeline
+
+
+def test_pipeline_against_brute_force(spark, docs, tmp_path):
+    """Every stage on what the one before kept, row by row: nulls, repeated ids and rows, empty texts, clashing columns."""
+    import corpus_pipeline as pipeline
+
+    have = [tuple(r) for r in docs.where("doc_id < 40").collect()]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").first()["text"]
+    text = "\n".join(f"line {k} of a text that is told once and for all in english words" for k in range(4))
+    extra = [(500, None), (501, ""), (502, "1234 !?"), (503, text), (503, text), (504, text + " again"), (505, text), (None, "another text that is said in english, the end of it"), (506, item), (507, have[3][1].replace("a", "a", 1) + " x"), (508, item + " " + item)]
+    rows = have + [(d, t, "en", "s", 1) for d, t in extra]
+    table = frame(spark, rows, DOCS).withColumn("key", F.lit("x")).withColumn("maybe", F.lit(1))
+    sets = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    model = langid.learnt(table)
+    kept = [r for r in rows if (m := model.mixtures([None if r[1] is None else r[1].encode()])[0])[0] != "und" and m[1] >= pipeline.LEAST_SHARE]
+    one = pipeline.language(spark, table, SF)
+    assert sets(one) == sorted(((r[0], r[1]) for r in kept), key=str)
+    assert one.columns == docs.columns
+
+    two = pipeline.line_dedup(spark, one, SF)
+    assert sets(two) == slow_lines([(r[0], r[1]) for r in kept])
+    assert all(r["n_chars"] == len(r["text"]) for r in two.collect())
+
+    left = [(r["doc_id"], r["text"]) for r in two.collect()]
+    prints = [slow_print(t) for _, t in left]
+    classes = groups([(i, j) for (i, a), (j, b) in combinations(enumerate(prints), 2) if (a ^ b).bit_count() <= 2], range(len(left)))
+    first: dict = {}
+    for i, (d, _) in enumerate(left):
+        first[classes[i]] = min(first.get(classes[i], 1 << 63), (1 << 63) - 1 if d is None else d)
+    three = pipeline.near_dedup(spark, two, SF)
+    got = [(r["doc_id"], r["text"]) for r in three.collect()]
+    assert sorted((1 << 63) - 1 if d is None else d for d, _ in got) == sorted(first.values())
+    assert set(got) <= set(left)
+
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bad = {(d, t) for d, t in got if slow_contamination([(d, t)], items)[0][5]}
+    four = pipeline.decontamination(spark, three, SF)
+    assert bad and sets(four) == sorted(set(got) - bad, key=str)
+
+    left = [(r["doc_id"], r["text"]) for r in four.collect()]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = pipeline.pack(spark, four, SF).collect()
+    assert sorted((str(r["doc_id"]), r["doc_tokens"]) for r in packed if r["start"] == 0) == sorted((str(d), len(tokenizer.encode(t, add_special_tokens=False).ids) + 1) for d, t in left)
+
+    for name in ("documents", "benchmark"):
+        (table if name == "documents" else spark.read.parquet(f"{SF}/benchmark.parquet")).write.parquet(str(tmp_path / f"{name}.parquet"))
+    whole = pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32").collect()
+    assert sorted(map(tuple, whole), key=str) == sorted(((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed), key=str)
+    empty = frame(spark, [], DOCS)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
