@@ -199,8 +199,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, id_
         packer = Packer(TaskContext.get().partitionId() << 32, sentence_ends(known), length)
         send = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=arrow)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some, out = batch.slice(at, 1024), []
+            for at in range(0, batch.num_rows, 512):
+                some, out = batch.slice(at, 512), []
                 for d, ids in zip(some.column(0).to_pylist(), known.encode_all(some.column(1))):
                     out += packer.add(d, ids + end)
                 if out:

@@ -86,6 +86,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
             for at in range(0, batch.num_rows, rows):
                 columns = each(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()  # a worker idles between tasks with what it holds
 
     return df.mapInArrow(run, schema)
 

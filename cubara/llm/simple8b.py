@@ -190,8 +190,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
         known, held, size = encoder(tokenizer), [], 0
         name = lambda d: pa.RecordBatch.from_pydict({"value": [d]}, schema=pa.schema([("value", pa.binary())]))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
                 for d, ids in zip(some.column(0).to_pylist(), known.encode_all(some.column(1))):
                     held.append((d, ids + end))
                     size += len(held[-1][1]) // 4

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts that a worker remembers, about 200 bytes each.
-PARTS_KEPT = 450_000
+PARTS_KEPT = 300_000
 #: Longer ones aren't kept.
 _LONG = 48
 _LETTER, _SPACE = "a-zA-ZÀ-ÖØ-öø-įı-ɏ", " \t-\r"
