@@ -215,9 +215,5 @@ def letter(k: int) -> str:
     return chr(97 + k) if k < 26 else f"l{k + 1}"
 
 
-#: Names of eastward and northward wind components that belong together.
-WIND_PAIRS = [("u10", "v10"), ("u", "v"), ("u100", "v100"), ("10u", "10v"), ("uas", "vas"), ("ua", "va"), ("uo", "vo"), ("u_component", "v_component"), ("eastward_wind", "northward_wind"), ("uwnd", "vwnd"), ("water_u", "water_v"), ("ugrd", "vgrd")]
-
-
 def wind_speed(u: str, v: str) -> str:
     return f"sqrt(({u})^2 + ({v})^2)"

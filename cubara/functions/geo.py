@@ -121,6 +121,11 @@ def sphere_area(pts: Column) -> Column:
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) * (EARTH_RADIUS * EARTH_RADIUS / 2)
 
 
+def polygon_area(pts: Column, geographic: bool, meters: float | None = 1.0) -> Column:
+    """Area of a polygon: on the sphere for degrees, else in the plane, in square meters if a unit has `meters`, in square units if that is None."""
+    return sphere_area(pts) if geographic else plane_area(pts) * F.lit(1.0 if meters is None else meters * meters)
+
+
 def segment_distance(x: Column, y: Column, a: Point, b: Point) -> Column:
     """Distance of a point from the segment a b."""
     dx, dy = b[0] - a[0], b[1] - a[1]

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_STAMP = r"^\s*(\d{4})-?(\d{1,2})-?(\d{1,2})(?:[T ]?\s*(\d{1,2})(?::?(\d{1,2}))?(?::?(\d{1,2}(?:\.\d*)?))?)?"
+#: A date with dashes or of eight digits, then a time with colons or of six digits; a UTC offset is passed over.
+_HOUR, _SIXTY = r"([01]?\d|2[0-4])", r"([0-5]?\d)"
+_STAMP = rf"^\s*(?:(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})|(\d{{4}})(\d\d)(\d\d))(?:[T ]\s*(?:{_HOUR}:{_SIXTY}(?::([0-5]?\d(?:\.\d*)?|60))?|([01]\d|2[0-4])([0-5]\d)([0-5]\d(?:\.\d*)?)|\d{{0,5}}))?\s*(?:Z|[+-]\d\d:?\d*)?\s*$"
 _SECONDS = {"nanosecond": 1e-9, "microsecond": 1e-6, "millisecond": 1e-3, "second": 1.0, "minute": 60.0, "hour": 3600.0, "day": 86400.0}
 _SHORT = {"ns": 1e-9, "us": 1e-6, "ms": 1e-3, "s": 1.0, "sec": 1.0, "secs": 1.0, "min": 60.0, "mins": 60.0, "h": 3600.0, "hr": 3600.0, "hrs": 3600.0, "d": 86400.0}
 UNITS = {**_SHORT, **_SECONDS, **{f"{k}s": v for k, v in _SECONDS.items()}}
@@ -21,9 +23,10 @@ def days(year: Column, month: Column, day: Column) -> Column:
 def parse(text: Column) -> Column:
     """Seconds of an ISO, compact or date-only text; one-digit months and days are allowed, UTC offsets ignored; others are NULL."""
     part = lambda k: F.nullif(F.regexp_extract(text, _STAMP, k), F.lit(""))
-    number = lambda k: F.coalesce(part(k).try_cast("double"), F.lit(0.0))
-    date = days(part(1), part(2), part(3)).cast("double")
-    return F.when(date.isNotNull(), date * 86400 + number(4) * 3600 + number(5) * 60 + number(6))
+    either = lambda k, other: F.coalesce(part(k), part(other))
+    number = lambda k: F.coalesce(either(k, k + 3).try_cast("double"), F.lit(0.0))
+    date = days(either(1, 4), either(2, 5), either(3, 6)).cast("double")
+    return F.when(date.isNotNull(), date * 86400 + number(7) * 3600 + number(8) * 60 + number(9))
 
 
 def cf_units(units: str) -> tuple[float, float] | None:
@@ -39,10 +42,10 @@ def parse_text(text: str) -> float | None:
 
     m = re.match(_STAMP, text)
     try:
-        date = datetime.date(int(m[1]), int(m[2]), int(m[3]))
+        date = datetime.date(int(m[1] or m[4]), int(m[2] or m[5]), int(m[3] or m[6]))
     except (TypeError, ValueError):
         return None
-    return (date.toordinal() - 719163) * 86400.0 + float(m[4] or 0) * 3600 + float(m[5] or 0) * 60 + float(m[6] or 0)
+    return (date.toordinal() - 719163) * 86400.0 + float(m[7] or m[10] or 0) * 3600 + float(m[8] or m[11] or 0) * 60 + float(m[9] or m[12] or 0)
 
 
 def cf_decode(value: Column, units: str) -> Column:
@@ -82,3 +85,8 @@ def in_name(name: Column) -> Column:
 def tick(seconds: Column, span: float) -> Column:
     """An axis label: the day, or the minute if the axis spans less than three days."""
     return F.substring(text(seconds), 1, 10 if span >= 3 * 86400 else 16)
+
+
+def between_steps(before: Column, after: Column, part: Column) -> Column:
+    """The time of a frame between two steps; that of the first where the second is unknown."""
+    return F.coalesce(before + (after - before) * part, before)

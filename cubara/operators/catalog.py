@@ -119,8 +119,32 @@ def group_tree(variables: DataFrame, path: str = "path") -> DataFrame:
 
 
 def attribute_pairs(json: Column) -> Column:
-    """A flat JSON object as ordered (k, v) pairs of text."""
-    return F.transform(F.json_object_keys(json), lambda k: F.struct(k.alias("k"), F.get_json_object(json, "$").alias("v")))
+    """A JSON object as ordered (k, v) pairs of text; nested values as JSON. NULL if it is none."""
+    return F.transform(F.map_entries(F.from_json(json, "map<string,string>")), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+
+
+def xml_texts(xml: Column, path: str) -> Column:
+    """The texts of the elements or attributes at an XPath, in document order: names without their prefixes' meaning."""
+    plain = F.regexp_replace(F.regexp_replace(xml, r"\sxmlns(:\w+)?\s*=\s*(\"[^\"]*\"|'[^']*')", ""), r"(</?)\w+:", "$1")
+    return F.transform(F.xpath(plain, F.lit(path if "/@" in path else path.rstrip("/") + "/text()")), lambda x: F.trim(x))
+
+
+def number_text(v: Column) -> Column:
+    """Up to four decimals without trailing zeros; below a thousandth and from a million on with an exponent."""
+    a = F.abs(v)
+    fixed = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", v), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    exponent = F.regexp_replace(F.format_string("%.3e", v), r"e\+?(-?)0*(\d)", "e$1$2")
+    return F.when(v.isNull() | F.isnan(v) | (a == float("inf")), F.lit("no data")).when((a != 0) & ((a < 1e-3) | (a >= 1e6)), exponent).otherwise(fixed)
+
+
+def rounded_text(v: float, error: float) -> str:
+    """A value with the decimals (six at most) that its error permits, without trailing zeros."""
+    import math
+
+    if not math.isfinite(v) or not error > 0:
+        return "no data" if not math.isfinite(v) else f"{v:.4f}".rstrip("0").rstrip(".")
+    text = f"{v:.{min(6, max(0, math.ceil(-math.log10(error))))}f}"
+    return text.rstrip("0").rstrip(".") if "." in text else text
 
 
 def time_bounds(fields: DataFrame, by: Sequence[str], t: str = "t") -> DataFrame:
@@ -128,13 +152,18 @@ def time_bounds(fields: DataFrame, by: Sequence[str], t: str = "t") -> DataFrame
     return fields.groupBy(*by).agg(F.min(t).alias("valid_from"), F.max(t).alias("valid_to"))
 
 
+def _half_up(v: Column) -> Column:
+    return F.signum(v) * F.floor(F.abs(v) + 0.5)
+
+
 def length_text(meters: Column) -> Column:
-    """Meters with a unit that suits them."""
-    return F.when(meters < 1000, F.concat(F.format_string("%.1f", meters), F.lit(" m"))).otherwise(F.concat(F.format_string("%.3f", meters / 1000), F.lit(" km")))
+    """Meters with one decimal, from 10 km on kilometers with two."""
+    return F.when(meters >= 10_000, F.concat(number_text(_half_up(meters / 10) / 100), F.lit(" km"))).otherwise(F.concat(number_text(_half_up(meters * 10) / 10), F.lit(" m")))
 
 
 def area_text(square_meters: Column) -> Column:
-    return F.when(square_meters < 1e4, F.concat(F.format_string("%.1f", square_meters), F.lit(" m²"))).when(square_meters < 1e6, F.concat(F.format_string("%.2f", square_meters / 1e4), F.lit(" ha"))).otherwise(F.concat(F.format_string("%.2f", square_meters / 1e6), F.lit(" km²")))
+    """Whole square meters, from a square kilometer on square kilometers with two decimals."""
+    return F.when(square_meters >= 1e6, F.concat(number_text(_half_up(square_meters / 1e4) / 100), F.lit(" km²"))).otherwise(F.concat(number_text(_half_up(square_meters)), F.lit(" m²")))
 
 
 def round_length(x: float) -> float:
@@ -145,15 +174,26 @@ def round_length(x: float) -> float:
     return max(m * base for m in (1, 2, 5) if m * base <= x * (1 + 1e-12))
 
 
-def ticks(lo: float, hi: float, about: int = 6) -> list[float]:
-    """Round places of an axis."""
+def ticks(lo: float, hi: float, about: int = 6) -> tuple[list[float], float]:
+    """Round places of an axis and their step: of the round steps the one that gives the number of intervals nearest to `about`, the finer of two."""
     import math
 
-    if not hi > lo:
-        return [lo]
-    step = round_length((hi - lo) / about * 2) if about else hi - lo
-    first = math.ceil(lo / step - 1e-9)
-    return [k * step for k in range(first, math.floor(hi / step + 1e-9) + 1)]
+    lo, hi = min(lo, hi), max(lo, hi)
+    span = hi - lo
+    if not 0 < span < math.inf:
+        return [lo], 1.0
+    unit = 10.0 ** math.floor(math.log10(span / about))
+    # The round steps, in units of a power of ten.
+    step = min((m * unit for m in (1, 2, 2.5, 5, 10, 20)), key=lambda s: abs(span / s - about))
+    places = range(math.ceil(lo / step), math.floor(hi / step + 1e-9) + 1)
+    return [k * step for k in places], step
+
+
+def tick_text(v: float, step: float) -> str:
+    """A value of an axis with as many decimals, six at most, as its step has."""
+    digits = next((d for d in range(7) if abs(round(step * 10**d) - step * 10**d) < 1e-6 * step * 10**d), 6)
+    text = f"{v:.{digits}f}"
+    return text if text.strip("-0.") else "0"
 
 
 def log_ticks(lo: float, hi: float) -> list[float]:
@@ -168,3 +208,68 @@ def describe(variables: DataFrame) -> DataFrame:
     """name, shape text, storage text of variables(name, dims, shape, chunk, dtype, codec)."""
     shape = F.array_join(F.zip_with("dims", "shape", lambda d, n: F.concat(d, F.lit(" "), n.cast("string"))), " × ")
     return variables.select("name", shape.alias("shape_text"), F.concat_ws(", ", F.concat(F.lit("chunks "), F.array_join(F.transform("chunk", lambda c: c.cast("string")), "×")), "dtype", "codec").alias("storage"))
+
+
+def product_list(text: DataFrame, folder: str, line: str = "value") -> DataFrame:
+    """(path): the lines of a list of products (one a row), without empty ones and those after #; relative paths lie in `folder`."""
+    path = F.trim(F.col(line))
+    absolute = path.rlike(r"^(/|[A-Za-z][A-Za-z0-9+.-]*://)")
+    return text.where((path != "") & ~path.startswith("#")).select(F.when(absolute, path).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), path)).alias("path"))
+
+
+def address(url: str) -> tuple[str, str, str]:
+    """(path, kind, text) of path#name (variable), path#wind and path#=expression; kind is empty without a #."""
+    path, mark, rest = url.partition("#")
+    if not mark:
+        return path, "", ""
+    return (path, "expression", rest[1:]) if rest.startswith("=") else (path, "wind" if rest == "wind" else "variable", "" if rest == "wind" else rest)
+
+
+def dated_urls(spark, first: str, last: str, pattern: str) -> DataFrame:
+    """(day, url): one URL a day from first to last, by a pattern of Spark's date_format with the rest of the URL in quotes."""
+    days = spark.sql(f"select explode(sequence(date'{first}', date'{last}', interval 1 day)) as day")
+    return days.select("day", F.date_format("day", pattern).alias("url"))
+
+
+def pages_of(fetch, url: str, most: int = 1000):
+    """All items of a paged search: fetch(url) gives (items, next url or None). Ends at a page without a next one or one seen before."""
+    seen: set[str] = set()
+    while url and url not in seen and len(seen) < most:
+        seen.add(url)
+        items, url = fetch(url)
+        yield from items
+
+
+def asked(dims: Sequence[tuple[str, int]], axes: Sequence[str], time: str | None = None) -> bool:
+    """Whether a variable leaves a question open: a dimension of several values that is neither an axis of the image nor time."""
+    return any(n > 1 and d not in axes and d != time for d, n in dims)
+
+
+def step_index(index: int, by: int, size: int) -> int:
+    """The next or previous index, held inside."""
+    return max(0, min(size - 1, index + by))
+
+
+def axis_values(size: int, times: Sequence[float] | None = None, coordinates: Sequence[float] | None = None, start: float | None = None, step: float | None = None) -> list[float]:
+    """Values along an axis: its times, else its coordinates, else the centres by start and step, else the indices; a list that doesn't fit the size is passed over."""
+    for values in (times, coordinates):
+        if values is not None and len(values) == size:
+            return list(map(float, values))
+    return [start + (k + 0.5) * step for k in range(size)] if start is not None and step else [float(k) for k in range(size)]
+
+
+def index_text(index: int, name: str, values: Sequence | None = None, units: str = "") -> str:
+    """An index with its coordinate, if there is one: `level 3 (500 hPa)`."""
+    if values is None or not 0 <= index < len(values):
+        return f"{name} {index}"
+    v = values[index]
+    text = f"{v:g}" if isinstance(v, float) else str(v)
+    return f"{name} {index} ({text} {units})" if units else f"{name} {index} ({text})"
+
+
+def points_of(text: Column) -> Column:
+    """The points (x, y) of a text with one a line, two numbers apart by white space, comma or semicolon; other lines are left out."""
+    number = r"([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
+    line = rf"^\s*{number}\s*[\s,;]\s*{number}\s*$"
+    points = F.transform(F.split(text, r"\r?\n"), lambda s: F.when(s.rlike(line), F.struct(F.regexp_extract(s, line, 1).cast("double").alias("x"), F.regexp_extract(s, line, 2).cast("double").alias("y"))))
+    return F.filter(points, lambda p: p.isNotNull())

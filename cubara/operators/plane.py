@@ -8,6 +8,7 @@ the scan and combines aggregates before a shuffle.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
@@ -53,8 +54,9 @@ class Grid:
 def axes_proposal(dims: Sequence[str]) -> tuple[str, str]:
     """The row and column dimensions by their names (a leading dim_ is ignored), else the last two."""
     plain = [d.lower().removeprefix("dim_") for d in dims]
-    rows = ("y", "lat", "latitude", "row", "rows", "line", "lines", "nrows", "north", "northing", "alt")
-    cols = ("x", "lon", "longitude", "col", "cols", "column", "columns", "pixel", "pixels", "sample", "east", "easting", "act")
+    # The known names of rows and of columns.
+    rows = ("lat", "latitude", "y", "row", "rows", "line", "lines", "scanline", "along_track", "alt", "nrows")
+    cols = ("lon", "longitude", "x", "col", "cols", "column", "columns", "pixel", "pixels", "ground_pixel", "across_track", "act", "ncols")
     y = next((k for k, d in enumerate(plain) if d in rows), None)
     x = next((k for k, d in enumerate(plain) if d in cols), None)
     if y is None or x is None:
@@ -70,6 +72,8 @@ class Plane:
     grid: Grid = field(default_factory=Grid)
     units: str = ""
     name: str = ""
+    #: (DataFrame of several planes, this one's column there, df as it was taken from it): see planes().
+    origin: tuple | None = None
 
     # -- reading
 
@@ -186,6 +190,11 @@ def aggregate(cube: DataFrame, along: str, how: str, first: int | None = None, l
     return cube.groupBy(*by).agg(AGGREGATES[how](F.col(v)).alias(v))
 
 
+def aggregate_units(how: str, units: str) -> str:
+    """The units of an aggregate: a count has none."""
+    return "" if how == "count" else units
+
+
 def profile(cube: DataFrame, along: str, at: Mapping[str, int]) -> DataFrame:
     """(along, v) at one index of each other dimension, in order."""
     if along in ("y", "x"):
@@ -199,29 +208,100 @@ def profile(cube: DataFrame, along: str, at: Mapping[str, int]) -> DataFrame:
 # -- layers
 
 
+def planes(stack: DataFrame, bands: Sequence[str], grid: Grid = Grid(), units: str = "") -> list[Plane]:
+    """Planes of the columns `bands` of one DataFrame (y, x, bands, and has_<band> where a pixel may be missing from one): together they are read once."""
+    has = lambda b: F.col(f"has_{b}") if f"has_{b}" in stack.columns else F.lit(True)
+    out = []
+    for b in bands:
+        df = stack.where(has(b)).select("y", "x", F.col(b).alias("v"))
+        out.append(Plane(df, grid, units, b, (stack, b, df)))
+    return out
+
+
+def side_by_side(layers: Sequence[Plane], how: str = "inner") -> DataFrame:
+    """(y, x, v0, v1, ...): the pixels of several planes of one grid; planes of one DataFrame are read once."""
+    if not layers:
+        raise ValueError("no layer")
+    if not all(p.grid.same(layers[0].grid) for p in layers):
+        raise GridError("the layers have different grids")
+    of = [p.origin if p.origin and p.origin[2] is p.df else (None, "", None) for p in layers]
+    if of[0][0] is not None and all(o[0] is of[0][0] for o in of):
+        stack, bands = of[0][0], [o[1] for o in of]
+        marks = [F.col(f"has_{b}") if f"has_{b}" in stack.columns else F.lit(True) for b in bands]
+        keep = functools.reduce(lambda x, y: x & y if how == "inner" else x | y, marks)
+        return stack.where(keep).select("y", "x", *(F.col(b).alias(f"v{k}") for k, b in enumerate(bands)))
+    held: dict[int, int] = {}
+    out: DataFrame | None = None
+    for k, p in enumerate(layers):
+        if (first := held.setdefault(id(p.df), k)) != k:
+            out = out.withColumn(f"v{k}", F.col(f"v{first}"))
+            continue
+        one = p.df.select("y", "x", F.col("v").alias(f"v{k}"))
+        out = one if out is None else out.join(one, ["y", "x"], how)
+    return out
+
+
 def layer_math(text: str, layers: Mapping[str, Plane], strict: bool = False, units: str | None = None) -> Plane:
     """An expression over the same pixels of several planes; all must have one grid. Layers of one DataFrame are read once."""
-    grids = [p.grid for p in layers.values()]
-    if not grids:
+    if not layers:
         raise ValueError("no layer")
-    if not all(g.same(grids[0]) for g in grids):
+    grid = next(iter(layers.values())).grid
+    if not all(p.grid.same(grid) for p in layers.values()):
         raise GridError("the layers have different grids")
     used = expression.parse(text, list(layers)).names() or list(layers)[:1]
-    joined: DataFrame | None = None
-    held: dict[int, str] = {}
-    columns: dict[str, Column] = {}
-    for n in used:
-        p = layers[n]
-        if id(p.df) in held:
-            columns[n] = F.col(held[id(p.df)])
-            continue
-        name = f"v_{n}"
-        held[id(p.df)], columns[n] = name, F.col(name)
-        one = p.df.select("y", "x", F.col("v").alias(name))
-        joined = one if joined is None else joined.join(one, ["y", "x"])
-    value = expression.compile_expression(text, columns, strict)
+    joined = side_by_side([layers[n] for n in used])
+    value = expression.compile_expression(text, {n: F.col(f"v{k}") for k, n in enumerate(used)}, strict)
     of = {layers[n].units for n in used}
-    return Plane(joined.select("y", "x", value.alias("v")), grids[0], units if units is not None else (of.pop() if len(of) == 1 else ""), text)
+    return Plane(joined.select("y", "x", value.alias("v")), grid, units if units is not None else (of.pop() if len(of) == 1 else ""), text)
+
+
+def mask_where(plane: Plane, mask: DataFrame, inside: bool = True) -> Plane:
+    """The plane's pixels that are (or aren't) among the pixels (y, x) of mask: a semi or anti join."""
+    return replace(plane, df=plane.df.join(mask.select("y", "x").distinct(), ["y", "x"], "left_semi" if inside else "left_anti"))
+
+
+def blend(a: Plane, b: Plane, share: float) -> DataFrame:
+    """share of b over the rest of a; a pixel known in one only shows that one. Flickering is share 0 and 1 in turn."""
+    return stack_over([(a, 1.0), (b, share)])
+
+
+def box_mean(df: DataFrame, radius: int, known: int = 1) -> DataFrame:
+    """(y, x, v): unknown pixels filled by the mean of the known ones in the box of 2 radius + 1 pixels around, if at least `known` are; others as they are.
+
+    Sums run over columns, then over rows, as range windows of whole lines.
+    """
+    value = F.col("v").cast("double")
+    row = Window.partitionBy("y").orderBy("x").rangeBetween(-radius, radius)
+    column = Window.partitionBy("x").orderBy("y").rangeBetween(-radius, radius)
+    across = df.select("y", "x", "v", F.sum(value).over(row).alias("s"), F.count("v").over(row).alias("n"))
+    both = across.select("y", "x", "v", F.sum("s").over(column).alias("s"), F.sum("n").over(column).alias("n"))
+    return both.select("y", "x", F.coalesce(value, F.when(F.col("n") >= known, F.col("s") / F.col("n"))).alias("v"))
+
+
+def value_sample(df: DataFrame, width: int, height: int, most: int = 65_536) -> DataFrame:
+    """About `most` pixels at places that depend on the grid's size only: every k-th of the pixels in row order."""
+    k = max(1, -(-width * height // most))
+    return df.where((F.col("y") * F.lit(width) + F.col("x")) % k == 0)
+
+
+def values_window(plane: Plane, row: int, column: int, rows: int = 9, columns: int = 15) -> DataFrame:
+    """(y, values): the values of a window of the plane as rows of a table, with NULL where there is no pixel; unknown sizes are not clamped."""
+    g = plane.grid
+    top = row if g.height is None else max(0, min(row, g.height - rows))
+    left = column if g.width is None else max(0, min(column, g.width - columns))
+    near = plane.df.where(F.col("y").between(top, top + rows - 1) & F.col("x").between(left, left + columns - 1))
+    cells = [F.max(F.when(F.col("x") == left + k, F.col("v"))).alias(f"c{k}") for k in range(columns)]
+    lines = plane.df.sparkSession.range(top, top + rows).toDF("y")
+    return lines.join(near.groupBy("y").agg(*cells), "y", "left").select("y", F.array(*(f"c{k}" for k in range(columns))).alias("values"))
+
+
+def check_size(n_values: int, size: int = 8, memory: int | None = None) -> None:
+    """Refuse a window of over a quarter of the memory (of the driver, by its setting, if none is given)."""
+    import os
+
+    memory = memory or os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    if n_values * size > memory // 4:
+        raise ValueError(f"{n_values * size / 1e9:.1f} GB are over a quarter of the memory: choose a smaller window or a coarser level")
 
 
 #: Of two layers a and b.
@@ -240,28 +320,25 @@ def difference_range(how: str, lo: float, hi: float) -> tuple[float, float]:
 
 
 def swipe(a: Plane, b: Plane, at: int) -> DataFrame:
-    """a left of column `at`, b from there on."""
-    both = a.df.select("y", "x", F.col("v").alias("a")).join(b.df.select("y", "x", F.col("v").alias("b")), ["y", "x"])
-    return both.select("y", "x", F.when(F.col("x") < at, F.col("a")).otherwise(F.col("b")).alias("v"))
+    """a left of column `at`, b from there on; a pixel of one plane only is unknown on the other's side."""
+    both = side_by_side([a, b], "full")
+    return both.select("y", "x", F.when(F.col("x") < at, F.col("v0")).otherwise(F.col("v1")).alias("v"))
 
 
 def stack_over(layers: Sequence[tuple[Plane, float]]) -> DataFrame:
-    """Layers with opacities, the last on top: each is laid over what is below; a pixel without data shows what is below."""
-    out: DataFrame | None = None
-    for k, (p, alpha) in enumerate(layers):
-        one = p.df.select("y", "x", F.col("v").alias(f"v{k}"))
-        out = one.withColumn("v", F.col("v0")) if out is None else out.join(one, ["y", "x"])
-        if k:
-            top = F.col(f"v{k}")
-            out = out.withColumn("v", F.when(top.isNull(), F.col("v")).when(F.col("v").isNull(), top).otherwise(top * alpha + F.col("v") * (1 - alpha)))
+    """Layers with opacities, the last on top: each is laid over what is below; a pixel without data, or missing from a layer, shows what is below."""
+    out = side_by_side([p for p, _ in layers], "full").withColumn("v", F.col("v0"))
+    for k, (_, alpha) in enumerate(layers[1:], 1):
+        top = F.col(f"v{k}")
+        out = out.withColumn("v", F.when(top.isNull(), F.col("v")).when(F.col("v").isNull(), top).otherwise(top * alpha + F.col("v") * (1 - alpha)))
     return out.select("y", "x", "v")
 
 
 def rgb(r: Plane, g: Plane, b: Plane, ranges: Sequence[tuple[float, float]]) -> DataFrame:
-    """y, x, r, g, b in 0..255: each channel stretched over its range, no data as 0."""
-    df = r.df.select("y", "x", F.col("v").alias("r")).join(g.df.select("y", "x", F.col("v").alias("g")), ["y", "x"]).join(b.df.select("y", "x", F.col("v").alias("b")), ["y", "x"])
-    shade = lambda c, lo, hi: F.floor(F.coalesce(N.stretch(F.col(c), lo, hi), F.lit(0.0)) * 255 + 0.5).cast("int").alias(c)
-    return df.select("y", "x", *(shade(c, *lim) for c, lim in zip("rgb", ranges)))
+    """y, x, r, g, b in 0..255: each channel stretched over its range, no data and missing pixels as 0."""
+    df = side_by_side([r, g, b], "full")
+    shade = lambda c, k, lo, hi: F.floor(F.coalesce(N.stretch(F.col(f"v{k}"), lo, hi), F.lit(0.0)) * 255 + 0.5).cast("int").alias(c)
+    return df.select("y", "x", *(shade(c, k, *lim) for k, (c, lim) in enumerate(zip("rgb", ranges))))
 
 
 # -- distributions
@@ -276,19 +353,33 @@ def histogram(df: DataFrame, lo: float, hi: float, bins: int = 128, v: str = "v"
     return out.withColumn("share", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
 
 
+#: Ranges that approximate quantiles cut the values into: a power of two of _STEP.
+_STEP = 16
+_RANGES = _STEP * _STEP
+
+
 def quantile(df: DataFrame, p: float, v: str = "v") -> DataFrame:
     """(q): the value at place floor((n - 1) p) of the sorted known values, whole: not interpolated.
 
-    The place is found from counts of distinct values, so what is ordered in one
-    task is bounded by the partitions of a range sort, not by the rows.
+    Distinct values are counted within ranges between approximate quantiles (found
+    when this is called). Sums over the ranges tell which one holds the place, and
+    only its distinct values, about a 256th of all, are put in order.
     """
     known = df.where(F.col(v).isNotNull()).select(F.col(v).alias("q"))
-    parts = known.repartitionByRange("q").sortWithinPartitions("q").select("q", F.spark_partition_id().alias("part"))
-    local = parts.groupBy("part").agg(F.count("*").alias("n"))
-    sums = local.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    ranked = parts.select("q", "part", F.row_number().over(Window.partitionBy("part").orderBy("q")).alias("r"))
-    place = F.floor((F.col("total") - 1) * F.lit(p))
-    return ranked.join(sums, "part").where(F.col("before") + F.col("r") - 1 == place).select("q")
+    edges = known.agg(F.percentile_approx("q", [k / _RANGES for k in range(1, _RANGES)], 40 * _RANGES)).first()[0]
+    ends = sorted(set(edges or ()))
+    literal = lambda x: F.lit(x) if x else F.array().cast(f"array<{dict(known.dtypes)['q']}>")
+    under = lambda a: F.size(F.filter(a, lambda e: e < F.col("q")))
+    first = under(literal(ends[_STEP - 1 :: _STEP])) * _STEP
+    part = F.transform(F.array(first), lambda f: f + under(F.slice(literal(ends), f + 1, F.lit(_STEP))))[0]
+    counts = known.groupBy("q").agg(F.count("*").alias("n")).withColumn("part", part)
+    sums = counts.groupBy("part").agg(F.sum("n").alias("n"))
+    order = Window.orderBy("part")
+    sums = sums.select("part", (F.sum("n").over(order) - F.col("n")).alias("before"), "n", F.floor((F.sum("n").over(Window.partitionBy()) - 1) * F.lit(p)).alias("place"))
+    holds = sums.where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("n"))).select("part", "before", "place")
+    inside = counts.join(F.broadcast(holds), "part")
+    upto = inside.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("q")))
+    return upto.where(F.col("place") < F.col("upto")).agg(F.min("q").alias("q")).where("q is not null")
 
 
 def scatter_bins(pairs: DataFrame, xlim: tuple[float, float], ylim: tuple[float, float], bins: int = 200, x: str = "a", y: str = "b") -> DataFrame:
@@ -327,6 +418,25 @@ def line_distance(points: DataFrame, order: str = "k", lon: str = "lon", lat: st
     return points.withColumn("step", F.coalesce(step, F.lit(0.0))).withColumn("distance", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("step")
 
 
+def polyline(plane: Plane, points: Sequence[tuple[float, float]], most: int = 100_000) -> DataFrame:
+    """(k, x, y, v): values along a polyline of pixel positions: a point a pixel of each segment's length, 1 to `most`, and the last point."""
+    spark = plane.df.sparkSession
+    segments, at = [], 0
+    for (ax, ay), (bx, by) in zip(points, points[1:]):
+        n = max(1, min(most, math.ceil(math.hypot(bx - ax, by - ay))))
+        segments.append((at, n, float(ax), float(ay), float(bx), float(by)))
+        at += n
+    lx, ly = map(float, points[-1])
+    segments.append((at, 1, lx, ly, lx, ly))
+    lines = spark.createDataFrame(segments, "first long, n int, ax double, ay double, bx double, by double").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    part = F.col("j") / F.col("n")
+    spot = lambda a, b: F.floor(F.col(a) + (F.col(b) - F.col(a)) * part).cast("long")
+    spots = lines.select((F.col("first") + F.col("j")).alias("k"), spot("ax", "bx").alias("x"), spot("ay", "by").alias("y"))
+    xs, ys = [x for x, _ in points], [y for _, y in points]
+    near = plane.df.where(F.col("x").between(math.floor(min(xs)), math.floor(max(xs))) & F.col("y").between(math.floor(min(ys)), math.floor(max(ys))))
+    return spots.join(near, ["x", "y"], "left").select("k", "x", "y", "v")
+
+
 # -- pyramid
 
 
@@ -352,3 +462,41 @@ def pyramid(width: int, height: int, files: Sequence[tuple[int, int]] = (), leas
             del ch
             f *= 2
     return out
+
+
+def level_for(widths: Sequence[float], wanted: float) -> int:
+    """The coarsest level whose pixel (in one unit, finest first) is at most the wanted one, else the finest."""
+    return max((k for k, w in enumerate(widths) if w <= wanted), default=0)
+
+
+def tile_range(x0: float, y0: float, x1: float, y1: float, tile: int, width: int, height: int) -> tuple[int, int, int, int]:
+    """First and last tile column, first and last tile row that a pixel box touches; ranges are empty (last before first) outside."""
+    cut = lambda lo, hi, n: (max(0, math.floor(lo)) // tile, min(n, math.ceil(hi)) - 1) if hi > 0 and lo < n else (0, -1)
+    (a, b), (c, d) = cut(min(x0, x1), max(x0, x1), width), cut(min(y0, y1), max(y0, y1), height)
+    return a, b // tile if b >= 0 else -1, c, d // tile if d >= 0 else -1
+
+
+def pixel_box(grid: Grid, box: tuple[float, float, float, float], to_grid=None, edge: int = 17) -> tuple[int, int, int, int] | None:
+    """Pixels x0, y0, x1, y1 (ends excluded) that a rectangle of coordinates covers; None if it lies outside. to_grid: (x, y) of the rectangle's system to the grid's; edges are followed at `edge` points."""
+    west, south, east, north = box
+    part = [k / (edge - 1) for k in range(edge)]
+    rim = [(west + (east - west) * t, y) for t in part for y in (south, north)] + [(x, south + (north - south) * t) for t in part for x in (west, east)]
+    found = [q for p in rim if (q := to_grid(*p) if to_grid else p) is not None and all(map(math.isfinite, q))]
+    if not found:
+        return None
+    ox, ax, bx, oy, ay, by = grid.gt
+    det = ax * by - bx * ay
+    spots = [(((x - ox) * by - (y - oy) * bx) / det, ((y - oy) * ax - (x - ox) * ay) / det) for x, y in found]
+    x0, x1 = max(0, math.floor(min(c for c, _ in spots) + 1e-9)), min(grid.width, math.ceil(max(c for c, _ in spots) - 1e-9))
+    y0, y1 = max(0, math.floor(min(r for _, r in spots) + 1e-9)), min(grid.height, math.ceil(max(r for _, r in spots) - 1e-9))
+    return (x0, y0, x1, y1) if x0 < x1 and y0 < y1 else None
+
+
+def type_range(dtype: str, scale: float = 1.0, offset: float = 0.0) -> tuple[float, float] | None:
+    """The range of values of an integer type of up to 32 bits, scaled, in order; None for others."""
+    bits = {"u1": (0, 8), "i1": (1, 8), "u2": (0, 16), "i2": (1, 16), "u4": (0, 32), "i4": (1, 32)}.get(dtype.lstrip("<>|="))
+    if not bits:
+        return None
+    signed, n = bits
+    lo, hi = (-(1 << n - 1), (1 << n - 1) - 1) if signed else (0, (1 << n) - 1)
+    return tuple(sorted((lo * scale + offset, hi * scale + offset)))

@@ -57,6 +57,42 @@ def build(plan: str | Mapping, cubes: Mapping[str, DataFrame], grids: Mapping[st
     return of(json.loads(plan) if isinstance(plan, str) else plan)
 
 
+def save(plan: Mapping) -> str:
+    """A plan as JSON text that build() takes again; its kinds and fields are checked first."""
+    fields = {"layer": {"source"}, "aggregate": {"source", "along", "how"}, "math": {"text", "inputs"}, "coarsen": {"input", "factor"}, "mask": {"input", "points"}}
+
+    def check(p: Mapping) -> None:
+        if p.get("kind") not in fields:
+            raise ValueError(f"no kind of plan {p.get('kind')!r}: {', '.join(fields)}")
+        if lacking := fields[p["kind"]] - p.keys():
+            raise ValueError(f"{p['kind']} lacks {', '.join(sorted(lacking))}")
+        for inner in [*p.get("inputs", {}).values(), *([p["input"]] if "input" in p else [])]:
+            check(inner)
+
+    check(plan)
+    return json.dumps(plan, sort_keys=True, ensure_ascii=False)
+
+
+def export_series(df: DataFrame, path: str, along: str, names: Mapping[str, str] | None = None) -> None:
+    """Lines of a chart as CSV, a row a place along the axis in order, blank for no data; names: columns and their titles."""
+    _csv(df.select(along, *(df[c].alias(t) for c, t in (names or {c: c for c in df.columns if c != along}).items())).orderBy(along), path)
+
+
+def export_pairs(df: DataFrame, path: str, x: str = "a", y: str = "b", titles: tuple[str, str] = ("x", "y")) -> None:
+    """The pairs of a scatter that are known on both sides as CSV."""
+    _csv(df.where(df[x].isNotNull() & df[y].isNotNull()).select(df[x].alias(titles[0]), df[y].alias(titles[1])), path)
+
+
+def export_values(window: DataFrame, path: str, column: int = 0) -> None:
+    """A table of values (y, values) as CSV with the row first and the column numbers as the head."""
+    n = len(window.first()["values"])
+    _csv(window.orderBy("y").select("y", *(window["values"][k].alias(str(column + k)) for k in range(n))), path)
+
+
+def _csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
 def export_csv(p: Plane, path: str) -> None:
     """A plane as CSV: a row a pixel row with its coordinate first, columns in order, blank for no data."""
     from pyspark.sql import functions as F

@@ -51,9 +51,16 @@ CUBE = """(select datediff('day', date '2024-01-01', cast(ts as date)) as day, c
 SQL_CUBE = CUBE.format(where="")
 
 
-def kind_plane(spark: SparkSession, sf_dir: str, kind: str) -> Plane:
-    """The mean over days of one kind of events."""
-    return Plane(plane.aggregate(cube(spark, sf_dir, kind), "day", "mean"), Grid(24, None), "", kind)
+def kind_planes(spark: SparkSession, sf_dir: str, *kinds: str) -> list[Plane]:
+    """The means over days of several kinds, from one reading and one exchange: a day's mean is taken in the partition that takes the mean of days."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin(*kinds))
+    value = F.when(F.col("event_type") != "error", F.col("value"))
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long")
+    e = e.select(day.alias("day"), F.hour("ts").cast("long").alias("x"), F.col("user_id").alias("y"), "event_type", N.nd(value).alias("v"))
+    own = lambda k: F.when(F.col("event_type") == k, F.col("v"))
+    daily = e.repartition("y", "x").groupBy("y", "x", "day").agg(*(F.avg(own(k)).alias(k) for k in kinds), *(F.max(F.col("event_type") == k).alias(f"has_{k}") for k in kinds))
+    stack = daily.groupBy("y", "x").agg(*(F.avg(k).alias(k) for k in kinds), *(F.max(f"has_{k}").alias(f"has_{k}") for k in kinds))
+    return plane.planes(stack, kinds, Grid(24, None))
 
 
 def sql_plane(kind: str) -> str:
@@ -164,40 +171,40 @@ _bands("log", "ln(d) + log10(t + 1) + exp(-d) + sqrt(abs(q - 25))", "case when d
 _bands("wind", expression.wind_speed("q", "d * 100"), "sqrt(q ** 2 + (d * 100) ** 2)")
 
 
-def _join(kind_sql: str, columns: str = "y, x", value: str = "v") -> str:
+def _join(kind_sql: str, columns: str = "y, x", value: str = "v", how: str = "") -> str:
     a, b = sql_plane("purchase"), sql_plane("view")
-    return f"select {columns}, round({kind_sql}, 9) as {value} from (select a.y, a.x, a.v as a, b.v as b from {a} a join {b} b using (y, x))"
+    return f"select {columns}, round({kind_sql}, 9) as {value} from (select y, x, a.v as a, b.v as b from {a} a {how} join {b} b using (y, x))"
 
 
 @query(_join("case when a > b then a - b end"))
 def layer_math_mask(spark, sf_dir):
-    a, b = kind_plane(spark, sf_dir, "purchase"), kind_plane(spark, sf_dir, "view")
+    a, b = kind_planes(spark, sf_dir, "purchase", "view")
     return rounded(plane.layer_math("mask(a - b, a <= b)", {"a": a, "b": b}).df, "v")
 
 
 for _kind, _sql in (("difference", "a - b"), ("ratio", "a / b"), ("db", "10 * log10(a / b)"), ("percent", "100 * (a - b) / b")):
 
     def _compare(spark, sf_dir, kind=_kind):
-        return rounded(plane.compare(kind_plane(spark, sf_dir, "purchase"), kind_plane(spark, sf_dir, "view"), kind).df, "v")
+        return rounded(plane.compare(*kind_planes(spark, sf_dir, "purchase", "view"), kind).df, "v")
 
     query(_join(_sql), f"compare_{_kind}")(_compare)
 
 
-@query(_join("case when x < 12 then a else b end"))
+@query(_join("case when x < 12 then a else b end", how="full"))
 def swipe(spark, sf_dir):
-    return rounded(plane.swipe(kind_plane(spark, sf_dir, "purchase"), kind_plane(spark, sf_dir, "view"), 12), "v")
+    return rounded(plane.swipe(*kind_planes(spark, sf_dir, "purchase", "view"), 12), "v")
 
 
-@query(_join("case when b is null then a when a is null then b else b * 0.25 + a * 0.75 end"))
+@query(_join("case when b is null then a when a is null then b else b * 0.25 + a * 0.75 end", how="full"))
 def stack_over(spark, sf_dir):
-    return rounded(plane.stack_over([(kind_plane(spark, sf_dir, "purchase"), 1.0), (kind_plane(spark, sf_dir, "view"), 0.25)]), "v")
+    return rounded(plane.stack_over(list(zip(kind_planes(spark, sf_dir, "purchase", "view"), (1.0, 0.25)))), "v")
 
 
 @query(
-    f"select y, x, cast(floor(least(greatest(coalesce(a, 0) / 500.0, 0), 1) * 255 + 0.5) as int) as r, cast(floor(least(greatest(coalesce(b, 0) / 500.0, 0), 1) * 255 + 0.5) as int) as g, cast(floor(least(greatest(coalesce(a, 0) / 250.0, 0), 1) * 255 + 0.5) as int) as b from (select a.y, a.x, a.v as a, b.v as b from {sql_plane('purchase')} a join {sql_plane('view')} b using (y, x))"
+    f"select y, x, cast(floor(least(greatest(coalesce(a, 0) / 500.0, 0), 1) * 255 + 0.5) as int) as r, cast(floor(least(greatest(coalesce(b, 0) / 500.0, 0), 1) * 255 + 0.5) as int) as g, cast(floor(least(greatest(coalesce(a, 0) / 250.0, 0), 1) * 255 + 0.5) as int) as b from (select y, x, a.v as a, b.v as b from {sql_plane('purchase')} a full join {sql_plane('view')} b using (y, x))"
 )
 def rgb(spark, sf_dir):
-    a, b = kind_plane(spark, sf_dir, "purchase"), kind_plane(spark, sf_dir, "view")
+    a, b = kind_planes(spark, sf_dir, "purchase", "view")
     return plane.rgb(a, b, a, [(0, 500), (0, 500), (0, 250)])
 
 
@@ -285,8 +292,8 @@ def scatter_bins(spark, sf_dir):
 
 @query(f"select count(*) as n, round(corr(a, b), 9) as r, round(avg(b - a), 9) as bias, round(sqrt(avg((b - a) * (b - a))), 9) as rmsd from (select a.v as a, b.v as b from {sql_plane('purchase')} a join {sql_plane('view')} b using (y, x)) where a is not null and b is not null")
 def scatter_stats(spark, sf_dir):
-    a, b = kind_plane(spark, sf_dir, "purchase"), kind_plane(spark, sf_dir, "view")
-    both = a.df.withColumnRenamed("v", "a").join(b.df.withColumnRenamed("v", "b"), ["y", "x"])
+    a, b = kind_planes(spark, sf_dir, "purchase", "view")
+    both = plane.side_by_side([a, b]).withColumnsRenamed({"v0": "a", "v1": "b"})
     return rounded(plane.scatter_statistics(both), "r", "bias", "rmsd")
 
 

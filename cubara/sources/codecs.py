@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import struct
 import zlib
 
@@ -96,6 +95,13 @@ def unshuffle(data: bytes, size: int) -> bytes:
     return body.tobytes() + data[n * size :]
 
 
+def unbitshuffle(data: bytes, size: int) -> bytes:
+    """Bits grouped by their place in an element (the lowest of the first byte first), back in elements; a rest that fills none stays at the end."""
+    n = len(data) // size
+    bits = np.unpackbits(np.frombuffer(data, np.uint8, n * size).reshape(size * 8, n // 8), axis=1, bitorder="little")
+    return np.packbits(bits.T, axis=1, bitorder="little").tobytes() + data[n * size :]
+
+
 def undelta(data: bytes, dtype: str) -> bytes:
     """Running sums of stored differences."""
     a = np.frombuffer(data, dtype)
@@ -103,7 +109,7 @@ def undelta(data: bytes, dtype: str) -> bytes:
 
 
 def blosc(data: bytes) -> bytes:
-    """A Blosc 1 chunk: blocks of LZ4, zlib, Zstandard or plain bytes, byte-shuffled or not."""
+    """A Blosc 1 chunk: blocks of LZ4, zlib, Zstandard or plain bytes, shuffled by byte or bit or not."""
     _, _, flags, size = data[:4]
     total, block, _ = struct.unpack_from("<III", data, 4)
     if total > LIMIT:
@@ -117,7 +123,8 @@ def blosc(data: bytes) -> bytes:
     out = []
     for k, start in enumerate(struct.unpack_from(f"<{blocks}i", data, 16)):
         want = min(block, total - k * block)
-        parts = size if not flags & 16 and want == block and 1 < size <= 16 else 1
+        # A block is split by byte where an element has up to 16 bytes and 128 elements or more lie in it.
+        parts = size if not flags & 16 and want == block and 1 < size <= 16 and block // size >= 128 else 1
         got = []
         for _ in range(parts):
             (n,) = struct.unpack_from("<i", data, start)
@@ -125,14 +132,29 @@ def blosc(data: bytes) -> bytes:
             got.append(piece if n == want // parts else inner(piece))
             start += 4 + n
         plain = b"".join(got)
-        out.append(unshuffle(plain, size) if flags & 1 and size > 1 else plain)
+        if len(plain) != want:
+            raise ValueError(f"a Blosc block has {len(plain)} bytes where {want} are due")
+        if flags & 4 and size > 1 and want // size % 8 == 0:
+            out.append(unbitshuffle(plain, size))
+        else:
+            out.append(unshuffle(plain, size) if flags & 1 and size > 1 else plain)
     return b"".join(out)
 
 
 def zstd(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    return _whole(zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read(LIMIT + 1))
+
+
+def _inflated(data: bytes, bits: int) -> bytes:
+    return _whole(zlib.decompressobj(bits).decompress(data, LIMIT + 1))
+
+
+def _whole(data: bytes) -> bytes:
+    if len(data) > LIMIT:
+        raise ValueError("a chunk is too large")
+    return data
 
 
 def predictor(data: bytes, kind: int, width: int, samples: int, dtype: str) -> bytes:
@@ -155,10 +177,9 @@ def decode(data: bytes, steps: list[tuple[str, dict]]) -> bytes:
     """A chunk through its decoding steps, in order: (name, settings)."""
     for name, setting in steps:
         if name in ("zlib", "deflate"):
-            d = zlib.decompressobj()
-            data = d.decompress(data, LIMIT)
+            data = _inflated(data, 15)
         elif name == "gzip":
-            data = gzip.decompress(data)
+            data = _inflated(data, 31)
         elif name == "zstd":
             data = zstd(data)
         elif name == "lz4":

@@ -1,11 +1,12 @@
 """The engine's own operators: known values, closed forms, round trips."""
 
+import json
 import math
 import struct
 
 import numpy as np
 import pytest
-from cubara.functions import expression, geo, times
+from cubara.functions import colours, expression, geo, times, warp
 from cubara.functions import nodata as N
 from cubara.operators import catalog, plane, steps
 from cubara.operators.plane import Grid, Plane
@@ -50,9 +51,13 @@ def test_names():
 
 
 def test_times(spark):
-    rows = spark.createDataFrame([("2020-01-02T03:04:05Z",), ("20200102030405",), ("2020-1-2",), ("x",), ("2020-13-01",)], "t string")
+    rows = spark.createDataFrame([("2020-01-02T03:04:05Z",), ("20200102T030405",), ("2020-1-2",), ("x",), ("2020-13-01",)], "t string")
     got = [r[0] for r in rows.select(times.parse(F.col("t"))).collect()]
     assert got == [1577934245.0, 1577934245.0, 1577923200.0, None, None]
+    odd = spark.createDataFrame([("202011",), ("2020111",), ("2020-01-02T25:00",), ("2020-01-02T99:99",), ("20200102",), ("2020-01-02 10:27+02:00",), ("2020-01-02T10",), ("20200102030405",)], "t string")
+    want = [None, None, None, None, 1577923200.0, 1577960820.0, 1577923200.0, None]
+    assert [r[0] for r in odd.select(times.parse(F.col("t"))).collect()] == want
+    assert [times.parse_text(r["t"]) for r in odd.collect()] == want
     names = spark.createDataFrame([("lst_20230714.nc",), ("S3_20210102T030405_x",), ("a-2020-05-06.tif",), ("9920200101",), ("none",)], "n string")
     got = [r[0] for r in names.select(times.text(times.in_name(F.col("n")))).collect()]
     assert got == ["2023-07-14 00:00:00", "2021-01-02 03:04:05", "2020-05-06 00:00:00", None, None]
@@ -275,3 +280,121 @@ def test_decode(spark):
     df = spark.createDataFrame([(5.0,), (0.0,), (float("nan"),), (float("inf"),), (None,)], "r double")
     assert [r[0] for r in df.select(N.decode(F.col("r"), 0, 2, 1)).collect()] == [11.0, None, None, None, None]
     assert spark.range(1).select(N.complex_part(F.lit(3), F.lit(4), "Amp"), N.db(F.lit(-10.0))).first() == (5.0, 20.0)
+
+
+def test_texts_and_lists(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [tuple(p) for p in one(catalog.attribute_pairs(F.lit('{"a":1,"b":"x","c":{"d":[2]}}')))] == [("a", "1"), ("b", "x"), ("c", '{"d":[2]}')]
+    assert [one(catalog.number_text(F.lit(v))) for v in (1.5, 100.0, 0.0, 1234567.0, -0.00012, 0.12345)] == ["1.5", "100", "0", "1.235e6", "-1.200e-4", "0.1235"]
+    assert [one(catalog.length_text(F.lit(v))) for v in (9999.96, 12345.0, 3.14)] == ["10000 m", "12.35 km", "3.1 m"]
+    assert [one(catalog.area_text(F.lit(v))) for v in (999999.4, 1234567.0)] == ["999999 m²", "1.23 km²"]
+    assert catalog.ticks(0, 10, 5) == ([0, 2, 4, 6, 8, 10], 2) and catalog.ticks(3, 3) == ([3], 1.0) and catalog.ticks(10, 0, 4)[1] == 2.5
+    assert catalog.tick_text(2.5, 2.5) == "2.5" and catalog.tick_text(-0.0, 1) == "0" and catalog.rounded_text(1.23456, 0.01) == "1.23"
+    xml = "<a xmlns='u' xmlns:s='v'><s:b k='1'> x </s:b><b k='2'>y</b></a>"
+    assert one(catalog.xml_texts(F.lit(xml), "/a/b")) == ["x", "y"] and one(catalog.xml_texts(F.lit(xml), "/a/b/@k")) == ["1", "2"]
+    lines = spark.createDataFrame([("a.nc",), ("# c",), ("",), (" /x/b.nc",), ("s3://k/c",)], "value string")
+    assert [r[0] for r in catalog.product_list(lines, "/d/").collect()] == ["/d/a.nc", "/x/b.nc", "s3://k/c"]
+    assert catalog.address("f.nc#wind") == ("f.nc", "wind", "") and catalog.address("f#=a+b") == ("f", "expression", "a+b") and catalog.address("f#sst") == ("f", "variable", "sst") and catalog.address("f") == ("f", "", "")
+    assert [r["url"] for r in catalog.dated_urls(spark, "2020-02-28", "2020-03-01", "'u/'yyyyMMdd").collect()] == ["u/20200228", "u/20200229", "u/20200301"]
+    assert list(catalog.pages_of({"a": ([1, 2], "b"), "b": ([3], "a")}.get, "a")) == [1, 2, 3]
+    assert catalog.asked([("t", 5), ("z", 2), ("y", 9), ("x", 9)], ("y", "x"), "t") and not catalog.asked([("t", 5), ("y", 9), ("x", 9)], ("y", "x"), "t")
+    assert catalog.step_index(3, 5, 6) == 5 and catalog.axis_values(2, None, [1]) == [0, 1] and catalog.axis_values(2, start=10, step=2) == [11, 13]
+    assert catalog.index_text(1, "level", [850.0, 500.0], "hPa") == "level 1 (500 hPa)"
+    assert [tuple(p) for p in one(catalog.points_of(F.lit("1, 2\nx\n3;4.5\n-1e2 7")))] == [(1, 2), (3, 4.5), (-100, 7)]
+    assert one(times.between_steps(F.lit(10.0), F.lit(20.0), F.lit(0.25))) == 12.5
+
+
+def test_planes_of_one_frame(spark):
+    stack = spark.createDataFrame([(0, 0, 1.0, 3.0, True, True), (0, 1, 2.0, None, True, False), (1, 0, None, 5.0, False, True)], "y int, x int, a double, b double, has_a boolean, has_b boolean")
+    a, b = plane.planes(stack, ["a", "b"])
+    assert sorted(map(tuple, plane.layer_math("a + b", {"a": a, "b": b}).df.collect())) == [(0, 0, 4.0)]
+    for pair in ((a, b), (Plane(a.df), Plane(b.df))):
+        assert sorted(map(tuple, plane.stack_over([(pair[0], 1.0), (pair[1], 0.5)]).collect())) == [(0, 0, 2.0), (0, 1, 2.0), (1, 0, 5.0)]
+        assert sorted(map(tuple, plane.rgb(*pair, pair[0], [(0, 5)] * 3).select("y", "x", "g").collect())) == [(0, 0, 153), (0, 1, 0), (1, 0, 255)]
+        assert len(plane.swipe(*pair, 1).collect()) == 3
+    assert "Join" not in plane.compare(a, b, "ratio").df._jdf.queryExecution().toString()
+    with pytest.raises(plane.GridError):
+        plane.swipe(Plane(a.df, Grid(2, 2)), Plane(b.df, Grid(3, 2)), 1)
+    assert plane.mask_where(a, b.df).df.count() == 1 and plane.mask_where(a, b.df, False).df.count() == 1
+    window = a.window(0, 0, 1, 1)
+    assert plane.layer_math("a", {"a": window}).df.count() == 1
+    assert [r["v"] for r in plane.box_mean(spark.createDataFrame([(0, 0, 1.0), (0, 1, None), (1, 0, 3.0), (1, 1, 5.0), (5, 5, None)], "y int, x int, v double"), 1).orderBy("y", "x").collect()] == [1, 3, 3, 5, None]
+    table = plane.values_window(Plane(a.df, Grid(2, 2)), 5, 5, 2, 2)
+    assert [r["values"] for r in table.orderBy("y").collect()] == [[1.0, 2.0], [None, None]]
+    assert plane.value_sample(spark.range(100).selectExpr("id div 10 as y", "id % 10 as x", "1d as v"), 10, 10, 20).count() == 20
+    with pytest.raises(ValueError):
+        plane.check_size(10**9, 8, 1 << 30)
+    line = plane.polyline(Plane(spark.range(25).selectExpr("id div 5 as y", "id % 5 as x", "cast(id as double) as v")), [(0.5, 0.5), (4.5, 0.5), (4.5, 2.5)])
+    assert [r["v"] for r in line.orderBy("k").collect()] == [0, 1, 2, 3, 4, 9, 14]
+    assert plane.level_for([1, 2, 4, 8], 5) == 2 and plane.level_for([4, 8], 1) == 0
+    assert plane.tile_range(5, 5, 20, 9, 8, 100, 8) == (0, 2, 0, 0) and plane.tile_range(-9, 0, -1, 5, 8, 10, 10)[:2] == (0, -1)
+    assert plane.pixel_box(Grid(10, 10, (100, 1, 0, 50, 0, -1)), (102.5, 45, 104, 47.5)) == (2, 2, 4, 5) and plane.pixel_box(Grid(10, 10, (100, 1, 0, 50, 0, -1)), (0, 0, 5, 5)) is None
+    assert plane.type_range("<i2", -0.5, 1) == (-16382.5, 16385.0) and plane.type_range("f4") is None
+    assert plane.aggregate_units("count", "K") == "" and plane.aggregate_units("mean", "K") == "K"
+    many = spark.range(5000).selectExpr("cast(id * 7919 % 311 as double) as v")
+    known = sorted(r["v"] for r in many.collect())
+    for p in (0.0, 0.02, 0.5, 0.98, 1.0):
+        assert plane.quantile(many, p).first()["q"] == known[math.floor(4999 * p)]
+    assert plane.quantile(many.where("v < 0"), 0.5).count() == 0
+
+
+def test_warps(spark):
+    f = lambda c, r: (170 + 0.2 * c + 0.001 * c * r, 10 + 0.1 * r + 0.0005 * c * c)
+    grid = warp.Nodes.of_function(lambda c, r: ((f(c, r)[0] + 180) % 360 - 180, f(c, r)[1]), 100, 80, True)
+    c, r = np.array([0.0, 12.5, 99.0, 50.0]), np.array([0.0, 40.0, 79.0, 3.25])
+    assert grid.repeats() and np.allclose(grid.at(c, r), f(c, r), atol=0.05 * grid.pixel_size())
+    x, y = grid.at(c, r)
+    assert np.allclose(grid.inverse(x, y), (c, r), atol=1e-3) and np.isnan(grid.inverse([0.0], [80.0])[0][0])
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(0.0, 80.0), (None, 1.0)], "x double, y double")
+    got = sorted(((round(q["col"], 3), round(q["row"], 3)) if q["col"] is not None else None for q in warp.located(rows, grid).collect()), key=str)
+    assert got == sorted([(0.0, 0.0), (12.5, 40.0), (99.0, 79.0), (50.0, 3.25), None, None], key=str)
+    back = warp.placed(spark.createDataFrame([(12.5, 40.0)], "col double, row double"), grid).first()
+    assert np.allclose((back["px"], back["py"]), (x[1], y[1]))
+    cc, rr = np.meshgrid(np.arange(600.0), np.arange(300.0))
+    swath = warp.Nodes.of_arrays(5 + 0.015 * cc - 0.003 * rr, 45 + 0.01 * rr + 0.002 * cc)
+    assert swath.x.shape[1] <= 257 and np.allclose(swath.at(333.0, 222.0), (5 + 0.015 * 333 - 0.003 * 222, 45 + 2.22 + 0.666))
+    line = warp.unwrapped(spark.createDataFrame([(0, 179.0), (1, -179.0), (2, -178.0), (3, 179.5)], "k int, lon double"), "lon", "k")
+    assert [q["lon"] for q in line.orderBy("k").collect()] == [179, 181, 182, 179.5]
+    assert spark.range(1).select(warp.centre_values(F.array(*map(F.lit, [0.0, 1.0, 2.0, 3.0, 4.0])), 2)).first()[0] == [0.5, 2.5, 4.0]
+    assert warp.corners("G", "453000N0101530W" * 4)[0] == (-(10 + 15 / 60 + 30 / 3600), 45.5) and warp.corners("D", "+45.500+010.250" * 4)[3] == (10.25, 45.5) and warp.corners("U", "x" * 60) is None
+    square = F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0))))
+    assert spark.range(1).select(geo.polygon_area(square, False, 10.0)).first()[0] == 400
+
+
+def test_colours_and_exports(spark, tmp_path):
+    table = colours.read_map("# c\n0 0 0 0\n50, 255 0 0\n200 255 255 255")
+    assert [p for p, _ in table] == [0, 0.25, 1]
+    got = spark.createDataFrame([(0.125,), (2.0,), (None,)], "v double").select(colours.colour(F.col("v"), table)).collect()
+    assert [g[0] and tuple(g[0]) for g in got] == [(128, 0, 0), (255, 255, 255), None]
+    assert colours.read_map("0 0 0\n1 1 1") == [(0.0, (0, 0, 0)), (1.0, (1, 1, 1))]
+    plan = {"kind": "math", "text": "a", "inputs": {"a": {"kind": "layer", "source": "s"}}}
+    assert json.loads(builder.save(plan)) == plan
+    with pytest.raises(ValueError):
+        builder.save({"kind": "math", "text": "a", "inputs": {"a": {"kind": "layer"}}})
+    pairs = spark.createDataFrame([(1.0, 2.0), (None, 3.0)], "a double, b double")
+    builder.export_pairs(pairs, str(tmp_path / "p"))
+    builder.export_series(pairs, str(tmp_path / "s"), "b", {"a": "first"})
+    builder.export_values(spark.createDataFrame([(3, [1.0, None])], "y int, values array<double>"), str(tmp_path / "v"), 7)
+    read = lambda n: spark.read.option("header", True).csv(str(tmp_path / n))
+    assert read("p").columns == ["x", "y"] and read("p").count() == 1 and read("s").columns == ["b", "first"] and [tuple(r) for r in read("v").collect()] == [("3", "1.0", None)] and read("v").columns == ["y", "7", "8"]
+
+
+def test_blosc_bits_and_limits(monkeypatch):
+    values = np.arange(64, dtype="<u4") * 977
+    bits = np.unpackbits(values.view(np.uint8).reshape(64, 4), axis=1, bitorder="little").T
+    planes = np.packbits(bits, axis=1, bitorder="little").tobytes()
+    head = struct.pack("<BBBBIII", 2, 1, 4 | 16 | (4 << 5), 4, 256, 256, 0)
+    assert codecs.blosc(head + struct.pack("<i", 20) + struct.pack("<i", 256) + planes) == values.tobytes()
+    # 64 elements in a block are too few to be split by byte.
+    head = struct.pack("<BBBBIII", 2, 1, 1 | (4 << 5), 4, 256, 256, 0)
+    shuffled = values.view(np.uint8).reshape(64, 4).T.tobytes()
+    assert codecs.blosc(head + struct.pack("<i", 20) + struct.pack("<i", 256) + shuffled) == values.tobytes()
+    monkeypatch.setattr(codecs, "LIMIT", 1000)
+    import gzip
+    import zlib
+
+    import zstandard
+
+    for name, data in (("zlib", zlib.compress(bytes(2000))), ("gzip", gzip.compress(bytes(2000))), ("zstd", zstandard.compress(bytes(2000)))):
+        with pytest.raises(ValueError):
+            codecs.decode(data, [(name, {})])
