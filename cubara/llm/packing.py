@@ -24,6 +24,7 @@ few windows, rarely more, and one whole document.
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 from collections import deque
@@ -177,7 +178,7 @@ def sentence_ends(known: Encoder) -> np.ndarray:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", remember: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document's ids and end_id lie in exactly one piece each; a null or
@@ -187,7 +188,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, id_
     held whole by one task. Other columns are not looked at, whatever their
     names. An empty table gives no rows. sequence_id is the task's number times
     2^32 plus a counter; cuts are the optimum of each task's range of ids, so
-    each range ends with one window that may be short.
+    each range ends with one window that may be short. Workers keep the tokenizer
+    and the words it has seen for the next task, unless `remember` is false.
     """
     ordered = in_order(docs, id_col, text_col)
     end = struct.pack("<I", end_id)
@@ -207,5 +209,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, id_
                     yield send(out)
         if out := list(packer.end()):
             yield send(out)
+        pa.default_memory_pool().release_unused()
+        if not remember:
+            del known, packer
+            encoder.cache_clear()
+            gc.collect()
 
     return ordered.mapInArrow(run, SCHEMA)

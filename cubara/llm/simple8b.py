@@ -200,6 +200,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
                         held, size = [], 0
         if held:
             yield name(pack_file(held))
+        pa.default_memory_pool().release_unused()
 
     # The text writer puts a row's bytes, then lineSep: one row a file makes binary files on any file system, with Spark's commit.
     ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", TAIL_MARK.decode()).option("maxRecordsPerFile", 1).mode("overwrite").text(path)

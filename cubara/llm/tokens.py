@@ -60,13 +60,13 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         self.model, self.letters = self.tokenizer.model, dict(enumerate(_byte_letters()))
-        made = json.loads(self.tokenizer.to_str())
-        steps, norm = made["pre_tokenizer"], made["normalizer"]
+        # The steps alone are asked for: the whole tokenizer as JSON would take more memory than the cache.
+        steps, norm = (json.loads(x.__getstate__()) if x else None for x in (self.tokenizer.pre_tokenizer, self.tokenizer.normalizer))
         kinds = [x["type"] for x in (steps or {}).get("pretokenizers", [steps] if steps else [])]
         norms = [x["type"] for x in (norm or {}).get("normalizers", [norm] if norm else [])]
         self.kind = {(("ByteLevel",), ()): "keep", (("Split", "ByteLevel"), ("NFC", "Replace", "Lowercase")): "drop"}.get((tuple(kinds), tuple(norms)))
         # A token of ASCII marks can't come about by normalisation but for its case.
-        added = [x["content"] for x in made["added_tokens"] if not (plain and x["special"])]
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if not (plain and x.special)]
         self.added = re.compile("|".join(map(re.escape, added)), re.I).search if added else lambda text: None
         if not all(x.isascii() for x in added):
             self.kind = None
