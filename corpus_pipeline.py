@@ -74,7 +74,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 ids, in document order: see packing.pack for nulls, ties, repeated rows and empty tables."""
-    return packing.pack(_only(docs), public_tokenizers.path("byte_bpe_50k.json"), 1)
+    return packing.pack(_only(docs), public_tokenizers.path("byte_bpe_50k.json"), 1, remember=False)  # the workers serve other stages, too
 
 
 STAGES = [("language ID", language), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("packing", pack)]
