@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubara.functions import expression, geo, times
+from cubara.functions import expression, geo, times, warp
 from cubara.functions import nodata as N
 from cubara.operators import catalog, plane, steps
 from cubara.operators.plane import Grid, Plane
@@ -445,3 +445,66 @@ def sphere_area(spark, sf_dir):
     point = lambda x, y: F.struct(F.lit(x).alias("x"), y.cast("double").alias("y"))
     pts = F.array(point(0.0, lat), point(10.0, lat), point(10.0, lat + 5), point(0.0, lat + 5))
     return table(spark, sf_dir, "nation").select("n_nationkey", F.round(geo.sphere_area(pts), 0).alias("area"))
+
+
+_HOP = "2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(lat - a) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin(radians(lon - o) / 2), 2))))"
+
+
+@query(f"with p as (select c_custkey, c_nationkey, {_LON} as lon, {_LAT} as lat from customer), q as (select *, lag(lon) over w as o, lag(lat) over w as a from p window w as (partition by c_nationkey order by c_custkey)) select c_custkey, round(sum(coalesce({_HOP}, 0)) over (partition by c_nationkey order by c_custkey), 1) as distance from q")
+def line_distance(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.expr(_LON).cast("double").alias("lon"), F.expr(_LAT).cast("double").alias("lat"))
+    return plane.line_distance(c, "c_custkey", by=["c_nationkey"]).select("c_custkey", F.round("distance", 1).alias("distance"))
+
+
+@query(f"with p as (select c_custkey, c_nationkey, cast({_LON} as double) as lon from customer), q as (select *, coalesce(round((lon - lag(lon) over (partition by c_nationkey order by c_custkey)) / 360), 0) as turn from p) select c_custkey, lon - 360 * sum(turn) over (partition by c_nationkey order by c_custkey) as lon from q")
+def unwrap(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.expr(_LON).cast("double").alias("lon"))
+    return warp.unwrapped(c, "lon", "c_custkey", ("c_nationkey",)).select("c_custkey", "lon")
+
+
+@query("select event_id, 'k' as k, json_extract_string(props, '$.k') as v from events")
+def json_attributes(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.explode(catalog.attribute_pairs(F.col("props"))).alias("p"))
+    return e.select("event_id", "p.k", "p.v")
+
+
+@query("select c_custkey, rtrim(rtrim(printf('%.4f', c_acctbal), '0'), '.') as t from customer where c_acctbal <> 0 and abs(c_acctbal) >= 0.001")
+def number_text(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_acctbal <> 0 and abs(c_acctbal) >= 0.001")
+    return c.select("c_custkey", catalog.number_text(F.col("c_acctbal")).alias("t"))
+
+
+@query("with p as (select p_brand as g1, p_brand || '/' || replace(p_type, ' ', '_') as g2 from part) select g1 as grp, count(*) as n from p group by 1 union all select g2, count(*) from p group by 1")
+def group_tree(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.replace("p_type", F.lit(" "), F.lit("_")), F.col("p_partkey").cast("string")).alias("path"))
+    return catalog.group_tree(p).withColumnRenamed("group", "grp")
+
+
+@query(
+    "with c as (select vec_id as y, unnest(range(0, 64)) as x, unnest(embedding)::double as e from embeddings), k as (select y, x, case when (y + x) % 5 <> 2 then e end as v from c), "
+    "a as (select y, x, v, sum(v) over w as s, count(v) over w as n from k window w as (partition by y order by x range between 2 preceding and 2 following)), "
+    "b as (select y, x, v, sum(s) over w as s, sum(n) over w as n from a window w as (partition by x order by y range between 2 preceding and 2 following)) select y, x, round(coalesce(v, s / n), 9) as v from b"
+)
+def box_fill(spark, sf_dir):
+    cells = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "e"))
+    known = cells.select("y", F.col("x").cast("long").alias("x"), F.when((F.col("y") + F.col("x")) % 5 != 2, F.col("e").cast("double")).alias("v"))
+    return rounded(plane.box_mean(known, 2), "v")
+
+
+@query(f"select y, x, round(v, 9) as v from {sql_plane('purchase')} where (y, x) in (select (y, x) from {sql_plane('view')})", "mask_where_inside")
+def mask_where_inside(spark, sf_dir):
+    a, b = kind_planes(spark, sf_dir, "purchase", "view")
+    return rounded(plane.mask_where(a, b.df).df, "v")
+
+
+@query(f"select y, x, round(v, 9) as v from {sql_plane('purchase')} where (y, x) not in (select (y, x) from {sql_plane('view')})", "mask_where_outside")
+def mask_where_outside(spark, sf_dir):
+    a, b = kind_planes(spark, sf_dir, "purchase", "view")
+    return rounded(plane.mask_where(a, b.df, False).df, "v")
+
+
+@query("select c_custkey, round((1 - fx) * (1 - fy) * 10 + fx * (1 - fy) * 20 + (1 - fx) * fy * 40 + fx * fy * 80, 9) as v from (select c_custkey, (c_custkey % 10) / 10.0 as fx, (c_custkey % 7) / 7.0 as fy from customer)")
+def bilinear(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    fx, fy = (c["c_custkey"] % 10) / 10.0, (c["c_custkey"] % 7) / 7.0
+    return c.select("c_custkey", F.round(geo.bilinear(fx, fy, *(F.lit(float(v)) for v in (10, 20, 40, 80))), 9).alias("v"))
