@@ -162,10 +162,11 @@ def parse(text: str, names: list[str]) -> Node:
     return tree
 
 
-def compile_expression(text: str, inputs: Mapping[str, Column], strict: bool = False) -> Column:
-    """The expression over columns; NULL, NaN and infinite results are NULL. strict: NULL too where any used input is."""
+def compile_expression(text: str, inputs: Mapping[str, Column], strict: bool = False, finite: bool = True) -> Column:
+    """The expression over columns; NULL, NaN and infinite results are NULL. strict: NULL too where any used input is. Not finite: NaN and infinities stay as they are."""
     tree = parse(text, list(inputs))
-    value = N.nd(tree.column(inputs).cast("double"))
+    value = tree.column(inputs).cast("double")
+    value = N.nd(value) if finite else value
     if strict:
         for name in tree.names():
             value = F.when(inputs[name].isNotNull(), value)

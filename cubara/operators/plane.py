@@ -255,8 +255,8 @@ def side_by_side(layers: Sequence[Plane], how: str = "inner") -> DataFrame:
     return out
 
 
-def layer_math(text: str, layers: Mapping[str, Plane], strict: bool = False, units: str | None = None) -> Plane:
-    """An expression over the same pixels of several planes; all must have one grid. Layers of one DataFrame are read once."""
+def layer_math(text: str, layers: Mapping[str, Plane], strict: bool = False, units: str | None = None, finite: bool = True) -> Plane:
+    """An expression over the same pixels of several planes; all must have one grid. Layers of one DataFrame are read once. strict, finite: see compile_expression()."""
     if not layers:
         raise ValueError("no layer")
     grid = next(iter(layers.values())).grid
@@ -264,7 +264,7 @@ def layer_math(text: str, layers: Mapping[str, Plane], strict: bool = False, uni
         raise GridError("the layers have different grids")
     used = expression.parse(text, list(layers)).names() or list(layers)[:1]
     joined = side_by_side([layers[n] for n in used])
-    value = expression.compile_expression(text, {n: F.col(f"v{k}") for k, n in enumerate(used)}, strict)
+    value = expression.compile_expression(text, {n: F.col(f"v{k}") for k, n in enumerate(used)}, strict, finite)
     of = {layers[n].units for n in used}
     return Plane(joined.select("y", "x", value.alias("v")), grid, units if units is not None else (of.pop() if len(of) == 1 else ""), text)
 
@@ -322,9 +322,9 @@ def check_size(n_values: int, size: int = 8, memory: int | None = None) -> None:
 COMPARISONS = {"difference": "a - b", "ratio": "a / b", "db": "10 * log10(a / b)", "percent": "100 * (a - b) / b"}
 
 
-def compare(a: Plane, b: Plane, how: str) -> Plane:
-    """Difference, ratio, ratio in dB or percent of two planes."""
-    return layer_math(COMPARISONS[how], {"a": a, "b": b}, strict=True)
+def compare(a: Plane, b: Plane, how: str, finite: bool = True) -> Plane:
+    """Difference, ratio, ratio in dB or percent of two planes. What is not finite is no data, as it is shown; not finite: it stays, as SQL has it."""
+    return layer_math(COMPARISONS[how], {"a": a, "b": b}, strict=True, finite=finite)
 
 
 def difference_range(how: str, lo: float, hi: float) -> tuple[float, float]:

@@ -37,3 +37,40 @@ def test_steady_mean(spark):
         assert df.agg(plane.steady_mean(F.col("v"))).first()[0] == want
     known = lambda *v: spark.createDataFrame([(x,) for x in v], "v double").agg(plane.steady_mean(F.col("v"))).first()[0]
     assert known(None) is None and known(1e300, -1e300, 3.0) == 1.0 and known(1e-300, 3e-300) == pytest.approx(2e-300, rel=1e-15) and known(1e308) == 1e308
+
+
+def sql(name, folder, table="events"):
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as con:
+        con.execute("set TimeZone = 'UTC'")
+        con.execute(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet/*.parquet')")
+        return con.execute(queries.ORACLES[name]).fetchall()
+
+
+def same(got, want):
+    """Equal rows, NaN equal to itself."""
+    return sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+#: Means of purchases and views of a user, the user's number first; None: no such event.
+PAIRS = [(0, 0.0, 6.14), (1, 5.0, 0.0), (2, 0.0, 0.0), (3, -2.0, 4.0), (4, 3.0, 1.5), (5, -5.0, 0.0), (6, 1.0, None), (7, None, 1.0)]
+
+
+def compared(spark, tmp_path, kind):
+    rows = [(1, 12, user, name, v) for user, a, b in PAIRS for name, v in (("purchase", a), ("view", b)) if v is not None]
+    folder = events(spark, tmp_path, [*rows, (2, 12, 9, "purchase", 1.0), (2, 12, 9, "view", None)])
+    got = queries.QUERIES[f"compare_{kind}"](spark, folder).collect()
+    assert same(got, sql(f"compare_{kind}", folder))
+    return {r["y"]: r["v"] for r in got}
+
+
+def test_compare_db(spark, tmp_path):
+    got = compared(spark, tmp_path, "db")
+    assert got.keys() == {0, 1, 2, 3, 4, 5, 9} and got[0] == -math.inf and got[1] == math.inf and got[9] is None and got[4] == pytest.approx(3.010299957)
+    assert all(math.isnan(got[k]) for k in (2, 3, 5))
+
+
+def test_compare_as_shown(spark):
+    stack = spark.createDataFrame([(k, 0, a, b) for k, a, b in PAIRS], "y long, x long, a double, b double")
+    a, b = plane.planes(stack, ["a", "b"])
+    assert {r["y"]: r["v"] for r in plane.compare(a, b, "ratio").df.collect()} == {0: 0, 1: None, 2: None, 3: -0.5, 4: 2, 5: None, 6: None, 7: None}
