@@ -74,3 +74,8 @@ def test_compare_as_shown(spark):
     stack = spark.createDataFrame([(k, 0, a, b) for k, a, b in PAIRS], "y long, x long, a double, b double")
     a, b = plane.planes(stack, ["a", "b"])
     assert {r["y"]: r["v"] for r in plane.compare(a, b, "ratio").df.collect()} == {0: 0, 1: None, 2: None, 3: -0.5, 4: 2, 5: None, 6: None, 7: None}
+
+
+def test_compare_percent(spark, tmp_path):
+    got = compared(spark, tmp_path, "percent")
+    assert got[0] == -100 and got[1] == math.inf and got[5] == -math.inf and math.isnan(got[2]) and got[3] == -150 and got[4] == 100 and got[9] is None and len(got) == 7
