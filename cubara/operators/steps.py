@@ -67,9 +67,9 @@ def interpolate(cube: DataFrame, step: str, sub: int, stride: int = 1, by: Seque
     return rows.select(*by, (F.floor(F.col("_k") / stride) * sub + F.col("_f")).cast("long").alias("frame"), value.alias(v))
 
 
-def series(products: DataFrame, t: str = "t", path: str = "path") -> DataFrame:
-    """Products as numbered steps: by time, unknown times last, then path. For catalogs (thousands of rows), which one task numbers."""
-    return products.withColumn("step", F.row_number().over(Window.orderBy(F.col(t).asc_nulls_last(), path)) - 1)
+def series(products: DataFrame, t: str = "t", path: str = "path", then: Sequence[str] = ()) -> DataFrame:
+    """Products as numbered steps: by time, then path, then the columns `then`, unknown ones last. For catalogs (thousands of rows), which one task numbers."""
+    return products.withColumn("step", F.row_number().over(Window.orderBy(*(F.col(c).asc_nulls_last() for c in (t, path, *then)))) - 1)
 
 
 def strided(df: DataFrame, step: str, first: int, last: int, stride: int = 1) -> DataFrame:

@@ -86,3 +86,17 @@ def test_compare_ratio(spark, tmp_path, kind):
     got = compared(spark, tmp_path, kind)
     if kind == "ratio":
         assert got[0] == 0 and got[1] == math.inf and got[5] == -math.inf and math.isnan(got[2]) and got[3] == -0.5 and got[4] == 2 and got[9] is None and len(got) == 7
+
+
+def test_series_of_odd_rows(spark, tmp_path):
+    # Unknown paths come last, as in the SQL; what has one time and path is in the order of page_id, however the rows lie.
+    rows = [(k, None if 7 <= k < 14 else f"u{k * 37 % 101}") for k in range(-40, 40)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["step"] for r in queries.QUERIES["series_sort"](spark, str(tmp_path)).collect()}
+    assert same(got.items(), sql("series_sort", tmp_path, "pages"))
+    (tmp_path / "ties").mkdir()
+    tied = [(k * 37 % 70, f"u{k * 37 % 70 % 2}") for k in range(70)]
+    spark.createDataFrame(tied, "page_id long, url string").repartition(5).write.parquet(f"{tmp_path}/ties/pages.parquet")
+    got = sorted((r["step"], r["page_id"]) for r in queries.QUERIES["series_sort"](spark, f"{tmp_path}/ties").collect())
+    unknown_last = lambda p: (p % 7 == 3, p % 7)
+    assert [p for _, p in got] == sorted(range(70), key=lambda p: (unknown_last(p), p % 2, p)) and [s for s, _ in got] == list(range(70))
